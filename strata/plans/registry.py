@@ -165,3 +165,248 @@ SELECT COUNT(*) AS transaction_count,
 FROM gold"""))
 def q45_executive_summary(spark, sf_dir):
     return marts.executive_summary(_dom(spark, sf_dir).layers.gold_sales)
+
+
+# ================================================================ change capture
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import cdc  # noqa: E402
+from .domain import Extracts  # noqa: E402
+
+_KEYCOLS = ["order_id", "line_no", "ce_brand_flvr", "supplier_id"]
+
+
+@register("c1_c2_keys_and_hashes", f"""
+WITH b AS ({O.bronze()})
+SELECT order_id, line_no, ce_brand_flvr, supplier_id, _pk, _row_hash FROM b""")
+def c1_c2_keys_and_hashes(spark, sf_dir):
+    """Primary key (md5) and row hash (sha256) of every bronze sales line."""
+    return _dom(spark, sf_dir).layers.bronze_sales.select(*_KEYCOLS, "_pk", "_row_hash")
+
+
+@register("c3_latest_per_key", f"""
+WITH {O.extracts()},
+h AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2)
+SELECT _pk, _row_hash, _batch_id, dollar_volume FROM (
+  SELECT *, row_number() OVER (PARTITION BY _pk
+            ORDER BY _ingestion_timestamp DESC, _row_hash DESC) AS rn FROM h) x
+WHERE rn = 1""")
+def c3_latest_per_key(spark, sf_dir):
+    """Newest version of every key in the bronze history of two loads."""
+    h = Extracts(_dom(spark, sf_dir)).history
+    return cdc.latest_per_key(h, "_pk").select("_pk", "_row_hash", "_batch_id", "dollar_volume")
+
+
+_MERGE_SQL = f"""
+WITH {O.extracts()},
+j AS (
+  SELECT CASE WHEN t._pk IS NULL THEN 'insert' WHEN s._pk IS NULL THEN 'keep'
+              WHEN s._row_hash = t._row_hash THEN 'unchanged'
+              WHEN s._ingestion_timestamp >= t._ingestion_timestamp THEN 'update'
+              ELSE 'stale' END AS _action,
+         coalesce(s._pk, t._pk) AS _pk, s._row_hash AS s_h, t._row_hash AS t_h,
+         s._batch_id AS s_b, t._batch_id AS t_b,
+         s.dollar_volume AS s_v, t.dollar_volume AS t_v
+  FROM b2 s FULL OUTER JOIN b1 t ON s._pk = t._pk)"""
+
+
+@register("c5_merge_stats", _MERGE_SQL + """
+SELECT _action, COUNT(*) AS records FROM j GROUP BY _action""")
+def c5_merge_stats(spark, sf_dir):
+    """Insert / update / unchanged / keep counts of merging load 2 into the
+    current table built from load 1 (one full outer join)."""
+    e = Extracts(_dom(spark, sf_dir))
+    m = cdc.merge(e.silver(e.bronze2, O_TS2), e.silver(e.bronze1, O_TS1))
+    return cdc.merge_stats(m)
+
+
+@register("c5_merged_table", _MERGE_SQL + """
+SELECT _pk, _action,
+       CASE WHEN _action IN ('insert', 'update') THEN s_h ELSE t_h END AS _row_hash,
+       CASE WHEN _action IN ('insert', 'update') THEN s_b ELSE t_b END AS _batch_id,
+       CAST(CASE WHEN _action IN ('insert', 'update') THEN s_v ELSE t_v END AS DECIMAL(18,2)) AS dollar_volume
+FROM j""")
+def c5_merged_table(spark, sf_dir):
+    e = Extracts(_dom(spark, sf_dir))
+    m = cdc.merge(e.silver(e.bronze2, O_TS2), e.silver(e.bronze1, O_TS1))
+    return m.select("_pk", "_action", "_row_hash", "_batch_id", "dollar_volume")
+
+
+@register("c4_merge_union_form", f"""
+WITH {O.extracts()}
+SELECT _pk, _row_hash, _batch_id FROM b2 WHERE _pk NOT IN (SELECT _pk FROM b1)
+UNION ALL
+SELECT s._pk, s._row_hash, s._batch_id FROM b2 s JOIN b1 t ON s._pk = t._pk WHERE s._row_hash <> t._row_hash
+UNION ALL
+SELECT t._pk, t._row_hash, t._batch_id FROM b1 t JOIN b2 s ON s._pk = t._pk WHERE s._row_hash = t._row_hash
+UNION ALL
+SELECT _pk, _row_hash, _batch_id FROM b1 WHERE _pk NOT IN (SELECT _pk FROM b2)""")
+def c4_merge_union_form(spark, sf_dir):
+    """Library merge form (anti joins + inner joins + union by name)."""
+    e = Extracts(_dom(spark, sf_dir))
+    return cdc.merge_union_form(e.bronze2, e.bronze1).select("_pk", "_row_hash", "_batch_id")
+
+
+@register("a9_key_uniqueness", f"""
+WITH b AS ({O.bronze()})
+SELECT 'sales_key' AS key_name, COUNT(*) AS total_rows, COUNT(DISTINCT _pk) AS distinct_keys,
+       COUNT(*) - COUNT(DISTINCT _pk) AS duplicate_rows FROM b
+UNION ALL
+SELECT 'reference_key', COUNT(*), COUNT(DISTINCT (ce_brand_flvr, region, trade_chnl_desc, year, month)),
+       COUNT(*) - COUNT(DISTINCT (ce_brand_flvr, region, trade_chnl_desc, year, month)) FROM b""")
+def a9_key_uniqueness(spark, sf_dir):
+    """Totals, distinct keys and duplicates for the line key and for the
+    original (brand, region, channel, year, month) key."""
+    b = _dom(spark, sf_dir).layers.bronze_sales
+    from ..sources.driver import REFERENCE_KEY
+    return (cdc.key_report(b, "_pk").select(F.lit("sales_key").alias("key_name"), "*")
+            .unionByName(cdc.key_report(b, REFERENCE_KEY)
+                         .select(F.lit("reference_key").alias("key_name"), "*")))
+
+
+O_TS1 = "2024-01-01 00:00:00"
+O_TS2 = "2024-01-02 00:00:00"
+
+
+# ================================================================ data quality
+from ..operators import quality as Q  # noqa: E402
+from ..operators import metrics as MT  # noqa: E402
+from ..operators import star as ST  # noqa: E402
+from ..functions import rules as RU  # noqa: E402
+from .layers import bronze_sales, sales_dq  # noqa: E402
+
+_D1_RULES = [
+    {"column": "trade_group_desc", "rule": "not_null"},
+    {"column": "dollar_volume", "rule": "positive"},
+    {"column": "chnl_group", "rule": "in_list", "values": ["1-URGENT", "2-HIGH", "3-MEDIUM"]},
+    {"column": "tsr_pckg_nm", "rule": "regex", "pattern": "^[0-9]$"},
+]
+
+
+@register("d1_quality_split", O.with_gold("""
+SELECT nullif(concat_ws('; ',
+         CASE WHEN trade_group_desc IS NULL THEN 'trade_group_desc:null' END,
+         CASE WHEN dollar_volume <= 0 THEN 'dollar_volume:not_positive' END,
+         CASE WHEN NOT chnl_group IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'chnl_group:not_in_list' END,
+         CASE WHEN NOT regexp_matches(tsr_pckg_nm, '^[0-9]$') THEN 'tsr_pckg_nm:regex_mismatch' END), '')
+         AS validation_errors,
+       COUNT(*) AS rows
+FROM gold GROUP BY 1"""))
+def d1_quality_split(spark, sf_dir):
+    """Rule list -> valid / quarantine split; rows per error combination."""
+    valid, bad = Q.apply_data_quality_rules(_dom(spark, sf_dir).layers.silver_sales, _D1_RULES)
+    both = (valid.select(F.lit(None).cast("string").alias("validation_errors"))
+            .unionByName(bad.select(F.col("_validation_errors").alias("validation_errors"))))
+    return both.groupBy("validation_errors").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_DQ_SQL = f"""
+WITH b AS ({O.bronze()}),
+ch AS ({O.CHANNELS}),
+t AS (SELECT b.*, CASE WHEN trim(b.brand_nm) <> '' THEN trim(b.brand_nm) END AS brand_t,
+             CASE WHEN trim(b.trade_chnl_desc) <> '' THEN trim(b.trade_chnl_desc) END AS chnl_t,
+             ch.trade_chnl_desc IS NULL AS ch_missing
+      FROM b LEFT JOIN ch ON trim(b.trade_chnl_desc) = ch.trade_chnl_desc),
+c AS (SELECT t.*, CASE
+        WHEN brand_t IS NULL THEN 'DQ_SALES_001'
+        WHEN chnl_t IS NULL THEN 'DQ_SALES_002'
+        WHEN TRY_CAST(dollar_volume AS DECIMAL(18,2)) IS NULL THEN 'DQ_SALES_003'
+        WHEN try_strptime(date, '%m/%d/%Y') IS NULL THEN 'DQ_SALES_004'
+        WHEN TRY_CAST(year AS INTEGER) IS NULL OR NOT TRY_CAST(year AS INTEGER) BETWEEN 2000 AND 2030 THEN 'DQ_SALES_006'
+        WHEN TRY_CAST(month AS INTEGER) IS NULL OR NOT TRY_CAST(month AS INTEGER) BETWEEN 1 AND 12 THEN 'DQ_SALES_007'
+        WHEN ch_missing THEN 'DQ_SALES_008' END AS dq_code FROM t)"""
+
+
+@register("d3_d4_sales_rules", _DQ_SQL + "\nSELECT dq_code, COUNT(*) AS rows FROM c GROUP BY dq_code")
+def d3_d4_sales_rules(spark, sf_dir):
+    """Coded (001, 002) and declared (003, 004, 006, 007, 008) sales rules,
+    first failure wins; rows per rule code (null = valid)."""
+    d = _dom(spark, sf_dir)
+    dq = Q.apply_dq_sales(d.layers.bronze_sales, declared=True, channels=d.layers.silver_channels)
+    return dq.groupBy(F.col("_dq_code").alias("dq_code")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("d6_quarantine_records", _DQ_SQL + """
+SELECT '20240101000000' AS batch_id, 'bronze_beverage_sales' AS source_table,
+       'silver_beverage_sales' AS target_table, 'DATA_QUALITY' AS error_type,
+       dq_code AS error_code, true AS is_known_rule, false AS reprocessed, COUNT(*) AS rows
+FROM c WHERE dq_code IS NOT NULL GROUP BY dq_code""")
+def d6_quarantine_records(spark, sf_dir):
+    """Quarantine rows (14-column layout) of the failing sales, summarised
+    per error code; ``record_data`` holds each row as JSON."""
+    d = _dom(spark, sf_dir)
+    dq = Q.apply_dq_sales(d.layers.bronze_sales, declared=True, channels=d.layers.silver_channels)
+    bad = dq.filter(F.col("_dq_code").isNotNull())
+    q = Q.quarantine_records(bad, "bronze_beverage_sales", "silver_beverage_sales", "20240101000000",
+                             F.col("_dq_code"), F.lit("sales rule"), batch_ts="2024-01-01 00:00:00")
+    return (q.groupBy("batch_id", "source_table", "target_table", "error_type", "error_code",
+                      "is_known_rule", "reprocessed").agg(F.count(F.lit(1)).alias("rows")))
+
+
+@register("d10_replay_after_rule_fix", _DQ_SQL + """
+SELECT CASE WHEN TRY_CAST(year AS INTEGER) BETWEEN 1990 AND 2030 THEN 'released' ELSE 'held' END AS outcome,
+       COUNT(*) AS rows
+FROM c WHERE dq_code = 'DQ_SALES_006' GROUP BY 1""")
+def d10_replay_after_rule_fix(spark, sf_dir):
+    """Replay: quarantined year-rule rows are read back from their JSON with
+    the stored schema and re-checked under a corrected year range."""
+    d = _dom(spark, sf_dir)
+    bronze = d.layers.bronze_sales
+    dq = Q.apply_dq_sales(bronze, declared=True, channels=d.layers.silver_channels)
+    bad = dq.filter(F.col("_dq_code") == "DQ_SALES_006").drop("_dq_code")
+    q = Q.quarantine_records(bad, "bronze_beverage_sales", "silver_beverage_sales", "20240101000000",
+                             "DQ_SALES_006", "year out of range", batch_ts="2024-01-01 00:00:00")
+    rows = Q.replay(q, bad.schema)
+    y = F.col("year").try_cast("int")
+    return (rows.select(F.when(y.between(1990, 2030), "released").otherwise("held").alias("outcome"))
+            .groupBy("outcome").agg(F.count(F.lit(1)).alias("rows")))
+
+
+@register("d5_channel_rules", f"""
+WITH ch AS ({O.CHANNELS})
+SELECT trade_chnl_desc,
+       CASE WHEN trade_chnl_desc IS NULL THEN 'DQ_CHANNEL_001'
+            WHEN trade_group_desc IS NULL THEN 'DQ_CHANNEL_002'
+            WHEN COUNT(*) OVER (PARTITION BY trade_chnl_desc) > 1 THEN 'DQ_CHANNEL_003'
+            WHEN NOT trade_type_desc IN ('ALCOHOLIC', 'NON ALCOHOLIC', 'MIX') THEN 'DQ_CHANNEL_004'
+       END AS dq_code
+FROM ch""")
+def d5_channel_rules(spark, sf_dir):
+    ch = _dom(spark, sf_dir).layers.silver_channels
+    return Q.channel_checks(ch).select("trade_chnl_desc", F.col("_dq_code").alias("dq_code"))
+
+
+@register("d11_dq_metrics", O.with_gold("""
+SELECT 'silver_sales' AS table_name, metric, column_name, value, CAST(threshold AS DOUBLE) AS threshold,
+       coalesce(value >= threshold, false) AS passed FROM (
+  SELECT 'completeness' AS metric, 'brand_nm' AS column_name, round(COUNT(brand_nm) / COUNT(*), 6) AS value, 0.95 AS threshold FROM gold
+  UNION ALL SELECT 'completeness', 'trade_group_desc', round(COUNT(trade_group_desc) / COUNT(*), 6), 0.95 FROM gold
+  UNION ALL SELECT 'completeness', 'transaction_date', round(COUNT(transaction_date) / COUNT(*), 6), 0.95 FROM gold
+  UNION ALL SELECT 'uniqueness', 'order_id', round(COUNT(DISTINCT (order_id, line_no, ce_brand_flvr, supplier_id)) / COUNT(*), 6), 1.0 FROM gold
+  UNION ALL SELECT 'validity', NULL, round(COUNT(*) FILTER (WHERE dollar_volume > 0) / COUNT(*), 6), 0.98 FROM gold) m"""))
+def d11_dq_metrics(spark, sf_dir):
+    """Completeness, uniqueness and validity against thresholds in one pass."""
+    s = _dom(spark, sf_dir).layers.silver_sales
+    out = Q.dq_metrics(s, "silver_sales", ["brand_nm", "trade_group_desc", "transaction_date"], "_pk",
+                       valid_flag=F.col("dollar_volume") > 0)
+    return out.withColumn("column_name", F.when(F.col("metric") == "uniqueness", F.lit("order_id"))
+                          .otherwise(F.col("column_name")))
+
+
+@register("d12_fact_null_keys", O.with_gold("""
+SELECT COUNT(*) AS fact_rows,
+       COUNT(*) FILTER (WHERE transaction_date IS NULL OR region IS NULL OR ce_brand_flvr IS NULL
+          OR brand_nm IS NULL OR pkg_cat IS NULL OR pkg_cat_desc IS NULL OR tsr_pckg_nm IS NULL
+          OR chnl_group IS NULL OR trade_chnl_desc IS NULL) AS null_key_rows FROM gold"""))
+def d12_fact_null_keys(spark, sf_dir):
+    return ST.fact_null_keys(_dom(spark, sf_dir).star["fact_sales"])
+
+
+@register("j4_channel_orphans", O.with_gold("""
+SELECT trade_chnl_desc, COUNT(*) AS orphan_rows FROM gold WHERE trade_group_desc IS NULL
+GROUP BY trade_chnl_desc"""))
+def j4_channel_orphans(spark, sf_dir):
+    """Sales lines whose trade channel is missing from the channel master."""
+    s = _dom(spark, sf_dir).layers.silver_sales
+    return (s.filter(F.col("trade_group_desc").isNull()).groupBy("trade_chnl_desc")
+            .agg(F.count(F.lit(1)).alias("orphan_rows")))
