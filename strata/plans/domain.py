@@ -46,7 +46,7 @@ class DriverDomain:
         """Gold sales handed over through a reliable checkpoint, so the star
         schema reads it as a scan instead of recomputing the source joins
         once per dimension."""
-        return materialize(self.layers.gold_sales)
+        return materialize(self.layers.gold_sales, "gold_sales")
 
     @cached_property
     def star(self) -> dict[str, DataFrame]:

@@ -51,12 +51,23 @@ class TableStore:
             w = w.partitionBy(*partition_by)
         w.save(self.path(layer, table))
 
+    def overwrite_partitions(self, df: DataFrame, layer: str, table: str,
+                             partition_by: list[str]) -> None:
+        """Replace only the partitions present in ``df`` (dynamic overwrite).
+        Loading one batch per partition makes a replayed load idempotent."""
+        (df.write.mode("overwrite").format(self.fmt).option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*partition_by).save(self.path(layer, table)))
+
     # ---- current (staged replace) ----------------------------------------
     def replace(self, df: DataFrame, layer: str, table: str, version: str | None = None,
                 partition_by: list[str] | None = None) -> str:
         version = version or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
         base = self.path(layer, table)
-        w = df.write.mode("errorifexists").format(self.fmt)
+        # An uncommitted version directory (a failed earlier attempt) is never
+        # read, so overwriting it is safe; committed versions are immutable.
+        if self.is_committed(layer, table, version):
+            raise ValueError(f"version {version} of {layer}.{table} is already committed")
+        w = df.write.mode("overwrite").format(self.fmt)
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.save(f"{base}/v={version}")
@@ -69,6 +80,14 @@ class TableStore:
     def versions(self, layer: str, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path(layer, table)}/_commits")
 
+    def is_committed(self, layer: str, table: str, version: str) -> bool:
+        try:
+            return self.versions(layer, table).filter(F.col("version") == version).limit(1).count() > 0
+        except AnalysisException as e:
+            if _missing(e):
+                return False
+            raise
+
     def current_version(self, layer: str, table: str) -> str | None:
         try:
             row = self.versions(layer, table).agg(F.max("version").alias("v")).first()
