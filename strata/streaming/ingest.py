@@ -32,11 +32,13 @@ def sales_stream(spark: SparkSession, landing_dir: str, columns: list[str] | Non
          .option("encoding", "UTF-16LE").option("lineSep", "\r\n"))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.csv(landing_dir)
+    # the file path is taken in the stream itself (the micro-batch frame
+    # handed to foreachBatch no longer carries the hidden _metadata column)
+    return r.csv(landing_dir).withColumn("_path", F.col("_metadata.file_path"))
 
 
 def to_bronze(batch: DataFrame, profile: Profile, batch_id: str) -> DataFrame:
-    df = standardize_column_names(batch.withColumn("_path", F.col("_metadata.file_path")), "currency")
+    df = standardize_column_names(batch, "currency")
     if REGION_SOURCE_COLUMN in df.columns:
         df = df.withColumnRenamed(REGION_SOURCE_COLUMN, "region")
     df = add_row_hash(add_primary_key(df, profile.key_columns), exclude_columns=["_path"])
