@@ -25,11 +25,21 @@ LINEAGE = [
     ("consumption.fact_sales", "consumption.agg_sales_brand_month", "brand by month"),
     ("consumption.fact_sales", "consumption.agg_sales_brand_region", "brand by region"),
 ]
-# Retention (days kept, days archived) per layer, and classification.
-RETENTION_DAYS = {"landing": (30, 90), "bronze": (365, 2555), "silver": (730, 2555),
-                  "gold": (1095, 2555), "consumption": (1095, 2555), "control": (365, 2555)}
-CLASSIFICATION = {"landing": "internal", "bronze": "internal", "silver": "internal",
-                  "gold": "confidential", "consumption": "confidential", "control": "internal"}
+# Retention per layer as (archive after days, retain days).
+RETENTION_DAYS = {"landing": (30, 90), "bronze": (180, 365), "silver": (365, 730),
+                  "gold": (730, 1095), "consumption": (730, 1095), "control": (180, 365)}
+# Classification per table.
+CLASSIFICATION = {
+    "bronze_beverage_sales": "INTERNAL", "bronze_channel_features": "INTERNAL",
+    "silver_sales_enriched": "INTERNAL", "silver_channel_features": "INTERNAL",
+    "gold_sales_enriched": "INTERNAL", "gold_channels_enriched": "INTERNAL",
+    "fact_sales": "INTERNAL", "dim_date": "PUBLIC", "dim_region": "PUBLIC",
+    "dim_product": "INTERNAL", "dim_channel": "INTERNAL",
+    "agg_sales_region_tradegroup": "INTERNAL", "agg_sales_brand_month": "INTERNAL",
+    "agg_sales_brand_region": "INTERNAL", "process_control": "CONFIDENTIAL",
+    "quarantine": "CONFIDENTIAL",
+}
+DEFAULT_CLASSIFICATION = "INTERNAL"
 # Alert thresholds.
 STAGE_SECONDS_LIMIT = 3600
 QUARANTINE_PER_HOUR_LIMIT = 100
@@ -45,7 +55,7 @@ def catalog_rows(spark: SparkSession, tables: dict[str, tuple[str, DataFrame]],
         for i, f in enumerate(df.schema.fields):
             rows.append((name, layer, (descriptions or {}).get(name), f.name, f.dataType.simpleString(),
                          f.nullable, i + 1, f.name.startswith("_"), (owners or {}).get(name),
-                         CLASSIFICATION.get(layer)))
+                         CLASSIFICATION.get(name, DEFAULT_CLASSIFICATION)))
     return spark.createDataFrame(rows, "table_name string, layer string, description string, "
                                        "column_name string, data_type string, nullable boolean, "
                                        "ordinal int, is_audit boolean, owner string, classification string")
@@ -75,7 +85,7 @@ def retention_split(df: DataFrame, layer: str, date_col: str = "_ingestion_date"
                     today: str | None = None) -> DataFrame:
     """Label rows keep / archive / drop by age; a filter on the label prunes
     partitions when the table is partitioned by ``date_col``."""
-    keep, archive = RETENTION_DAYS[layer]
+    keep, archive = RETENTION_DAYS[layer]  # archive after ``keep`` days, drop after ``archive``
     ref = F.to_date(F.lit(today)) if today else F.current_date()
     age = F.datediff(ref, F.col(date_col))
     return df.withColumn("_retention", F.when(age <= keep, "keep").when(age <= archive, "archive")
