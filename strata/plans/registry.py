@@ -600,3 +600,80 @@ UNION ALL SELECT 'year', COUNT(*) FILTER (WHERE year IS NULL), COUNT(*) FILTER (
 def a15_null_negative_counts(spark, sf_dir):
     g = _dom(spark, sf_dir).layers.gold_sales
     return MT.null_negative_counts(g, ["dollar_volume", "trade_group_desc", "brand_nm", "year"])
+
+
+# ================================================================ layer checks and control
+def _layer_tables(d: DriverDomain) -> dict:
+    L = d.layers
+    dq = Q.apply_dq_sales(L.bronze_sales, declared=True, channels=L.silver_channels)
+    s = d.star
+    return {"bronze_sales": ("bronze", L.bronze_sales), "silver_sales": ("silver", L.silver_sales),
+            "gold_sales": ("gold", d.gold), "quarantine": ("control", dq.filter(F.col("_dq_code").isNotNull())),
+            **{k: ("consumption", v) for k, v in s.items()}}
+
+
+_COUNTS_SQL = f"""
+WITH b AS ({O.bronze()}), gold AS ({O.gold()}),
+ch AS ({O.CHANNELS}),
+q AS (SELECT COUNT(*) AS n FROM b LEFT JOIN ch ON trim(b.trade_chnl_desc) = ch.trade_chnl_desc
+      WHERE NOT TRY_CAST(year AS INTEGER) BETWEEN 2000 AND 2030 OR ch.trade_chnl_desc IS NULL),
+counts AS (
+  SELECT 'bronze' AS layer, 'bronze_sales' AS table_name, (SELECT COUNT(*) FROM b) AS rows
+  UNION ALL SELECT 'silver', 'silver_sales', (SELECT COUNT(*) FROM gold)
+  UNION ALL SELECT 'gold', 'gold_sales', (SELECT COUNT(*) FROM gold)
+  UNION ALL SELECT 'control', 'quarantine', (SELECT n FROM q)
+  UNION ALL SELECT 'consumption', 'dim_date', (SELECT COUNT(DISTINCT transaction_date) FROM gold)
+  UNION ALL SELECT 'consumption', 'dim_region', (SELECT COUNT(DISTINCT region) FROM gold)
+  UNION ALL SELECT 'consumption', 'dim_product', (SELECT COUNT(*) FROM (SELECT DISTINCT ce_brand_flvr, brand_nm, pkg_cat, pkg_cat_desc, tsr_pckg_nm FROM gold) x)
+  UNION ALL SELECT 'consumption', 'dim_channel', (SELECT COUNT(*) FROM (SELECT DISTINCT chnl_group, trade_chnl_desc FROM gold) x)
+  UNION ALL SELECT 'consumption', 'fact_sales', (SELECT COUNT(*) FROM gold))"""
+
+
+@register("a16_layer_totals", _COUNTS_SQL + """
+SELECT layer, COUNT(*) AS tables, CAST(SUM(rows) AS BIGINT) AS rows,
+       COUNT(*) FILTER (WHERE rows = 0) AS empty_tables
+FROM counts GROUP BY layer""")
+def a16_layer_totals(spark, sf_dir):
+    """Tables, rows and empty tables per layer (one job over all tables)."""
+    return MT.layer_totals(MT.table_counts(_layer_tables(_dom(spark, sf_dir))))
+
+
+@register("d13_layer_monotonicity", _COUNTS_SQL + """
+SELECT MAX(rows) FILTER (WHERE table_name = 'bronze_sales') AS bronze_rows,
+       MAX(rows) FILTER (WHERE table_name = 'silver_sales') AS silver_rows,
+       MAX(rows) FILTER (WHERE table_name = 'gold_sales') AS gold_rows,
+       MAX(rows) FILTER (WHERE table_name = 'bronze_sales') >= MAX(rows) FILTER (WHERE table_name = 'silver_sales')
+       AND MAX(rows) FILTER (WHERE table_name = 'silver_sales') >= MAX(rows) FILTER (WHERE table_name = 'gold_sales')
+       AS monotonic
+FROM counts""")
+def d13_layer_monotonicity(spark, sf_dir):
+    """bronze >= silver >= gold row counts."""
+    c = MT.table_counts({k: v for k, v in _layer_tables(_dom(spark, sf_dir)).items()
+                         if k in ("bronze_sales", "silver_sales", "gold_sales")})
+    p = c.groupBy().pivot("table_name", ["bronze_sales", "silver_sales", "gold_sales"]).agg(F.first("rows"))
+    return p.select(F.col("bronze_sales").alias("bronze_rows"), F.col("silver_sales").alias("silver_rows"),
+                    F.col("gold_sales").alias("gold_rows"),
+                    ((F.col("bronze_sales") >= F.col("silver_sales"))
+                     & (F.col("silver_sales") >= F.col("gold_sales"))).alias("monotonic"))
+
+
+@register("r6_latest_batch_counts", f"""
+WITH {O.extracts()}
+SELECT region, COUNT(*) AS rows FROM b2 GROUP BY region""")
+def r6_latest_batch_counts(spark, sf_dir):
+    """Rows per region in the newest batch of the bronze history (SQL with a
+    scalar subquery)."""
+    from ..operators.control import latest_batch_counts
+    Extracts(_dom(spark, sf_dir)).history.createOrReplaceTempView("bronze_sales_history")
+    return latest_batch_counts(spark, "bronze_sales_history", "region")
+
+
+@register("o3_last_batch_per_region", f"""
+WITH {O.extracts()}, h AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2)
+SELECT region, arg_max(_batch_id, _ingestion_timestamp) AS last_batch_id, COUNT(DISTINCT _batch_id) AS batches
+FROM h GROUP BY region""")
+def o3_last_batch_per_region(spark, sf_dir):
+    """Newest batch per region by load time (``max_by``, no sort)."""
+    h = Extracts(_dom(spark, sf_dir)).history
+    return h.groupBy("region").agg(F.max_by("_batch_id", "_ingestion_timestamp").alias("last_batch_id"),
+                                   F.count_distinct("_batch_id").alias("batches"))
