@@ -7,14 +7,31 @@ from pyspark.sql import functions as F
 
 # Broadcast only below this many rows unless the caller proves a smaller bound.
 DEFAULT_BROADCAST_ROWS = 1_000_000
+# Plan-statistics bound under which no counting job is needed.
+DEFAULT_BROADCAST_BYTES = 8 * 1024 * 1024
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it holds at most ``max_rows`` rows, else leave the
-    join to a shuffle (sort-merge with AQE skew splitting).
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan (the number Spark's own
+    auto-broadcast uses). Without CBO it never shrinks below what the inputs
+    allow: filters and aggregates keep their child's size."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
 
-    The check reads at most ``max_rows + 1`` rows of the small side, so its
-    cost is bounded even when the side turns out to be large.
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when it is provably small, else leave the join to
+    a shuffle (sort-merge with AQE skew splitting).
+
+    First the plan's size estimate is checked (no job). If that is too large
+    to decide, at most ``max_rows + 1`` rows are counted, so the check's cost
+    stays bounded even when the side turns out to be large.
     """
+    est = estimated_bytes(df)
+    if est is not None and est <= max_bytes:
+        return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
