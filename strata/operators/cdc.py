@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import DEFAULT_BROADCAST_ROWS, is_small
+
 # Merge actions.
 INSERT, UPDATE, UNCHANGED, STALE, KEEP = "insert", "update", "unchanged", "stale", "keep"
 
@@ -46,8 +48,18 @@ def _pick(cond: Column, a: str, b: str) -> Column:
 
 
 def merge(source: DataFrame, target: DataFrame, key: str = "_pk", hash_col: str = "_row_hash",
-          ts_col: str | None = "_ingestion_timestamp", dedupe_source: bool = True) -> DataFrame:
-    """Keyed merge of an increment into the current table as ONE full outer join.
+          ts_col: str | None = "_ingestion_timestamp", dedupe_source: bool = True,
+          small_source_rows: int | None = DEFAULT_BROADCAST_ROWS, count_check: bool = False) -> DataFrame:
+    """Keyed merge of an increment into the current table.
+
+    Large increment: ONE full outer join on the key (each side shuffled once).
+    Small increment (provably small by its plan estimate, or by a bounded
+    count when ``count_check``; the usual daily
+    batch against a large current table): the increment's keys are
+    broadcast, the untouched target rows pass through a broadcast anti join
+    without any shuffle, and only the touched target rows (broadcast semi
+    join) meet the increment in the full outer join. Both plans give the
+    same rows.
 
     Returns every row of the new current table plus ``_action``:
     ``insert`` (key only in source), ``keep`` (key only in target),
@@ -58,6 +70,20 @@ def merge(source: DataFrame, target: DataFrame, key: str = "_pk", hash_col: str
     """
     if dedupe_source:
         source = latest_per_key(source, key)
+    if small_source_rows and is_small(source.select(key), small_source_rows, count=count_check):
+        keys = F.broadcast(source.select(key))
+        untouched = target.join(keys, key, "left_anti")
+        touched = target.join(keys, key, "left_semi")
+        merged = _merge_join(source, touched, key, hash_col, ts_col)
+        cols = [c for c in merged.columns if c != "_action"]
+        keep = untouched.select(*[F.col(c) if c in untouched.columns else F.lit(None).alias(c) for c in cols],
+                                F.lit(KEEP).alias("_action"))
+        return merged.unionByName(keep)
+    return _merge_join(source, target, key, hash_col, ts_col)
+
+
+def _merge_join(source: DataFrame, target: DataFrame, key: str, hash_col: str,
+                ts_col: str | None) -> DataFrame:
     cols = list(dict.fromkeys(list(target.columns) + list(source.columns)))
     s = source.select(*[F.col(c) if c in source.columns else F.lit(None).alias(c) for c in cols])
     t = target.select(*[F.col(c) if c in target.columns else F.lit(None).alias(c) for c in cols])

@@ -21,6 +21,16 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+             max_bytes: int = DEFAULT_BROADCAST_BYTES, count: bool = True) -> bool:
+    """True when ``df`` is provably under the bounds: the plan estimate first,
+    then (if ``count``) a count of at most ``max_rows + 1`` rows."""
+    est = estimated_bytes(df)
+    if est is not None and est <= max_bytes:
+        return True
+    return count and df.limit(max_rows + 1).count() <= max_rows
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``df`` only when it is provably small, else leave the join to
@@ -30,8 +40,4 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     to decide, at most ``max_rows + 1`` rows are counted, so the check's cost
     stays bounded even when the side turns out to be large.
     """
-    est = estimated_bytes(df)
-    if est is not None and est <= max_bytes:
-        return F.broadcast(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .joins import bounded_broadcast
+
 # The quarantine table layout.
 QUARANTINE_SCHEMA = (
     "quarantine_id string, batch_id string, source_table string, target_table string, "
@@ -137,7 +139,7 @@ def apply_dq_sales(df: DataFrame, declared: bool = False,
     """
     df = trim_blank(df, ["brand_nm", "trade_chnl_desc", "region"])
     if declared and channels is not None:
-        keys = channels.select(F.trim("trade_chnl_desc").alias("_ck")).distinct()
+        keys = bounded_broadcast(channels.select(F.trim("trade_chnl_desc").alias("_ck")).distinct())
         df = (df.join(keys, F.col("trade_chnl_desc") == F.col("_ck"), "left")
               .withColumn("_channel_missing", F.col("_ck").isNull()).drop("_ck"))
     out = df.withColumn("_dq_code", first_failure(sales_checks(declared, channels)))

@@ -68,7 +68,7 @@ def run_incremental(spark: SparkSession, landing_dir: str, store: TableStore, ch
                 "control", "quarantine", ["batch_id"])
             src = silver_sales(dq.filter(F.col("_dq_code").isNull()))
             current = store.read_if_exists("silver", table, src.schema)
-            store.replace(merged_table(merge(src, current)), "silver", table, version=version)
+            store.replace(merged_table(merge(src, current, count_check=True)), "silver", table, version=version)
         finally:
             bronze.unpersist()
 

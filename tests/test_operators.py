@@ -177,3 +177,14 @@ def test_profiles(spark):
     assert (n["a"]["negative_count"], n["b"]["null_count"], n["s"]["negative_count"]) == (1, 1, None)
     f = {(r["attribute"], r["value"]): r["rows"] for r in M.category_frequencies(df, ["s"]).collect()}
     assert f == {("s", "x"): 1, ("s", None): 1}
+
+
+def test_merge_small_and_large_paths_agree(spark):
+    tgt = _bronze(spark, [(f"k{i}", str(i), f"h{i}") for i in range(40)], "2024-01-01 00:00:00")
+    src = _bronze(spark, [(f"k{i}", str(i) + ("x" if i % 3 == 0 else ""), f"h{i}" + ("x" if i % 3 == 0 else ""))
+                          for i in range(30, 50)], "2024-01-02 00:00:00")
+    small = sorted(tuple(r) for r in cdc.merge(src, tgt, count_check=True).collect())
+    large = sorted(tuple(r) for r in cdc.merge(src, tgt, small_source_rows=None).collect())
+    assert small == large and len(small) == 50
+    acts = {r["_action"]: r["records"] for r in cdc.merge_stats(cdc.merge(src, tgt, count_check=True)).collect()}
+    assert acts == {"keep": 30, "unchanged": 6, "update": 4, "insert": 10}
