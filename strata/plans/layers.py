@@ -19,7 +19,7 @@ from ..functions.names import standardize_column_names
 from ..operators import star
 from ..operators.cdc import latest_per_key
 from ..operators.joins import bounded_broadcast
-from ..operators.quality import apply_dq_sales, trim_blank
+from ..operators.quality import apply_dq_sales
 
 # The region column rename and the source table names.
 REGION_SOURCE_COLUMN = "btlr_org_lvl_c_desc"
@@ -148,7 +148,3 @@ def build_layers(sales_landing: DataFrame, channel_landing: DataFrame, profile:
     ss = enrich_with_channels(silver_sales(valid, batch_ts), sc)
     gc = gold_channels(sc, batch_ts)
     return Layers(bs, bc, dq, ss, sc, gold_sales(ss, profile, batch_ts), gc)
-
-
-def trim_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    return trim_blank(df, cols)

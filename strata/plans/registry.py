@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from ..functions import rules as RU
+from ..operators import cdc
+from ..operators import metrics as MT
+from ..operators import quality as Q
+from ..operators import star as ST
+from ..operators.control import latest_batch_counts
+from ..sources.driver import REFERENCE_KEY
 from . import marts
 from . import oracle as O
-from .domain import DriverDomain
+from .domain import BATCH_TS, SECOND_BATCH_TS, DriverDomain, Extracts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -168,10 +176,7 @@ def q45_executive_summary(spark, sf_dir):
 
 
 # ================================================================ change capture
-from pyspark.sql import functions as F  # noqa: E402
 
-from ..operators import cdc  # noqa: E402
-from .domain import Extracts  # noqa: E402
 
 _KEYCOLS = ["order_id", "line_no", "ce_brand_flvr", "supplier_id"]
 
@@ -216,7 +221,7 @@ def c5_merge_stats(spark, sf_dir):
     """Insert / update / unchanged / keep counts of merging load 2 into the
     current table built from load 1 (one full outer join)."""
     e = Extracts(_dom(spark, sf_dir))
-    m = cdc.merge(e.silver(e.bronze2, O_TS2), e.silver(e.bronze1, O_TS1))
+    m = cdc.merge(e.silver(e.bronze2, SECOND_BATCH_TS), e.silver(e.bronze1, BATCH_TS))
     return cdc.merge_stats(m)
 
 
@@ -228,7 +233,7 @@ SELECT _pk, _action,
 FROM j""")
 def c5_merged_table(spark, sf_dir):
     e = Extracts(_dom(spark, sf_dir))
-    m = cdc.merge(e.silver(e.bronze2, O_TS2), e.silver(e.bronze1, O_TS1))
+    m = cdc.merge(e.silver(e.bronze2, SECOND_BATCH_TS), e.silver(e.bronze1, BATCH_TS))
     return m.select("_pk", "_action", "_row_hash", "_batch_id", "dollar_volume")
 
 
@@ -258,22 +263,13 @@ def a9_key_uniqueness(spark, sf_dir):
     """Totals, distinct keys and duplicates for the line key and for the
     original (brand, region, channel, year, month) key."""
     b = _dom(spark, sf_dir).layers.bronze_sales
-    from ..sources.driver import REFERENCE_KEY
     return (cdc.key_report(b, "_pk").select(F.lit("sales_key").alias("key_name"), "*")
             .unionByName(cdc.key_report(b, REFERENCE_KEY)
                          .select(F.lit("reference_key").alias("key_name"), "*")))
 
 
-O_TS1 = "2024-01-01 00:00:00"
-O_TS2 = "2024-01-02 00:00:00"
-
 
 # ================================================================ data quality
-from ..operators import quality as Q  # noqa: E402
-from ..operators import metrics as MT  # noqa: E402
-from ..operators import star as ST  # noqa: E402
-from ..functions import rules as RU  # noqa: E402
-from .layers import bronze_sales, sales_dq  # noqa: E402
 
 _D1_RULES = [
     {"column": "trade_group_desc", "rule": "not_null"},
@@ -663,7 +659,6 @@ SELECT region, COUNT(*) AS rows FROM b2 GROUP BY region""")
 def r6_latest_batch_counts(spark, sf_dir):
     """Rows per region in the newest batch of the bronze history (SQL with a
     scalar subquery)."""
-    from ..operators.control import latest_batch_counts
     Extracts(_dom(spark, sf_dir)).history.createOrReplaceTempView("bronze_sales_history")
     return latest_batch_counts(spark, "bronze_sales_history", "region")
 
