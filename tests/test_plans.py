@@ -56,3 +56,15 @@ def test_mart_totals_equal_fact_totals(spark):
     m = marts.brand_month(s["fact_sales"], s["dim_product"], s["dim_date"])
     assert m.agg(F.sum("total_dollar_volume")).first()[0] == fact_sum
     assert m.agg(F.sum("transaction_count")).first()[0] == s["fact_sales"].count()
+
+
+def test_bounded_broadcast_checks_size(spark):
+    from strata.operators.joins import bounded_broadcast, is_small
+    small = spark.createDataFrame([(1, "a")], "k int, v string")
+    big = spark.range(5000).withColumnRenamed("id", "k")
+    assert is_small(small) and not is_small(big, max_rows=100, max_bytes=10)
+    assert not is_small(big, max_rows=100, max_bytes=10, count=False)
+    j1 = big.join(bounded_broadcast(small), "k")
+    j2 = small.join(bounded_broadcast(big, max_rows=100, max_bytes=10), "k")
+    assert "ResolvedHint (strategy=broadcast)" in j1._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" not in j2._jdf.queryExecution().analyzed().toString()
