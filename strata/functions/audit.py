@@ -17,15 +17,8 @@ def _ts(batch_ts: str | None) -> Column:
     return F.to_timestamp(F.lit(batch_ts)) if batch_ts else F.current_timestamp()
 
 
-def add_audit_columns(df: DataFrame, source_file: str | None = None,
-                      source_path: str | None = None, layer: str = "bronze",
-                      batch_id: str | None = None, batch_ts: str | None = None) -> DataFrame:
-    """Seven lineage columns.
-
-    ``source_file=None`` takes the path per row from the file source's hidden
-    ``_metadata`` column, so one read of many files keeps per-file lineage.
-    ``batch_ts`` pins the load time (replays, tests); default is now.
-    """
+def audit_exprs(source_file: str | None = None, source_path: str | None = None, layer: str = "bronze",
+                batch_id: str | None = None, batch_ts: str | None = None) -> dict[str, Column]:
     if source_file is None:
         path = F.col("_metadata.file_path")
         name = F.element_at(F.split(path, "/"), -1)
@@ -33,7 +26,7 @@ def add_audit_columns(df: DataFrame, source_file: str | None = None,
         path = F.lit(source_path or source_file)
         name = F.lit(posixpath.basename(source_file))
     ts = _ts(batch_ts)
-    return df.withColumns({
+    return {
         "_source_file": name,
         "_source_path": path,
         "_ingestion_date": F.to_date(ts),
@@ -41,7 +34,19 @@ def add_audit_columns(df: DataFrame, source_file: str | None = None,
         "_batch_id": F.lit(batch_id or batch_id_for()),
         "_updated_at": ts,
         "_layer": F.lit(layer),
-    })
+    }
+
+
+def add_audit_columns(df: DataFrame, source_file: str | None = None,
+                      source_path: str | None = None, layer: str = "bronze",
+                      batch_id: str | None = None, batch_ts: str | None = None) -> DataFrame:
+    """Seven lineage columns.
+
+    ``source_file=None`` takes the path per row from the file source's hidden
+    ``_metadata`` column, so one read of many files keeps per-file lineage.
+    ``batch_ts`` pins the load time (replays, tests); default is now.
+    """
+    return df.withColumns(audit_exprs(source_file, source_path, layer, batch_id, batch_ts))
 
 
 def update_layer_timestamp(df: DataFrame, layer: str, batch_ts: str | None = None) -> DataFrame:

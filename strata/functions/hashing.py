@@ -45,11 +45,21 @@ def _check(df: DataFrame, cols: list[str]) -> None:
         raise ValueError("at least one key column is required")
 
 
+def primary_key_expr(df: DataFrame, key_columns: list[str], form: str = "token",
+                     trim: bool = True) -> Column:
+    _check(df, key_columns)
+    return F.md5(concat_key(key_columns, form, trim))
+
+
+def row_hash_expr(df: DataFrame, exclude_columns: list[str] | None = None,
+                  form: str = "token", trim: bool = True) -> Column:
+    return F.sha2(concat_key(hash_columns(df, exclude_columns, form), form, trim), 256)
+
+
 def add_primary_key(df: DataFrame, key_columns: list[str], form: str = "token",
                     trim: bool = True, name: str = "_pk") -> DataFrame:
     """``_pk`` = md5 of the joined key values."""
-    _check(df, key_columns)
-    return df.withColumn(name, F.md5(concat_key(key_columns, form, trim)))
+    return df.withColumn(name, primary_key_expr(df, key_columns, form, trim))
 
 
 def hash_columns(df: DataFrame, exclude: list[str] | None = None,
@@ -62,8 +72,7 @@ def hash_columns(df: DataFrame, exclude: list[str] | None = None,
 def add_row_hash(df: DataFrame, exclude_columns: list[str] | None = None,
                  form: str = "token", trim: bool = True) -> DataFrame:
     """``_row_hash`` = sha256 of all non-audit columns. Never mutates arguments."""
-    cols = hash_columns(df, exclude_columns, form)
-    return df.withColumn("_row_hash", F.sha2(concat_key(cols, form, trim), 256))
+    return df.withColumn("_row_hash", row_hash_expr(df, exclude_columns, form, trim))
 
 
 def hash_key(cols: list[str]) -> Column:

@@ -22,6 +22,15 @@ PROFILE = Profile(key_columns=list(D.SALES_KEY), region_groups=dict(D.REGION_GRO
                   source_file="driver_sales", channel_file="driver_channels")
 
 
+# The gold columns the star schema reads. Handing over only
+# these lets Catalyst prune per-row work the star never uses (row hash,
+# audit stamps) before the hand-over is written.
+STAR_INPUT = ["transaction_date", "region", "region_group", "country", "ce_brand_flvr", "brand_nm",
+              "pkg_cat", "pkg_cat_desc", "tsr_pckg_nm", "chnl_group", "trade_chnl_desc",
+              "trade_group_desc", "trade_type_desc", "dollar_volume", "volume_category",
+              "is_negative_sale", "year", "month", "_source_file", "_ingestion_date"]
+
+
 class DriverDomain:
     def __init__(self, spark: SparkSession, sf_dir: str, profile: Profile = PROFILE):
         self.spark, self.sf_dir, self.profile = spark, sf_dir, profile
@@ -46,7 +55,7 @@ class DriverDomain:
         """Gold sales handed over through a reliable checkpoint, so the star
         schema reads it as a scan instead of recomputing the source joins
         once per dimension."""
-        return materialize(self.layers.gold_sales, "gold_sales")
+        return materialize(self.layers.gold_sales.select(*STAR_INPUT), "gold_sales")
 
     @cached_property
     def star(self) -> dict[str, DataFrame]:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.audit import add_audit_columns, audit_first, update_layer_timestamp
-from ..functions.hashing import add_primary_key, add_row_hash
+from ..functions.audit import add_audit_columns, audit_exprs, audit_first, update_layer_timestamp
+from ..functions.hashing import add_primary_key, add_row_hash, primary_key_expr, row_hash_expr
 from ..functions.names import standardize_column_names
 from ..operators import star
 from ..operators.cdc import latest_per_key
@@ -45,12 +45,14 @@ class Profile:
 
 def bronze_sales(landing: DataFrame, profile: Profile, batch_id: str,
                  batch_ts: str | None = None, source_file: str | None = None) -> DataFrame:
+    """Names, key, row hash and audit columns in ONE projection (audit first)."""
     df = standardize_column_names(landing, "currency")
     if REGION_SOURCE_COLUMN in df.columns:
         df = df.withColumnRenamed(REGION_SOURCE_COLUMN, "region")
-    df = add_row_hash(add_primary_key(df, profile.key_columns))
-    df = add_audit_columns(df, source_file or profile.source_file, None, "bronze", batch_id, batch_ts)
-    return audit_first(df)
+    audit = audit_exprs(source_file or profile.source_file, None, "bronze", batch_id, batch_ts)
+    return df.select(primary_key_expr(df, profile.key_columns).alias("_pk"),
+                     row_hash_expr(df).alias("_row_hash"),
+                     *[e.alias(n) for n, e in audit.items()], *df.columns)
 
 
 def bronze_channels(landing: DataFrame, profile: Profile, batch_id: str,
