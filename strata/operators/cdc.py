@@ -49,7 +49,8 @@ def _pick(cond: Column, a: str, b: str) -> Column:
 
 def merge(source: DataFrame, target: DataFrame, key: str = "_pk", hash_col: str = "_row_hash",
           ts_col: str | None = "_ingestion_timestamp", dedupe_source: bool = True,
-          small_source_rows: int | None = DEFAULT_BROADCAST_ROWS, count_check: bool = False) -> DataFrame:
+          small_source_rows: int | None = DEFAULT_BROADCAST_ROWS, count_check: bool = False,
+          num_partitions: int | None = None) -> DataFrame:
     """Keyed merge of an increment into the current table.
 
     Large increment: ONE full outer join on the key (each side shuffled once).
@@ -61,6 +62,11 @@ def merge(source: DataFrame, target: DataFrame, key: str = "_pk", hash_col: str
     join) meet the increment in the full outer join. Both plans give the
     same rows.
 
+    ``num_partitions``: the bucket count of a target bucketed by ``key``. The
+    increment is hash-partitioned to match once, before its dedupe, so the
+    dedupe and the join reuse that one exchange and the target is read
+    without any shuffle.
+
     Returns every row of the new current table plus ``_action``:
     ``insert`` (key only in source), ``keep`` (key only in target),
     ``unchanged`` (equal hash; target row kept), ``update`` (hash differs and
@@ -68,9 +74,14 @@ def merge(source: DataFrame, target: DataFrame, key: str = "_pk", hash_col: str
     target row kept). Column sets may differ: missing columns are null-filled
     by name. Counting ``_action`` gives the merge statistics.
     """
+    if num_partitions:
+        source = source.repartition(num_partitions, key)
     if dedupe_source:
         source = latest_per_key(source, key)
-    if small_source_rows and is_small(source.select(key), small_source_rows, count=count_check):
+    # With a bucketed target the one join already shuffles only the increment
+    # and keeps the bucket partitioning for the write, so it is always used.
+    if not num_partitions and small_source_rows and is_small(source.select(key), small_source_rows,
+                                                             count=count_check):
         keys = F.broadcast(source.select(key))
         untouched = target.join(keys, key, "left_anti")
         touched = target.join(keys, key, "left_semi")

@@ -86,10 +86,12 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
         enriched = enrich_with_channels(typed, store.read("silver", CHANNEL_TABLE))
         current = store.read_if_exists("silver", SALES_TABLE, enriched.schema)
         a = F.col("_action")
-        merged, mobs = _counted(merge(enriched, current),
+        nb = profile.current_buckets
+        merged, mobs = _counted(merge(enriched, current, num_partitions=nb),
                                 ("inserted", a == "insert"), ("updated", a == "update"),
                                 ("unchanged", a == "unchanged"), ("kept", a == "keep"))
-        store.replace(merged.drop("_action"), "silver", SALES_TABLE, version=batch_id)
+        store.replace(merged.drop("_action"), "silver", SALES_TABLE, version=batch_id,
+                      bucket_by=(nb, "_pk") if nb else None)
         m = mobs.get
         out.update({k: m[k] for k in ("inserted", "updated", "unchanged", "kept")})
         out["quarantined"], out["silver_rows"] = qobs.get["rows"], m["rows"]

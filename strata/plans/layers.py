@@ -39,6 +39,9 @@ class Profile:
     source_file: str = "beverage_sales.tsv"
     channel_file: str = "beverage_channel_group.csv"
     null_safe_lookup: bool = False
+    # Buckets of the silver current table by ``_pk`` (None = not bucketed).
+    # Bucketed, a merge shuffles only the increment, never the current table.
+    current_buckets: int | None = None
 
 
 # --- bronze -------------------------------------------------------------------

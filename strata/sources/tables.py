@@ -14,6 +14,8 @@ session, else Parquet); read errors surface instead of being swallowed.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LAYERS = ("landing", "bronze", "silver", "gold", "consumption", "control")
+COMMIT_SCHEMA = "version string, committed_at timestamp, buckets int, bucket_col string"
 
 
 def table_format(spark: SparkSession) -> str:
@@ -60,7 +63,17 @@ class TableStore:
 
     # ---- current (staged replace) ----------------------------------------
     def replace(self, df: DataFrame, layer: str, table: str, version: str | None = None,
-                partition_by: list[str] | None = None) -> str:
+                partition_by: list[str] | None = None,
+                bucket_by: tuple[int, str] | None = None) -> str:
+        """Write a new version and commit it.
+
+        ``bucket_by=(n, key)`` writes the version bucketed (and sorted) by
+        ``key`` into ``n`` buckets and registers it in the session catalog.
+        A later join or merge on ``key`` then reads it already
+        hash-partitioned: only the other side is shuffled. When the frame is
+        already hash-partitioned by ``key`` into ``n`` partitions (a merge
+        over a bucketed table), each task writes exactly one bucket file.
+        """
         version = version or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
         base = self.path(layer, table)
         # An uncommitted version directory (a failed earlier attempt) is never
@@ -70,13 +83,30 @@ class TableStore:
         w = df.write.mode("overwrite").format(self.fmt)
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.save(f"{base}/v={version}")
+        vpath = f"{base}/v={version}"
+        if bucket_by:
+            n, key = bucket_by
+            name = self._catalog_name(layer, table, version)
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # metadata only: the table is external
+            w.bucketBy(n, key).sortBy(key).option("path", vpath).saveAsTable(name)
+        else:
+            w.save(vpath)
+        n, key = bucket_by or (None, None)
         commit = self.spark.createDataFrame(
-            [(version, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))],
-            "version string, committed_at timestamp")
+            [(version, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), n, key)], COMMIT_SCHEMA)
         commit.coalesce(1).write.mode("append").parquet(f"{base}/_commits")
         return version
 
+    def _catalog_name(self, layer: str, table: str, version: str) -> str:
+        tag = hashlib.md5(self.root.encode()).hexdigest()[:8]
+        return re.sub(r"[^A-Za-z0-9_]", "_", f"strata_{tag}_{layer}_{table}_v{version}")
+
+    def _commit(self, layer: str, table: str, version: str | None = None):
+        c = self.versions(layer, table)
+        if version:
+            c = c.filter(F.col("version") == version)
+        return c.orderBy(F.desc("version")).first()
+
     def versions(self, layer: str, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path(layer, table)}/_commits")
 
@@ -100,8 +130,23 @@ class TableStore:
     # ---- reads -------------------------------------------------------------
     def read(self, layer: str, table: str, version: str | None = None) -> DataFrame:
         base = self.path(layer, table)
-        v = version or self.current_version(layer, table)
-        return self.spark.read.format(self.fmt).load(f"{base}/v={v}" if v else base)
+        try:
+            c = self._commit(layer, table, version)
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
+            c = None
+        if c is None:  # a plain (history) table without versions
+            return self.spark.read.format(self.fmt).load(base)
+        vpath = f"{base}/v={c['version']}"
+        if c["buckets"]:
+            name = self._catalog_name(layer, table, c["version"])
+            if not self.spark.catalog.tableExists(name):
+                self.spark.sql(f"CREATE TABLE {name} USING {self.fmt} CLUSTERED BY ({c['bucket_col']}) "
+                               f"SORTED BY ({c['bucket_col']}) INTO {int(c['buckets'])} BUCKETS "
+                               f"LOCATION '{vpath}'")
+            return self.spark.table(name)
+        return self.spark.read.format(self.fmt).load(vpath)
 
     def read_if_exists(self, layer: str, table: str, schema: StructType | str) -> DataFrame:
         """The table, or an empty frame of ``schema`` when it does not exist yet."""

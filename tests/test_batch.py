@@ -17,9 +17,13 @@ def _row(code, brand, region, chan, vol, month="1"):
     return (f"{month}/5/2006", code, brand, region, "OFF", chan, "P1", "Can", "12oz", vol, "2006", month, month)
 
 
-def test_two_batches(spark, tmp_path):
+import pytest
+
+
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_two_batches(spark, tmp_path, buckets):
     store = TableStore(spark, str(tmp_path / "lake"))
-    prof = Profile(key_columns=KEY)
+    prof = Profile(key_columns=KEY, current_buckets=buckets)
     ch = spark.createDataFrame([("SUPERETTE", "SERVICES", "MIX"), ("SPORT VENUE", "ENTERTAINMENT", "ALCOHOLIC")], CH)
     day1 = spark.createDataFrame([_row("B1", " A", "WEST", "SUPERETTE", "10.00"),
                                   _row("B2", " B", "CANADA", "SPORT VENUE", "2000.00"),

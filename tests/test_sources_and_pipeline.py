@@ -135,3 +135,25 @@ def test_stream_ingest_incremental(spark, tmp_path, landing):
     # nothing new: a third run changes nothing
     run_incremental(spark, str(land), store, ckpt, prof)
     assert store.read("silver", "beverage_sales").count() == n1 + 1
+
+
+def test_bucketed_current_table_merge_shuffles_only_increment(spark, tmp_path):
+    from strata.operators.cdc import merge, merged_table
+    store = TableStore(spark, str(tmp_path / "lake"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tgt = spark.range(2000).select(F.md5(F.col("id").cast("string")).alias("_pk"),
+                                   F.col("id").cast("string").alias("v"),
+                                   F.md5(F.col("id").cast("string")).alias("_row_hash"),
+                                   F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("_ingestion_timestamp"))
+    store.replace(tgt, "silver", "cur", version="001", bucket_by=(n, "_pk"))
+    src = tgt.filter(F.col("v").cast("int") >= 1500).withColumn("v", F.concat("v", F.lit("x"))) \
+        .withColumn("_row_hash", F.md5("v")).withColumn("_ingestion_timestamp",
+                                                         F.to_timestamp(F.lit("2024-01-02 00:00:00")))
+    m = merge(src, store.read("silver", "cur"), small_source_rows=None)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    scans = [ln for ln in plan.split("\n") if "FileScan" in ln or "Scan parquet" in ln]
+    assert any("SelectedBucketsCount" in ln for ln in scans)
+    store.replace(merged_table(m), "silver", "cur", version="002", bucket_by=(n, "_pk"))
+    out = store.read("silver", "cur")
+    assert out.count() == 2000 and out.filter(F.col("v").endswith("x")).count() == 500
+    assert "Exchange" not in out.groupBy("_pk").count()._jdf.queryExecution().executedPlan().toString()
