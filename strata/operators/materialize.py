@@ -17,9 +17,25 @@ from pyspark.sql import DataFrame
 from ..session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", keep: bool = False) -> DataFrame:
+    """Write ``df`` under the checkpoint folder and return a scan of it.
+
+    Unless ``keep``, the folder is removed when the session's JVM exits
+    (Hadoop ``deleteOnExit``), so hand-over tables do not pile up.
+    """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/strata-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    if not keep:
+        _delete_on_exit(spark, path)
     return spark.read.parquet(path)
+
+
+def _delete_on_exit(spark, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    except Exception:  # not a classic JVM session: leave cleanup to the folder's policy
+        pass
