@@ -188,3 +188,33 @@ def test_merge_small_and_large_paths_agree(spark):
     assert small == large and len(small) == 50
     acts = {r["_action"]: r["records"] for r in cdc.merge_stats(cdc.merge(src, tgt, count_check=True)).collect()}
     assert acts == {"keep": 30, "unchanged": 6, "update": 4, "insert": 10}
+
+
+def test_hot_key_third_of_rows(spark):
+    """One key holds a third of the rows: results stay whole and exact."""
+    n = 3000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("_pk"),
+        F.col("id").cast("string").alias("v"),
+        F.format_string("h%05d", "id").alias("_row_hash"),
+        F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("_ingestion_timestamp"))
+    latest = cdc.latest_per_key(df)
+    assert latest.count() == 1 + 2 * n // 3
+    assert latest.filter(F.col("_pk") == "hot").first()["v"] == str(n - 3)  # greatest hash among hot rows
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    m = M.add_business_metrics(df.withColumn("x", F.lit(1)), "x", ["_pk"])
+    assert m.filter(F.col("_pk") == "hot").select("record_count").distinct().first()[0] == n // 3
+    assert m.count() == n
+
+
+def test_dq_metrics_with_freshness(spark):
+    df = spark.createDataFrame([("a", 1, "2024-01-01 00:00:00"), (None, 2, "2024-01-01 06:00:00"),
+                                ("c", 2, "2024-01-01 12:00:00")], "name string, k int, ts string") \
+        .withColumn("ts", F.to_timestamp("ts"))
+    out = {(r["metric"], r["column_name"]): (r["value"], r["passed"]) for r in
+           Q.dq_metrics(df, "t", ["name"], "k", F.col("k") > 1, "ts", now="2024-01-02 00:00:00").collect()}
+    assert out[("completeness", "name")] == (round(2 / 3, 6), False)
+    assert out[("uniqueness", "k")] == (round(2 / 3, 6), False)
+    assert out[("validity", None)] == (round(2 / 3, 6), False)
+    assert out[("freshness_hours", "ts")] == (12.0, True)
