@@ -30,6 +30,10 @@ from . import marts
 from .layers import (CHANNEL_TABLE, SALES_TABLE, Profile, bronze_channels, bronze_sales,
                      enrich_with_channels, gold_channels, gold_sales, silver_channels, silver_sales)
 
+# Storage layout. History by load date and batch (a re-run
+# replaces exactly its own partition); gold and fact by period for pruning.
+BRONZE_PARTITIONS = ["_ingestion_date", "_batch_id"]
+PERIOD_PARTITIONS = ["year", "month"]
 MART_TABLES = ("agg_sales_region_tradegroup", "agg_sales_brand_month", "agg_sales_brand_region")
 
 
@@ -58,13 +62,13 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
     # ---- bronze: append-only history, one partition per batch -------------------
     def bronze_sales_step():
         b, obs = observed(bronze_sales(sales_landing, profile, batch_id, batch_ts))
-        store.overwrite_partitions(b, "bronze", SALES_TABLE, ["_batch_id"])
+        store.overwrite_partitions(b, "bronze", SALES_TABLE, BRONZE_PARTITIONS)
         out["bronze_rows"] = obs.get["rows"]
         return {"records_read": out["bronze_rows"], "records_written": out["bronze_rows"]}
 
     def bronze_channels_step():
         c, obs = observed(bronze_channels(channel_landing, profile, batch_id, batch_ts))
-        store.overwrite_partitions(c, "bronze", CHANNEL_TABLE, ["_batch_id"])
+        store.overwrite_partitions(c, "bronze", CHANNEL_TABLE, BRONZE_PARTITIONS)
         return {"records_written": obs.get["rows"]}
 
     # ---- silver ------------------------------------------------------------------
@@ -101,7 +105,7 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
     # ---- gold ----------------------------------------------------------------------
     def gold_sales_step():
         g, obs = observed(gold_sales(store.read("silver", SALES_TABLE), profile, batch_ts))
-        store.replace(g, "gold", SALES_TABLE, version=batch_id)
+        store.replace(g, "gold", SALES_TABLE, version=batch_id, partition_by=PERIOD_PARTITIONS)
         out["gold_rows"] = obs.get["rows"]
         return {"records_written": out["gold_rows"]}
 
@@ -121,7 +125,8 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
     def write(name: str, build):
         def run():
             d, obs = observed(build())
-            store.replace(d, "consumption", name, version=batch_id)
+            store.replace(d, "consumption", name, version=batch_id,
+                          partition_by=PERIOD_PARTITIONS if name == "fact_sales" else None)
             out[f"{name}_rows"] = obs.get["rows"]
             return {"records_written": out[f"{name}_rows"]}
         return run

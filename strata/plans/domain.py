@@ -52,8 +52,8 @@ class DriverDomain:
 
     @cached_property
     def gold(self) -> DataFrame:
-        """Gold sales handed over through a reliable checkpoint, so the star
-        schema reads it as a scan instead of recomputing the source joins
+        """Gold sales handed over as Parquet under the checkpoint folder, so the
+        star schema reads it as a scan instead of recomputing the source joins
         once per dimension."""
         return materialize(self.layers.gold_sales.select(*STAR_INPUT), "gold_sales")
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import hashlib
+import json
 import re
 
 from pyspark.errors import AnalysisException
@@ -53,6 +54,23 @@ class TableStore:
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.save(self.path(layer, table))
+        self._save_schema(df, layer, table)
+
+    def _save_schema(self, df: DataFrame, layer: str, table: str) -> None:
+        """Keep the written schema next to a history table, so partition
+        columns read back with their own types (a batch id such as
+        ``20240101000000`` would otherwise be inferred as a number)."""
+        (self.spark.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1)
+         .write.mode("overwrite").parquet(f"{self.path(layer, table)}/_schema"))
+
+    def _saved_schema(self, layer: str, table: str) -> StructType | None:
+        try:
+            row = self.spark.read.parquet(f"{self.path(layer, table)}/_schema").first()
+        except AnalysisException as e:
+            if _missing(e):
+                return None
+            raise
+        return StructType.fromJson(json.loads(row["schema"])) if row else None
 
     def overwrite_partitions(self, df: DataFrame, layer: str, table: str,
                              partition_by: list[str]) -> None:
@@ -60,6 +78,7 @@ class TableStore:
         Loading one batch per partition makes a replayed load idempotent."""
         (df.write.mode("overwrite").format(self.fmt).option("partitionOverwriteMode", "dynamic")
          .partitionBy(*partition_by).save(self.path(layer, table)))
+        self._save_schema(df, layer, table)
 
     # ---- current (staged replace) ----------------------------------------
     def replace(self, df: DataFrame, layer: str, table: str, version: str | None = None,
@@ -137,7 +156,9 @@ class TableStore:
                 raise
             c = None
         if c is None:  # a plain (history) table without versions
-            return self.spark.read.format(self.fmt).load(base)
+            schema = self._saved_schema(layer, table)
+            r = self.spark.read.format(self.fmt)
+            return (r.schema(schema) if schema is not None else r).load(base)
         vpath = f"{base}/v={c['version']}"
         if c["buckets"]:
             name = self._catalog_name(layer, table, c["version"])

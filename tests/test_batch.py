@@ -46,5 +46,7 @@ def test_two_batches(spark, tmp_path, buckets):
     # re-running day 2 changes nothing: bronze partition replaced, later steps skipped
     r3 = run_batch(spark, store, day2, ch, prof, "20240102000000", "2024-01-02 00:00:00")
     assert "silver.beverage_sales" in r3["skipped"] and len(r3["skipped"]) == 12
-    assert store.read("bronze", "beverage_sales").count() == 5
+    bronze = store.read("bronze", "beverage_sales")
+    assert bronze.count() == 5
+    assert dict(bronze.dtypes)["_batch_id"] == "string" and dict(bronze.dtypes)["_ingestion_date"] == "date"
     assert store.read("silver", "beverage_sales").count() == 3
