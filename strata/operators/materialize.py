@@ -29,7 +29,7 @@ def materialize(df: DataFrame, name: str = "stage", keep: bool = False) -> DataF
     df.write.mode("errorifexists").parquet(path)
     if not keep:
         _delete_on_exit(spark, path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # known schema: no footer inference
 
 
 def _delete_on_exit(spark, path: str) -> None:

@@ -13,6 +13,7 @@ from ..operators import metrics as MT
 from ..operators import quality as Q
 from ..operators import star as ST
 from ..operators.control import latest_batch_counts
+from ..operators.materialize import materialize
 from ..sources.driver import REFERENCE_KEY
 from . import marts
 from . import oracle as O
@@ -542,7 +543,10 @@ FROM gold g LEFT JOIN (
 ON g.region = m.region AND g.trade_group_desc = m.trade_group_desc"""))
 def a1_business_metrics(spark, sf_dir):
     """Group metrics joined back to every row (null group keys get nulls)."""
-    g = _dom(spark, sf_dir).layers.gold_sales
+    # the input is read twice (aggregate and rows): hand it over once instead
+    # of running the source joins twice
+    g = materialize(_dom(spark, sf_dir).layers.gold_sales.select(
+        *_KEYCOLS, "region", "trade_group_desc", "dollar_volume"), "metrics_input")
     m = MT.add_business_metrics(g, "dollar_volume", ["region", "trade_group_desc"])
     return m.select(*_KEYCOLS, "region", "trade_group_desc",
                     F.col("dollar_volume_total").cast(MONEY).alias("dollar_volume_total"),
