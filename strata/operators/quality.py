@@ -51,6 +51,16 @@ CHANNEL_ALLOWED_TYPES = ["ALCOHOLIC", "NON ALCOHOLIC", "MIX"]
 RULE_LABELS = {"not_null": "null", "positive": "not_positive",
                "in_list": "not_in_list", "regex": "regex_mismatch"}
 
+
+def rule_description(code: Column) -> Column:
+    """Description of a sales or channel rule code (for quarantine rows)."""
+    from ..functions.rules import map_lookup
+    text = {c: d for c, _, _, d in SALES_RULES}
+    text.update(dict(SALES_DECLARED_RULES))
+    text.update(dict(CHANNEL_DECLARED_RULES))
+    return map_lookup(code, text, "unknown rule")
+
+
 def _violation(rule: dict) -> Column | None:
     c = F.col(rule["column"])
     kind = rule["rule"]

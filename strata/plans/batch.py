@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators import star
 from ..operators.cdc import merge
 from ..operators.control import ProcessControl, observed
-from ..operators.quality import apply_dq_sales, quarantine_records
+from ..operators.quality import apply_dq_sales, quarantine_records, rule_description
 from ..sources.tables import TableStore
 from . import marts
 from .layers import (CHANNEL_TABLE, SALES_TABLE, Profile, bronze_channels, bronze_sales,
@@ -83,7 +83,7 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
         dq = apply_dq_sales(src)
         bad = dq.filter(F.col("_dq_code").isNotNull())
         q, qobs = observed(quarantine_records(bad, f"bronze.{SALES_TABLE}", f"silver.{SALES_TABLE}",
-                                              batch_id, F.col("_dq_code"), F.lit("sales rule"),
+                                              batch_id, F.col("_dq_code"), rule_description(F.col("_dq_code")),
                                               batch_ts=batch_ts))
         store.overwrite_partitions(q, "control", "quarantine", ["batch_id"])
         typed = silver_sales(dq.filter(F.col("_dq_code").isNull()), batch_ts)

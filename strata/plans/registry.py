@@ -326,7 +326,15 @@ def d3_d4_sales_rules(spark, sf_dir):
 @register("d6_quarantine_records", _DQ_SQL + """
 SELECT '20240101000000' AS batch_id, 'bronze_beverage_sales' AS source_table,
        'silver_beverage_sales' AS target_table, 'DATA_QUALITY' AS error_type,
-       dq_code AS error_code, true AS is_known_rule, false AS reprocessed, COUNT(*) AS rows
+       dq_code AS error_code,
+       CASE dq_code WHEN 'DQ_SALES_006' THEN 'year must be within 2000-2030'
+                    WHEN 'DQ_SALES_008' THEN 'trade channel must exist in the channel master'
+                    WHEN 'DQ_SALES_001' THEN 'brand_nm must not be null'
+                    WHEN 'DQ_SALES_002' THEN 'trade_chnl_desc must not be null'
+                    WHEN 'DQ_SALES_003' THEN 'dollar_volume must be numeric'
+                    WHEN 'DQ_SALES_004' THEN 'date must be M/d/yyyy'
+                    WHEN 'DQ_SALES_007' THEN 'month must be within 1-12' END AS error_description,
+       true AS is_known_rule, false AS reprocessed, COUNT(*) AS rows
 FROM c WHERE dq_code IS NOT NULL GROUP BY dq_code""")
 def d6_quarantine_records(spark, sf_dir):
     """Quarantine rows (14-column layout) of the failing sales, summarised
@@ -335,9 +343,10 @@ def d6_quarantine_records(spark, sf_dir):
     dq = Q.apply_dq_sales(d.layers.bronze_sales, declared=True, channels=d.layers.silver_channels)
     bad = dq.filter(F.col("_dq_code").isNotNull())
     q = Q.quarantine_records(bad, "bronze_beverage_sales", "silver_beverage_sales", "20240101000000",
-                             F.col("_dq_code"), F.lit("sales rule"), batch_ts="2024-01-01 00:00:00")
+                             F.col("_dq_code"), Q.rule_description(F.col("_dq_code")), batch_ts="2024-01-01 00:00:00")
     return (q.groupBy("batch_id", "source_table", "target_table", "error_type", "error_code",
-                      "is_known_rule", "reprocessed").agg(F.count(F.lit(1)).alias("rows")))
+                      "error_description", "is_known_rule", "reprocessed")
+            .agg(F.count(F.lit(1)).alias("rows")))
 
 
 @register("d10_replay_after_rule_fix", _DQ_SQL + """

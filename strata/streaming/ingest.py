@@ -19,7 +19,7 @@ from ..functions.audit import add_audit_columns, audit_first
 from ..functions.hashing import add_primary_key, add_row_hash
 from ..functions.names import standardize_column_names
 from ..operators.cdc import merge, merged_table
-from ..operators.quality import apply_dq_sales, quarantine_records
+from ..operators.quality import apply_dq_sales, quarantine_records, rule_description
 from ..sources.files import SALES_COLUMNS, string_schema
 from ..sources.tables import TableStore
 from ..plans.layers import REGION_SOURCE_COLUMN, Profile, silver_sales
@@ -64,7 +64,7 @@ def run_incremental(spark: SparkSession, landing_dir: str, store: TableStore, ch
             bad = dq.filter(F.col("_dq_code").isNotNull())
             store.overwrite_partitions(
                 quarantine_records(bad, f"bronze.{table}", f"silver.{table}", batch_id,
-                                   F.col("_dq_code"), F.lit("sales rule")),
+                                   F.col("_dq_code"), rule_description(F.col("_dq_code"))),
                 "control", "quarantine", ["batch_id"])
             src = silver_sales(dq.filter(F.col("_dq_code").isNull()))
             current = store.read_if_exists("silver", table, src.schema)

@@ -218,3 +218,9 @@ def test_dq_metrics_with_freshness(spark):
     assert out[("uniqueness", "k")] == (round(2 / 3, 6), False)
     assert out[("validity", None)] == (round(2 / 3, 6), False)
     assert out[("freshness_hours", "ts")] == (12.0, True)
+
+
+def test_rule_descriptions(spark):
+    df = spark.createDataFrame([("DQ_SALES_001",), ("DQ_SALES_008",), ("X",)], "c string")
+    d = [r[0] for r in df.select(Q.rule_description(F.col("c"))).collect()]
+    assert d == ["brand_nm must not be null", "trade channel must exist in the channel master", "unknown rule"]
