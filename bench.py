@@ -33,6 +33,33 @@ def shuffles(df) -> int:
     return len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", plan))
 
 
+def time_batches(spark, sf_dir: str) -> dict:
+    """Two batches through every layer (bronze history, DQ, merge, gold,
+    star, marts) into a store under the shared checkpoint folder."""
+    import uuid
+
+    from strata.plans.batch import run_batch
+    from strata.plans.domain import (BATCH_ID, BATCH_TS, PROFILE, SECOND_BATCH_ID, SECOND_BATCH_TS,
+                                     DriverDomain)
+    from strata.session import ensure_checkpoint_dir
+    from strata.sources import driver as D
+    from strata.sources.tables import TableStore
+
+    store = TableStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-lake-{uuid.uuid4().hex}")
+    d = DriverDomain(spark, sf_dir)
+    first = D.sales_landing(spark, sf_dir, returns_booked=False, date_before=D.FIRST_EXTRACT_END)
+    second = D.sales_landing(spark, sf_dir, returns_booked=True, date_from=D.SECOND_EXTRACT_START)
+    out = {}
+    for label, land, bid, bts in (("first_batch", first, BATCH_ID, BATCH_TS),
+                                  ("second_batch", second, SECOND_BATCH_ID, SECOND_BATCH_TS)):
+        t0 = time.perf_counter()
+        stats = run_batch(spark, store, land, d.channel_landing, PROFILE, bid, bts)
+        out[label] = round(time.perf_counter() - t0, 3)
+        out[f"{label}_rows"] = {k: v for k, v in stats.items() if k in ("bronze_rows", "inserted", "updated",
+                                                                      "unchanged", "kept", "silver_rows")}
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -54,10 +81,11 @@ def main() -> None:
             exch[name] = shuffles(df)
         except Exception:
             exch[name] = None
+    batches = time_batches(spark, sf_dir) if os.environ.get("BENCH_BATCH", "1") == "1" else None
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir,
-                      "cpus": cpus, "runs": runs, "shuffles": exch}))
+                      "cpus": cpus, "runs": runs, "shuffles": exch, "batch_runs": batches}))
     spark.stop()
 
 

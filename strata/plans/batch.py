@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators import star
 from ..operators.cdc import merge
-from ..operators.control import ProcessControl, observed
+from ..operators.control import ProcessControl, observed, observed_values
 from ..operators.quality import apply_dq_sales, quarantine_records, rule_description
 from ..sources.tables import TableStore
 from . import marts
@@ -63,19 +63,19 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
     def bronze_sales_step():
         b, obs = observed(bronze_sales(sales_landing, profile, batch_id, batch_ts))
         store.overwrite_partitions(b, "bronze", SALES_TABLE, BRONZE_PARTITIONS)
-        out["bronze_rows"] = obs.get["rows"]
+        out["bronze_rows"] = observed_values(obs)["rows"]
         return {"records_read": out["bronze_rows"], "records_written": out["bronze_rows"]}
 
     def bronze_channels_step():
         c, obs = observed(bronze_channels(channel_landing, profile, batch_id, batch_ts))
         store.overwrite_partitions(c, "bronze", CHANNEL_TABLE, BRONZE_PARTITIONS)
-        return {"records_written": obs.get["rows"]}
+        return {"records_written": observed_values(obs)["rows"]}
 
     # ---- silver ------------------------------------------------------------------
     def silver_channels_step():
         ch, obs = observed(silver_channels(store.read("bronze", CHANNEL_TABLE), batch_ts))
         store.replace(ch, "silver", CHANNEL_TABLE, version=batch_id)
-        return {"records_written": obs.get["rows"]}
+        return {"records_written": observed_values(obs)["rows"]}
 
     def silver_sales_step():
         # only this batch's partition of the history is read (partition pruning)
@@ -96,9 +96,9 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
                                 ("unchanged", a == "unchanged"), ("kept", a == "keep"))
         store.replace(merged.drop("_action"), "silver", SALES_TABLE, version=batch_id,
                       bucket_by=(nb, "_pk") if nb else None)
-        m = mobs.get
+        m = observed_values(mobs)
         out.update({k: m[k] for k in ("inserted", "updated", "unchanged", "kept")})
-        out["quarantined"], out["silver_rows"] = qobs.get["rows"], m["rows"]
+        out["quarantined"], out["silver_rows"] = observed_values(qobs)["rows"], m["rows"]
         return {"records_read": m["inserted"] + m["updated"] + m["unchanged"] + out["quarantined"],
                 "records_written": m["rows"], "records_quarantined": out["quarantined"]}
 
@@ -106,13 +106,13 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
     def gold_sales_step():
         g, obs = observed(gold_sales(store.read("silver", SALES_TABLE), profile, batch_ts))
         store.replace(g, "gold", SALES_TABLE, version=batch_id, partition_by=PERIOD_PARTITIONS)
-        out["gold_rows"] = obs.get["rows"]
+        out["gold_rows"] = observed_values(obs)["rows"]
         return {"records_written": out["gold_rows"]}
 
     def gold_channels_step():
         gc, obs = observed(gold_channels(store.read("silver", CHANNEL_TABLE), batch_ts))
         store.replace(gc, "gold", CHANNEL_TABLE, version=batch_id)
-        return {"records_written": obs.get["rows"]}
+        return {"records_written": observed_values(obs)["rows"]}
 
     step("bronze", SALES_TABLE, bronze_sales_step, versioned=False)
     step("bronze", CHANNEL_TABLE, bronze_channels_step, versioned=False)
@@ -127,7 +127,7 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
             d, obs = observed(build())
             store.replace(d, "consumption", name, version=batch_id,
                           partition_by=PERIOD_PARTITIONS if name == "fact_sales" else None)
-            out[f"{name}_rows"] = obs.get["rows"]
+            out[f"{name}_rows"] = observed_values(obs)["rows"]
             return {"records_written": out[f"{name}_rows"]}
         return run
 

@@ -48,8 +48,22 @@ class TableStore:
         return f"{self.root}/{layer}/{table}"
 
     # ---- history (append) ------------------------------------------------
+    @staticmethod
+    def _balanced(df: DataFrame, partition_by: list[str] | None) -> DataFrame:
+        """Before a partitioned write, rebalance on the partition columns: AQE
+        then packs small partitions together and splits a skewed one (a
+        month holding a third of the rows is written by many tasks), so
+        files are neither tiny nor huge."""
+        return df.hint("rebalance", *partition_by) if partition_by else df
+
+    def _exists(self, path: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
     def append(self, df: DataFrame, layer: str, table: str,
                partition_by: list[str] | None = None) -> None:
+        df = self._balanced(df, partition_by)
         w = df.write.mode("append").format(self.fmt)
         if partition_by:
             w = w.partitionBy(*partition_by)
@@ -64,19 +78,18 @@ class TableStore:
          .write.mode("overwrite").parquet(f"{self.path(layer, table)}/_schema"))
 
     def _saved_schema(self, layer: str, table: str) -> StructType | None:
-        try:
-            row = self.spark.read.parquet(f"{self.path(layer, table)}/_schema").first()
-        except AnalysisException as e:
-            if _missing(e):
-                return None
-            raise
+        path = f"{self.path(layer, table)}/_schema"
+        if not self._exists(path):
+            return None
+        row = self.spark.read.parquet(path).first()
         return StructType.fromJson(json.loads(row["schema"])) if row else None
 
     def overwrite_partitions(self, df: DataFrame, layer: str, table: str,
                              partition_by: list[str]) -> None:
         """Replace only the partitions present in ``df`` (dynamic overwrite).
         Loading one batch per partition makes a replayed load idempotent."""
-        (df.write.mode("overwrite").format(self.fmt).option("partitionOverwriteMode", "dynamic")
+        (self._balanced(df, partition_by).write.mode("overwrite").format(self.fmt)
+         .option("partitionOverwriteMode", "dynamic")
          .partitionBy(*partition_by).save(self.path(layer, table)))
         self._save_schema(df, layer, table)
 
@@ -99,6 +112,8 @@ class TableStore:
         # read, so overwriting it is safe; committed versions are immutable.
         if self.is_committed(layer, table, version):
             raise ValueError(f"version {version} of {layer}.{table} is already committed")
+        if not bucket_by:
+            df = self._balanced(df, partition_by)
         w = df.write.mode("overwrite").format(self.fmt)
         if partition_by:
             w = w.partitionBy(*partition_by)
@@ -130,31 +145,20 @@ class TableStore:
         return self.spark.read.parquet(f"{self.path(layer, table)}/_commits")
 
     def is_committed(self, layer: str, table: str, version: str) -> bool:
-        try:
-            return self.versions(layer, table).filter(F.col("version") == version).limit(1).count() > 0
-        except AnalysisException as e:
-            if _missing(e):
-                return False
-            raise
+        if not self._exists(f"{self.path(layer, table)}/_commits"):
+            return False
+        return self.versions(layer, table).filter(F.col("version") == version).limit(1).count() > 0
 
     def current_version(self, layer: str, table: str) -> str | None:
-        try:
-            row = self.versions(layer, table).agg(F.max("version").alias("v")).first()
-        except AnalysisException as e:
-            if _missing(e):
-                return None
-            raise
+        if not self._exists(f"{self.path(layer, table)}/_commits"):
+            return None
+        row = self.versions(layer, table).agg(F.max("version").alias("v")).first()
         return row["v"] if row else None
 
     # ---- reads -------------------------------------------------------------
     def read(self, layer: str, table: str, version: str | None = None) -> DataFrame:
         base = self.path(layer, table)
-        try:
-            c = self._commit(layer, table, version)
-        except AnalysisException as e:
-            if not _missing(e):
-                raise
-            c = None
+        c = self._commit(layer, table, version) if self._exists(f"{base}/_commits") else None
         if c is None:  # a plain (history) table without versions
             schema = self._saved_schema(layer, table)
             r = self.spark.read.format(self.fmt)
@@ -171,23 +175,17 @@ class TableStore:
 
     def read_if_exists(self, layer: str, table: str, schema: StructType | str) -> DataFrame:
         """The table, or an empty frame of ``schema`` when it does not exist yet."""
-        try:
-            return self.read(layer, table)
-        except AnalysisException as e:
-            if _missing(e):
-                return self.spark.createDataFrame([], schema)
-            raise
+        if not self._exists(self.path(layer, table)):
+            return self.spark.createDataFrame([], schema)
+        return self.read(layer, table)
 
     def register_views(self, tables: dict[str, tuple[str, str]]) -> list[str]:
         """Register ``{view: (layer, table)}`` as temp views; missing ones skipped."""
         done = []
         for view, (layer, table) in tables.items():
-            try:
+            if self._exists(self.path(layer, table)):
                 self.read(layer, table).createOrReplaceTempView(view)
                 done.append(view)
-            except AnalysisException as e:
-                if not _missing(e):
-                    raise
         return done
 
 
