@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as RU
+from ..operators import catalog as CAT
 from ..operators import cdc
 from ..operators import metrics as MT
 from ..operators import quality as Q
@@ -382,14 +383,17 @@ def d5_channel_rules(spark, sf_dir):
     return Q.channel_checks(ch).select("trade_chnl_desc", F.col("_dq_code").alias("dq_code"))
 
 
-@register("d11_dq_metrics", O.with_gold("""
+_D11_SQL = """
 SELECT 'silver_sales' AS table_name, metric, column_name, value, CAST(threshold AS DOUBLE) AS threshold,
        coalesce(value >= threshold, false) AS passed FROM (
   SELECT 'completeness' AS metric, 'brand_nm' AS column_name, round(COUNT(brand_nm) / COUNT(*), 6) AS value, 0.95 AS threshold FROM gold
   UNION ALL SELECT 'completeness', 'trade_group_desc', round(COUNT(trade_group_desc) / COUNT(*), 6), 0.95 FROM gold
   UNION ALL SELECT 'completeness', 'transaction_date', round(COUNT(transaction_date) / COUNT(*), 6), 0.95 FROM gold
   UNION ALL SELECT 'uniqueness', 'order_id', round(COUNT(DISTINCT (order_id, line_no, ce_brand_flvr, supplier_id)) / COUNT(*), 6), 1.0 FROM gold
-  UNION ALL SELECT 'validity', NULL, round(COUNT(*) FILTER (WHERE dollar_volume > 0) / COUNT(*), 6), 0.98 FROM gold) m"""))
+  UNION ALL SELECT 'validity', NULL, round(COUNT(*) FILTER (WHERE dollar_volume > 0) / COUNT(*), 6), 0.98 FROM gold) m"""
+
+
+@register("d11_dq_metrics", O.with_gold(_D11_SQL))
 def d11_dq_metrics(spark, sf_dir):
     """Completeness, uniqueness and validity against thresholds in one pass."""
     s = _dom(spark, sf_dir).layers.silver_sales
@@ -399,6 +403,12 @@ def d11_dq_metrics(spark, sf_dir):
                           .otherwise(F.col("column_name")))
 
 
+@register("g4_dq_summary", O.with_gold(f"SELECT passed, COUNT(*) AS tests FROM ({_D11_SQL}) r GROUP BY passed"))
+def g4_dq_summary(spark, sf_dir):
+    """Pass / fail totals of the DQ result rows."""
+    return CAT.dq_summary(d11_dq_metrics(spark, sf_dir))
+
+
 @register("d12_fact_null_keys", O.with_gold("""
 SELECT COUNT(*) AS fact_rows,
        COUNT(*) FILTER (WHERE transaction_date IS NULL OR region IS NULL OR ce_brand_flvr IS NULL
@@ -685,3 +695,42 @@ def o3_last_batch_per_region(spark, sf_dir):
     h = Extracts(_dom(spark, sf_dir)).history
     return h.groupBy("region").agg(F.max_by("_batch_id", "_ingestion_timestamp").alias("last_batch_id"),
                                    F.count_distinct("_batch_id").alias("batches"))
+
+
+# ================================================================ governance over the history
+RETENTION_TODAY = "2024-06-30"
+
+
+@register("g6_retention_labels", f"""
+WITH {O.extracts()}, h AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2),
+a AS (SELECT date_diff('day', CAST(_ingestion_timestamp AS DATE), DATE '{RETENTION_TODAY}') AS age FROM h)
+SELECT CASE WHEN age <= 180 THEN 'keep' WHEN age <= 365 THEN 'archive' ELSE 'drop' END AS retention,
+       COUNT(*) AS rows
+FROM a GROUP BY 1""")
+def g6_retention_labels(spark, sf_dir):
+    """Keep / archive / drop labels of the bronze history at a pinned date."""
+    h = Extracts(_dom(spark, sf_dir)).history
+    return (CAT.retention_split(h, "bronze", today=RETENTION_TODAY)
+            .groupBy(F.col("_retention").alias("retention")).agg(F.count(F.lit(1)).alias("rows")))
+
+
+@register("d7_d9_reprocess_status", _DQ_SQL + """
+SELECT dq_code AS error_code, dq_code = 'DQ_SALES_006' AS reprocessed,
+       CASE WHEN dq_code = 'DQ_SALES_006' THEN '20240102000000' END AS reprocess_batch_id,
+       COUNT(*) AS rows
+FROM c WHERE dq_code IS NOT NULL GROUP BY dq_code""")
+def d7_d9_reprocess_status(spark, sf_dir):
+    """Quarantine of the failing sales; the year-rule rows released by the
+    replay are marked reprocessed; pending and unknown-rule filters apply."""
+    d = _dom(spark, sf_dir)
+    dq = Q.apply_dq_sales(d.layers.bronze_sales, declared=True, channels=d.layers.silver_channels)
+    bad = dq.filter(F.col("_dq_code").isNotNull())
+    q = Q.quarantine_records(bad, "bronze_beverage_sales", "silver_beverage_sales", "20240101000000",
+                             F.col("_dq_code"), Q.rule_description(F.col("_dq_code")),
+                             batch_ts="2024-01-01 00:00:00")
+    released = Q.pending_reprocess(q).filter(F.col("error_code") == "DQ_SALES_006").select("quarantine_id")
+    marked = Q.mark_as_reprocessed(q, released, "20240102000000", "2024-01-02 00:00:00")
+    assert_known = Q.unknown_errors(marked)  # known rules only: stays empty
+    return (marked.unionByName(assert_known)
+            .groupBy("error_code", "reprocessed", "reprocess_batch_id")
+            .agg(F.count(F.lit(1)).alias("rows")))
