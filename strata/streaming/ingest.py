@@ -48,31 +48,42 @@ def to_bronze(batch: DataFrame, profile: Profile, batch_id: str) -> DataFrame:
     return audit_first(df)
 
 
+def process_batch(batch: DataFrame, epoch: int, store: TableStore, profile: Profile,
+                  table: str = "beverage_sales") -> bool:
+    """One micro-batch: bronze partition, quarantine partition, silver merge.
+
+    Safe to call again for the same epoch (the stream replays a batch whose
+    commit it did not record): a committed silver version means the batch is
+    done; otherwise the bronze and quarantine partitions of this batch are
+    replaced and the merge reads the last committed silver version again.
+    Returns False when the batch was already done.
+    """
+    batch_id = f"stream-{epoch:012d}"
+    version = f"{epoch:012d}"
+    if store.is_committed("silver", table, version):
+        return False
+    bronze = to_bronze(batch, profile, batch_id).persist()
+    try:
+        store.overwrite_partitions(bronze, "bronze", table, ["_batch_id"])
+        dq = apply_dq_sales(bronze)
+        bad = dq.filter(F.col("_dq_code").isNotNull())
+        store.overwrite_partitions(
+            quarantine_records(bad, f"bronze.{table}", f"silver.{table}", batch_id,
+                               F.col("_dq_code"), rule_description(F.col("_dq_code"))),
+            "control", "quarantine", ["batch_id"])
+        src = silver_sales(dq.filter(F.col("_dq_code").isNull()))
+        current = store.read_if_exists("silver", table, src.schema)
+        store.replace(merged_table(merge(src, current, count_check=True)), "silver", table, version=version)
+    finally:
+        bronze.unpersist()
+    return True
+
+
 def run_incremental(spark: SparkSession, landing_dir: str, store: TableStore, checkpoint: str,
                     profile: Profile, table: str = "beverage_sales") -> None:
     """Process all new landing files, then stop (``availableNow``)."""
-
-    def per_batch(batch: DataFrame, epoch: int) -> None:
-        batch_id = f"stream-{epoch:012d}"
-        version = f"{epoch:012d}"
-        if store.is_committed("silver", table, version):
-            return  # replay of a batch that already finished
-        bronze = to_bronze(batch, profile, batch_id).persist()
-        try:
-            store.overwrite_partitions(bronze, "bronze", table, ["_batch_id"])
-            dq = apply_dq_sales(bronze)
-            bad = dq.filter(F.col("_dq_code").isNotNull())
-            store.overwrite_partitions(
-                quarantine_records(bad, f"bronze.{table}", f"silver.{table}", batch_id,
-                                   F.col("_dq_code"), rule_description(F.col("_dq_code"))),
-                "control", "quarantine", ["batch_id"])
-            src = silver_sales(dq.filter(F.col("_dq_code").isNull()))
-            current = store.read_if_exists("silver", table, src.schema)
-            store.replace(merged_table(merge(src, current, count_check=True)), "silver", table, version=version)
-        finally:
-            bronze.unpersist()
-
     q = (sales_stream(spark, landing_dir).writeStream
          .option("checkpointLocation", checkpoint)
-         .foreachBatch(per_batch).trigger(availableNow=True).start())
+         .foreachBatch(lambda batch, epoch: process_batch(batch, epoch, store, profile, table))
+         .trigger(availableNow=True).start())
     q.awaitTermination()

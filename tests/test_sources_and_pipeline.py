@@ -157,3 +157,19 @@ def test_bucketed_current_table_merge_shuffles_only_increment(spark, tmp_path):
     out = store.read("silver", "cur")
     assert out.count() == 2000 and out.filter(F.col("v").endswith("x")).count() == 500
     assert "Exchange" not in out.groupBy("_pk").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_batch_replay_is_idempotent(spark, tmp_path, landing):
+    from strata.streaming.ingest import process_batch
+    store = TableStore(spark, str(tmp_path / "lake"))
+    prof = Profile(key_columns=KEY)
+    batch = read_sales_tsv(spark, str(landing / "sales.tsv")).withColumn("_path", F.col("_metadata.file_path"))
+    # a crash after the bronze write: the partition exists, silver is not committed
+    from strata.streaming.ingest import to_bronze
+    store.overwrite_partitions(to_bronze(batch, prof, "stream-000000000000"), "bronze", "beverage_sales",
+                               ["_batch_id"])
+    assert process_batch(batch, 0, store, prof) is True       # the replay finishes the batch
+    assert process_batch(batch, 0, store, prof) is False      # a second replay is a no-op
+    assert store.read("bronze", "beverage_sales").count() == len(ROWS)
+    assert store.read("silver", "beverage_sales").count() == store.read(
+        "silver", "beverage_sales").select("_pk").distinct().count()
