@@ -8,7 +8,8 @@
   overwrites the files it is reading.
 
 The format is chosen once per store (Delta when its extension is on the
-session, else Parquet); read errors surface instead of being swallowed.
+session, else Parquet). Absence is tested with the file system, so any real
+read error surfaces instead of being taken for a missing table.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import hashlib
 import json
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,10 +32,6 @@ def table_format(spark: SparkSession) -> str:
     return "delta" if "delta" in ext.lower() else "parquet"
 
 
-def _missing(e: AnalysisException) -> bool:
-    return "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e)
-
-
 class TableStore:
     def __init__(self, spark: SparkSession, root: str, fmt: str | None = None):
         self.spark = spark
