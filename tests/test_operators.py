@@ -224,3 +224,13 @@ def test_rule_descriptions(spark):
     df = spark.createDataFrame([("DQ_SALES_001",), ("DQ_SALES_008",), ("X",)], "c string")
     d = [r[0] for r in df.select(Q.rule_description(F.col("c"))).collect()]
     assert d == ["brand_nm must not be null", "trade channel must exist in the channel master", "unknown rule"]
+
+
+def test_q22_history_replay_keeps_newest_version(spark):
+    """Silver holds v2; the whole bronze history (v1 and v2) is merged again:
+    the newest load wins, silver never falls back to v1."""
+    v1 = _bronze(spark, [("k", "v1", "h1")], "2024-01-01 00:00:00")
+    v2 = _bronze(spark, [("k", "v2", "h2")], "2024-01-02 00:00:00")
+    silver = cdc.merged_table(cdc.merge(v2, v1))
+    again = cdc.merged_table(cdc.merge(v1.unionByName(v2), silver))
+    assert [r["v"] for r in again.collect()] == ["v2"]

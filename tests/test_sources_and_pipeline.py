@@ -173,3 +173,13 @@ def test_stream_batch_replay_is_idempotent(spark, tmp_path, landing):
     assert store.read("bronze", "beverage_sales").count() == len(ROWS)
     assert store.read("silver", "beverage_sales").count() == store.read(
         "silver", "beverage_sales").select("_pk").distinct().count()
+
+
+def test_q20_read_errors_surface(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "lake"))
+    bad = tmp_path / "lake" / "silver" / "broken"
+    bad.mkdir(parents=True)
+    (bad / "part-0.parquet").write_bytes(b"not parquet at all")
+    with pytest.raises(Exception):
+        store.read("silver", "broken").count()
+    assert store.read_if_exists("silver", "absent", "a int").count() == 0
