@@ -151,6 +151,34 @@ class TableStore:
         row = self.versions(layer, table).agg(F.max("version").alias("v")).first()
         return row["v"] if row else None
 
+    def prune_versions(self, layer: str, table: str, keep: int = 3) -> list[str]:
+        """Delete the data of all but the newest ``keep`` committed versions
+        (at least the current one is always kept). Uncommitted leftovers of
+        failed writes older than the newest kept version go too. The commit
+        log itself is append-only and stays."""
+        keep = max(1, keep)
+        base = self.path(layer, table)
+        if not self._exists(f"{base}/_commits"):
+            return []
+        committed = [r["version"] for r in self.versions(layer, table).select("version")
+                     .distinct().orderBy(F.desc("version")).collect()]
+        if len(committed) <= keep:
+            return []
+        kept = set(committed[:keep])
+        oldest_kept = min(kept)
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(base)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        removed = []
+        for st in fs.listStatus(root):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith("v="):
+                v = name[2:]
+                if v not in kept and v < oldest_kept:
+                    fs.delete(st.getPath(), True)
+                    removed.append(v)
+        return sorted(removed)
+
     # ---- reads -------------------------------------------------------------
     def read(self, layer: str, table: str, version: str | None = None) -> DataFrame:
         base = self.path(layer, table)

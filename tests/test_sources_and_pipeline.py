@@ -183,3 +183,12 @@ def test_q20_read_errors_surface(spark, tmp_path):
     with pytest.raises(Exception):
         store.read("silver", "broken").count()
     assert store.read_if_exists("silver", "absent", "a int").count() == 0
+
+
+def test_prune_versions(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "lake"))
+    for i in range(5):
+        store.replace(spark.createDataFrame([(i,)], "v int"), "gold", "t", version=f"00{i}")
+    assert store.prune_versions("gold", "t", keep=2) == ["000", "001", "002"]
+    assert store.read("gold", "t").first()["v"] == 4 and store.read("gold", "t", "003").first()["v"] == 3
+    assert store.prune_versions("gold", "t", keep=2) == []
