@@ -45,6 +45,7 @@ STAGE_SECONDS_LIMIT = 3600
 QUARANTINE_PER_HOUR_LIMIT = 100
 QUARANTINE_RATE_LIMIT = 0.05
 SLOW_FACTOR = 2.0
+FRESHNESS_HOURS = 24
 
 
 def catalog_rows(spark: SparkSession, tables: dict[str, tuple[str, DataFrame]],
@@ -92,8 +93,11 @@ def retention_split(df: DataFrame, layer: str, date_col: str = "_ingestion_date"
                          .otherwise("drop"))
 
 
-def alerts(control: DataFrame, quarantine: DataFrame) -> DataFrame:
-    """Alert rows (alert, subject, value) from the control and quarantine tables."""
+def alerts(control: DataFrame, quarantine: DataFrame, now: str | None = None) -> DataFrame:
+    """Alert rows (alert, subject, value) from the control and quarantine tables.
+
+    Includes ``stale_table``: a (layer, table) whose newest successful run
+    ended more than 24 hours before ``now`` (default: the current time)."""
     from .control import with_historical_mean
     c = with_historical_mean(control.filter(F.col("status") != "RUNNING"))
     subject = F.concat_ws(".", "layer", "table_name", "batch_id")
@@ -118,7 +122,15 @@ def alerts(control: DataFrame, quarantine: DataFrame) -> DataFrame:
                .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
                .select(F.lit("unknown_errors").alias("alert"), F.lit("quarantine").alias("subject"),
                        F.col("n").cast("double").alias("value")))
-    return slow.unionByName(failed).unionByName(slower).unionByName(rate).unionByName(hourly).unionByName(unknown)
+    ref = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
+    age_h = (F.unix_timestamp(ref) - F.unix_timestamp(F.col("last_success"))) / 3600.0
+    stale = (c.filter(F.col("status") == "SUCCESS").groupBy("layer", "table_name")
+             .agg(F.max("end_timestamp").alias("last_success"))
+             .filter(age_h > FRESHNESS_HOURS)
+             .select(F.lit("stale_table").alias("alert"), F.concat_ws(".", "layer", "table_name").alias("subject"),
+                     F.round(age_h, 2).alias("value")))
+    return (slow.unionByName(failed).unionByName(slower).unionByName(rate).unionByName(hourly)
+            .unionByName(unknown).unionByName(stale))
 
 
 def dashboard_series(control: DataFrame) -> dict[str, DataFrame]:

@@ -57,9 +57,12 @@ def test_alerts(spark):
                      ("gold", "t", "FAILED", 1, 1, 0)])
     q = spark.createDataFrame([(i % 2 == 0, False, dt.datetime(2024, 1, 1, 10, i % 60)) for i in range(150)],
                               "is_known_rule boolean, reprocessed boolean, created_at timestamp")
-    kinds = sorted(r["alert"] for r in C.alerts(c, q).collect())
+    kinds = sorted(r["alert"] for r in C.alerts(c, q, now="2024-01-01 06:00:00").collect())
     assert kinds == ["quarantine_burst", "quarantine_rate", "run_failed", "slower_than_history",
                      "stage_too_long", "unknown_errors"]
+    stale = {r["subject"] for r in C.alerts(c, q, now="2024-01-02 04:00:00").collect()
+             if r["alert"] == "stale_table"}
+    assert stale == {"silver.s"}
     d = C.dashboard_series(c)
     assert {r["status"]: r["runs"] for r in d["runs_by_status"].collect()} == {"SUCCESS": 4, "FAILED": 1}
 
