@@ -40,8 +40,10 @@ def test_two_batches(spark, tmp_path, buckets):
     assert fact.count() == 3 and fact.filter(F.col("channel_key").isNull()).count() == 0
     top = store.read("consumption", "agg_sales_region_tradegroup")
     assert top.agg(F.sum("transaction_count")).first()[0] == 3
+    from strata.operators.control import latest_runs
     ctrl = store.read("control", "process_control")
-    assert ctrl.filter(F.col("status") != "SUCCESS").count() == 0
+    assert latest_runs(ctrl).filter(F.col("status") != "SUCCESS").count() == 0
+    assert ctrl.filter(F.col("status") == "RUNNING").count() == latest_runs(ctrl).count()
     assert ctrl.select("batch_id").distinct().count() == 2
     # re-running day 2 changes nothing: bronze partition replaced, later steps skipped
     r3 = run_batch(spark, store, day2, ch, prof, "20240102000000", "2024-01-02 00:00:00")

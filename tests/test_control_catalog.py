@@ -33,9 +33,16 @@ def test_process_control_track(spark):
         with pc.track("b1", "gold", "sales"):
             raise RuntimeError("boom")
     rows = [d.first() for d in recorded]
-    assert rows[0]["status"] == "SUCCESS" and rows[0]["records_written"] == 10
-    assert rows[1]["status"] == "FAILED" and "boom" in rows[1]["error_message"]
-    assert rows[0]["end_timestamp"] >= rows[0]["start_timestamp"]
+    assert [r["status"] for r in rows] == ["RUNNING", "SUCCESS", "RUNNING", "FAILED"]
+    assert rows[1]["records_written"] == 10 and "boom" in rows[3]["error_message"]
+    assert rows[1]["end_timestamp"] >= rows[1]["start_timestamp"]
+    allrows = recorded[0]
+    for d in recorded[1:]:
+        allrows = allrows.unionByName(d)
+    assert sorted(r["status"] for r in R.latest_runs(allrows).collect()) == ["FAILED", "SUCCESS"]
+    pc.start("b2", "gold", "sales")  # driver "dies" here
+    allrows = allrows.unionByName(recorded[-1])
+    assert R.stuck_runs(allrows, 0, now="2999-01-01 00:00:00").count() == 1
     with pytest.raises(ValueError):
         pc.end("missing")
 
