@@ -3,7 +3,8 @@
 Runs every headline query at ``$BENCH_SF_DIR`` (default sf0.1) on
 ``local[$BENCH_CPUS]``, executes each result fully (noop sink), and prints ONE
 JSON line: per-query median seconds, their sum as ``value``, and the number
-of shuffle exchanges in each executed plan.
+of shuffle exchanges in each executed plan. ``BENCH_BATCH=1`` also times two
+full batches through every layer (``batch_runs``).
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def main() -> None:
             exch[name] = shuffles(df)
         except Exception:
             exch[name] = None
-    batches = time_batches(spark, sf_dir) if os.environ.get("BENCH_BATCH", "1") == "1" else None
+    batches = time_batches(spark, sf_dir) if os.environ.get("BENCH_BATCH", "0") == "1" else None
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir,
