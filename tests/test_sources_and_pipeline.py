@@ -211,3 +211,12 @@ def test_utf16_file_split_across_many_tasks(spark, tmp_path):
     assert len(got) == 2000
     assert sorted(int(r["CE_BRAND_FLVR"][1:]) for r in got) == list(range(2000))
     assert all(r["BRAND_NM"] == " BRAND Ä" and r["PERIOD"] == str(int(r["MONTH"])) for r in got)
+
+
+def test_per_file_lineage(spark, landing):
+    from strata.functions.audit import add_audit_columns
+    from strata.sources.files import with_file_lineage
+    df = read_sales_tsv(spark, str(landing / "sales.tsv"))
+    assert with_file_lineage(df).first()["_file_path"].endswith("/sales.tsv")
+    r = add_audit_columns(df, None, None, "bronze", "b1", "2024-01-01 00:00:00").first()
+    assert r["_source_file"] == "sales.tsv" and r["_source_path"].endswith("/landing/sales.tsv")
