@@ -33,6 +33,8 @@ def build_session(master: str = "local[*]", app: str = "strata",
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.autoBroadcastJoinThreshold", str(LOCAL_BROADCAST_BYTES))
+         # catalog metadata of local runs stays out of the working directory
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="strata-warehouse-"))
          .config("spark.driver.memory", os.environ.get("STRATA_DRIVER_MEMORY", "8g")))
     for k, v in {**JOB_CONF, **(extra or {})}.items():
         b = b.config(k, v)
