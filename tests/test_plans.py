@@ -68,3 +68,14 @@ def test_bounded_broadcast_checks_size(spark):
     j2 = small.join(bounded_broadcast(big, max_rows=100, max_bytes=10), "k")
     assert "ResolvedHint (strategy=broadcast)" in j1._jdf.queryExecution().analyzed().toString()
     assert "strategy=broadcast" not in j2._jdf.queryExecution().analyzed().toString()
+
+
+def test_no_row_caps_in_registered_queries(spark):
+    """Every registered query runs over whole tables: the only limit is the
+    top-k report itself."""
+    capped = []
+    for name, fn in E.queries().items():
+        plan = fn(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        if "GlobalLimit" in plan or "LocalLimit" in plan or "Sample" in plan:
+            capped.append(name)
+    assert capped == ["q45_top_brands"]
