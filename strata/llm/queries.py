@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, rule_ledger, token_counts
+from . import decontam, rule_ledger, secret_scan, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op8_token_counts(spark, sf_dir):
 @register("op1_decontamination")
 def op1_decontamination(spark, sf_dir):
     return decontam.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op2_secret_scan")
+def op2_secret_scan(spark, sf_dir):
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
