@@ -38,7 +38,7 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xc0-ɏ]*")
 
 #: Units whose counts one worker keeps (about 100 bytes each); beyond it the
 #: store starts afresh, which costs time but changes no result.
-KEEP_UNITS = 1_000_000
+KEEP_UNITS = 1_200_000
 NONE = np.int64(1) << 40
 
 
@@ -55,35 +55,25 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
 
 
-class RankMerger:
-    """Counts tokens with the merge table of a byte-level tokenizers file."""
+class MergeTable:
+    """Merges of a BPE model, applied to ragged arrays rank by rank."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre, model = spec["pre_tokenizer"], spec["model"]
-        if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or model["type"] != "BPE":
-            raise ValueError("a byte-level BPE file without normalizer and prefix space is needed")
+    def __init__(self, model: dict):
         vocab = model["vocab"]
-        self.pre_tokenize = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
-        self.symbol = np.array([vocab[c] for c in byte_alphabet()], np.int64)  # by byte
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         key = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
         self.order = np.argsort(key, kind="stable")
         self.keys = key[self.order]
-        self.counts: dict[str, int] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left << 32) | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.order[at], NONE)
 
-    def merge(self, sym: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Surviving symbols of each ragged sequence (all lengths over 0)."""
+    def merge(self, sym: np.ndarray, lengths: np.ndarray, done: list | None = None) -> np.ndarray:
+        """Number of surviving symbols of each ragged sequence (all lengths
+        over 0). ``done`` gets (sequence of each symbol, symbols) in parts."""
         out = lengths.astype(np.int64)
         ids = np.arange(len(lengths))
         seq = np.repeat(ids, lengths)
@@ -97,6 +87,8 @@ class RankMerger:
             out[seq[starts]] = size
             going = np.repeat(least < NONE, size)
             if not going.all():
+                if done is not None:
+                    done.append((seq[~going], sym[~going]))
                 sym, seq, rank = sym[going], seq[going], rank[going]
                 size, least = size[least < NONE], least[least < NONE]
                 if not len(sym):
@@ -120,6 +112,23 @@ class RankMerger:
             rank[look] = self.ranks(sym[look], sym[look + 1])
         return out
 
+class RankMerger(MergeTable):
+    """Counts tokens with a byte-level tokenizers file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre, model = spec["pre_tokenizer"], spec["model"]
+        if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or model["type"] != "BPE":
+            raise ValueError("a byte-level BPE file without normalizer and prefix space is needed")
+        super().__init__(model)
+        self.pre_tokenize = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
+        self.symbol = np.array([model["vocab"][c] for c in byte_alphabet()], np.int64)  # by byte
+        self.counts: dict[str, int] = {}
+
     def cut(self, text: str) -> list[str]:
         """Pre-tokens: by pattern where it provably agrees with the library
         (plain Latin text), by the library itself otherwise."""
@@ -161,7 +170,7 @@ class RankMerger:
         units = [UNIT.findall(t) for t in texts]
         if len(self.counts) > KEEP_UNITS:
             self.counts = {}
-        fresh = set().union(*units).difference(self.counts)
+        fresh = {u for t in units for u in t if u not in self.counts}
         if fresh:
             self.learn(list(fresh))
         get = self.counts.__getitem__
