@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality_knn, rule_ledger, secret_scan, token_counts
+from . import decontam, hyperminhash, packing, quality_knn, rule_ledger, secret_scan, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op3_packing(spark, sf_dir):
 @register("op4_quality_knn")
 def op4_quality_knn(spark, sf_dir):
     return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op10_hyperminhash")
+def op10_hyperminhash(spark, sf_dir):
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
