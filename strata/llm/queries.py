@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hyperminhash, packing, quality_knn, rule_ledger, secret_scan, token_counts
+from . import cdc_chunks, decontam, hyperminhash, packing, quality_knn, rule_ledger, secret_scan, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op4_quality_knn(spark, sf_dir):
 @register("op10_hyperminhash")
 def op10_hyperminhash(spark, sf_dir):
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op5_cdc_chunks")
+def op5_cdc_chunks(spark, sf_dir):
+    return cdc_chunks.chunk_dedup(table(spark, sf_dir, "documents"))
