@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cdc_chunks, decontam, hyperminhash, licenses, packing, quality_knn, rule_ledger, secret_scan, token_counts
+from . import cdc_chunks, decontam, hyperminhash, licenses, packing, quality_knn, rule_ledger, secret_scan, suffix_dedup, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op5_cdc_chunks(spark, sf_dir):
 @register("op9_license_scan")
 def op9_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op7_suffix_dedup")
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
