@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,21 +38,17 @@ def map_lookup(col: Column, mapping: dict, default) -> Column:
 # --- parameterised rule engine -------------------------------------------
 
 def category_expr(source: str, conditions: list[dict]) -> Column | None:
-    """Ordered half-open ranges ``[low, high)``, either end open; else "Unknown"."""
-    expr = None
-    c = F.col(source)
+    """First matching half-open range ``[low, high)``, either end open; else
+    "Unknown". A range without any bound never matches."""
+    value, arms = F.col(source), []
     for cond in conditions:
-        low, high = (list(cond.get("range", [None, None])) + [None, None])[:2]
-        if low is not None and high is not None:
-            p = (c >= low) & (c < high)
-        elif low is not None:
-            p = c >= low
-        elif high is not None:
-            p = c < high
-        else:
-            continue
-        expr = F.when(p, F.lit(cond["value"])) if expr is None else expr.when(p, F.lit(cond["value"]))
-    return None if expr is None else expr.otherwise(F.lit(CATEGORY_DEFAULT))
+        ends = zip(cond.get("range") or (), (value.__ge__, value.__lt__))
+        tests = [test(bound) for bound, test in ends if bound is not None]
+        if tests:
+            arms.append((reduce(and_, tests), F.lit(cond["value"])))
+    if not arms:
+        return None
+    return reduce(lambda rest, arm: F.when(arm[0], arm[1]).otherwise(rest), reversed(arms), F.lit(CATEGORY_DEFAULT))
 
 
 CALC = {

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .materialize import materialize
+
 # Lineage of the pipeline (source -> target, description).
 LINEAGE = [
     ("landing.beverage_sales", "bronze.beverage_sales", "ingest with key, hash and audit columns"),
@@ -30,9 +32,7 @@ RETENTION_DAYS = {"landing": (30, 90), "bronze": (180, 365), "silver": (365, 730
                   "gold": (730, 1095), "consumption": (730, 1095), "control": (180, 365)}
 # Classification per table.
 CLASSIFICATION = {
-    "bronze_beverage_sales": "INTERNAL", "bronze_channel_features": "INTERNAL",
-    "silver_sales_enriched": "INTERNAL", "silver_channel_features": "INTERNAL",
-    "gold_sales_enriched": "INTERNAL", "gold_channels_enriched": "INTERNAL",
+    "beverage_sales": "INTERNAL", "beverage_channel_group": "INTERNAL",
     "fact_sales": "INTERNAL", "dim_date": "PUBLIC", "dim_region": "PUBLIC",
     "dim_product": "INTERNAL", "dim_channel": "INTERNAL",
     "agg_sales_region_tradegroup": "INTERNAL", "agg_sales_brand_month": "INTERNAL",
@@ -66,15 +66,22 @@ def lineage_edges(spark: SparkSession, edges: list[tuple[str, str, str]] | None
     return spark.createDataFrame(edges or LINEAGE, "source string, target string, description string")
 
 
-def lineage_upstream(spark: SparkSession, edges_view: str, table: str, max_depth: int = 32) -> DataFrame:
-    """Every ancestor of ``table`` with its distance (recursive CTE)."""
-    return spark.sql(f"""
-        WITH RECURSIVE up (node, depth) AS (
-          SELECT source, 1 FROM {edges_view} WHERE target = '{table}'
-          UNION ALL
-          SELECT e.source, up.depth + 1 FROM {edges_view} e JOIN up ON e.target = up.node
-          WHERE up.depth < {int(max_depth)})
-        SELECT node AS ancestor, MIN(depth) AS depth FROM up GROUP BY node""")
+def lineage_upstream(spark: SparkSession, edges_view: str, table: str) -> DataFrame:
+    """Every ancestor of ``table`` with its least distance, at any depth.
+
+    Paths are doubled until no pair of tables is new: after k rounds all
+    ancestors within 2**k steps are known, so a long chain takes few rounds
+    and a cycle ends as well."""
+    step = spark.table(edges_view).select(F.col("target").alias("node"), F.col("source").alias("ancestor"),
+                                          F.lit(1).alias("depth"))
+    paths, known = materialize(step.distinct(), "lineage"), -1
+    while (n := paths.count()) > known:
+        known = n
+        further = paths.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(
+            "a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        paths = materialize(paths.unionByName(further).groupBy("node", "ancestor")
+                            .agg(F.min("depth").alias("depth")), "lineage")
+    return paths.filter(F.col("node") == table).select("ancestor", "depth")
 
 
 def dq_summary(results: DataFrame) -> DataFrame:

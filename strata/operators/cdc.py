@@ -1,19 +1,17 @@
 """Change data capture: latest version per key, keyed merge, key reports.
 
-Skew: a single key may hold a large share of the rows. ``latest_per_key``
-therefore uses a hash aggregate (``max_by`` with map-side partial
-aggregation) instead of a window, so a hot key is reduced inside every map
-task before the shuffle. After that each key has one row per side, and the
-merge's full outer join cannot skew.
+Skew: a single key may hold a large share of the rows. ``latest_per_key`` is a
+``row_number() = 1`` window: Spark cuts every key to one row per map task
+before the shuffle (WindowGroupLimit), so a hot key arrives as one row per
+task, and only the columns a query uses are shuffled. After that each key has
+one row per side, and the merge's full outer join cannot skew.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import DEFAULT_BROADCAST_ROWS, is_small
-
 # Merge actions.
 INSERT, UPDATE, UNCHANGED, STALE, KEEP = "insert", "update", "unchanged", "stale", "keep"
 
@@ -23,44 +21,49 @@ def latest_per_key(df: DataFrame, key: str = "_pk",
     """One row per ``key``: the row with the greatest ``order`` tuple.
 
     Default order is (``_ingestion_timestamp``, ``_row_hash``) when present;
-    the row hash makes ties deterministic.
+    the row hash makes ties deterministic. Without any order column there is
+    no "latest", and the call raises. Rows without a key have no identity and
+    are all kept.
     """
     if order is None:
         order = [c for c in ("_ingestion_timestamp", "_updated_at", "_row_hash") if c in df.columns]
         if "_ingestion_timestamp" in order and "_updated_at" in order:
             order.remove("_updated_at")
-    cols = [c for c in df.columns if c != key]
-    rank = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
-    best = F.max_by(F.struct(*[F.col(c) for c in cols]), rank).alias("_best")
-    return df.groupBy(key).agg(best).select(key, "_best.*").select(*df.columns)
+    if not order:
+        raise ValueError("latest_per_key needs at least one order column")
+    newest = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order])
+    known = (df.filter(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(newest))
+             .filter(F.col("_rank") == 1).drop("_rank"))
+    return known.unionByName(df.filter(F.col(key).isNull())) if _nullable(df, key) else known
+
+
+def _nullable(df: DataFrame, column: str) -> bool:
+    return df.schema[column].nullable
 
 
 def key_report(df: DataFrame, key_columns: list[str] | str) -> DataFrame:
     """Totals, distinct keys and duplicate rows in one aggregation pass."""
-    keys = [key_columns] if isinstance(key_columns, str) else list(key_columns)
-    k = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
-    return (df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct(k).alias("distinct_keys"))
+    return key_reports(df, {"key": key_columns}).drop("key_name")
+
+
+def key_reports(df: DataFrame, keys: dict[str, list[str] | str]) -> DataFrame:
+    """The same for several candidate keys, still in one pass over ``df``."""
+    names = list(keys)
+    cols = [[k] if isinstance(k, str) else list(k) for k in keys.values()]
+    distinct = [F.count_distinct(F.struct(*c) if len(c) > 1 else F.col(c[0])).alias(f"_d{i}")
+                for i, c in enumerate(cols)]
+    one = df.agg(F.count(F.lit(1)).alias("total_rows"), *distinct)
+    rows = F.array(*[F.struct(F.lit(n).alias("key_name"), "total_rows", F.col(f"_d{i}").alias("distinct_keys"))
+                     for i, n in enumerate(names)])
+    return (one.select(F.explode(rows).alias("r")).select("r.*")
             .withColumn("duplicate_rows", F.col("total_rows") - F.col("distinct_keys")))
 
 
-def _pick(cond: Column, a: str, b: str) -> Column:
-    return F.when(cond, F.col(a)).otherwise(F.col(b))
-
-
 def merge(source: DataFrame, target: DataFrame, key: str = "_pk", hash_col: str = "_row_hash",
           ts_col: str | None = "_ingestion_timestamp", dedupe_source: bool = True,
-          small_source_rows: int | None = DEFAULT_BROADCAST_ROWS, count_check: bool = False,
           num_partitions: int | None = None) -> DataFrame:
-    """Keyed merge of an increment into the current table.
-
-    Large increment: ONE full outer join on the key (each side shuffled once).
-    Small increment (provably small by its plan estimate, or by a bounded
-    count when ``count_check``; the usual daily
-    batch against a large current table): the increment's keys are
-    broadcast, the untouched target rows pass through a broadcast anti join
-    without any shuffle, and only the touched target rows (broadcast semi
-    join) meet the increment in the full outer join. Both plans give the
-    same rows.
+    """Keyed merge of an increment into the current table, by ONE full outer
+    join on the key (each side shuffled once), whatever the sizes.
 
     ``num_partitions``: the bucket count of a target bucketed by ``key``. The
     increment is hash-partitioned to match once, before its dedupe, so the
@@ -71,46 +74,33 @@ def merge(source: DataFrame, target: DataFrame, key: str = "_pk", hash_col: str
     ``insert`` (key only in source), ``keep`` (key only in target),
     ``unchanged`` (equal hash; target row kept), ``update`` (hash differs and
     the source row is not older), ``stale`` (hash differs, source older;
-    target row kept). Column sets may differ: missing columns are null-filled
-    by name. Counting ``_action`` gives the merge statistics.
+    target row kept). Which side a row comes from is told by a literal flag
+    per side, so a null key counts as a key that matches nothing: such rows
+    are inserted, or kept. Column sets may differ: missing columns are
+    null-filled by name. Counting ``_action`` gives the merge statistics.
     """
     if num_partitions:
         source = source.repartition(num_partitions, key)
     if dedupe_source:
         source = latest_per_key(source, key)
-    # With a bucketed target the one join already shuffles only the increment
-    # and keeps the bucket partitioning for the write, so it is always used.
-    if not num_partitions and small_source_rows and is_small(source.select(key), small_source_rows,
-                                                             count=count_check):
-        keys = F.broadcast(source.select(key))
-        untouched = target.join(keys, key, "left_anti")
-        touched = target.join(keys, key, "left_semi")
-        merged = _merge_join(source, touched, key, hash_col, ts_col)
-        cols = [c for c in merged.columns if c != "_action"]
-        keep = untouched.select(*[F.col(c) if c in untouched.columns else F.lit(None).alias(c) for c in cols],
-                                F.lit(KEEP).alias("_action"))
-        return merged.unionByName(keep)
-    return _merge_join(source, target, key, hash_col, ts_col)
-
-
-def _merge_join(source: DataFrame, target: DataFrame, key: str, hash_col: str,
-                ts_col: str | None) -> DataFrame:
-    cols = list(dict.fromkeys(list(target.columns) + list(source.columns)))
-    s = source.select(*[F.col(c) if c in source.columns else F.lit(None).alias(c) for c in cols])
-    t = target.select(*[F.col(c) if c in target.columns else F.lit(None).alias(c) for c in cols])
-    s = s.select(*[F.col(c).alias(f"s__{c}") for c in cols])
-    t = t.select(*[F.col(c).alias(f"t__{c}") for c in cols])
-    j = s.join(t, F.col(f"s__{key}") == F.col(f"t__{key}"), "full_outer")
-    sk, tk = F.col(f"s__{key}"), F.col(f"t__{key}")
+    cols = list(dict.fromkeys([*target.columns, *source.columns]))
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        have = set(df.columns)
+        return df.select(*[(F.col(c) if c in have else F.lit(None)).alias(p + c) for c in cols],
+                         F.lit(True).alias(f"{p}_here"))
+
+    j = side(source, "s__").join(side(target, "t__"), F.col(f"s__{key}") == F.col(f"t__{key}"), "full_outer")
     newer = F.lit(True) if not ts_col else F.coalesce(F.col(f"s__{ts_col}") >= F.col(f"t__{ts_col}"), F.lit(True))
-    action = (F.when(tk.isNull(), F.lit(INSERT))
-              .when(sk.isNull(), F.lit(KEEP))
-              .when(F.col(f"s__{hash_col}") == F.col(f"t__{hash_col}"), F.lit(UNCHANGED))
+    action = (F.when(F.col("t___here").isNull(), F.lit(INSERT))
+              .when(F.col("s___here").isNull(), F.lit(KEEP))
+              .when(F.col(f"s__{hash_col}").eqNullSafe(F.col(f"t__{hash_col}")), F.lit(UNCHANGED))
               .when(newer, F.lit(UPDATE))
               .otherwise(F.lit(STALE)))
     j = j.withColumn("_action", action)
-    take_src = F.col("_action").isin(INSERT, UPDATE)
-    return j.select(*[_pick(take_src, f"s__{c}", f"t__{c}").alias(c) for c in cols], "_action")
+    from_source = F.col("_action").isin(INSERT, UPDATE)
+    return j.select(*[F.when(from_source, F.col(f"s__{c}")).otherwise(F.col(f"t__{c}")).alias(c) for c in cols],
+                    "_action")
 
 
 def merge_stats(merged: DataFrame) -> DataFrame:
@@ -123,13 +113,8 @@ def merged_table(merged: DataFrame) -> DataFrame:
 
 def merge_union_form(source: DataFrame, target: DataFrame, key: str = "_pk",
                      hash_col: str = "_row_hash") -> DataFrame:
-    """The library form without dedupe: new keys + changed + unchanged +
-    target-only, as a four-branch union. Kept for parity tests only; the
-    one-join ``merge`` is the plan to use."""
-    new = source.join(target.select(key), key, "left_anti")
-    th = target.select(key, F.col(hash_col).alias("_t_hash"))
-    changed = source.join(th, key).filter(F.col(hash_col) != F.col("_t_hash")).drop("_t_hash")
-    sh = source.select(key, F.col(hash_col).alias("_s_hash"))
-    same = target.join(sh, key).filter(F.col(hash_col) == F.col("_s_hash")).drop("_s_hash")
-    only_t = target.join(source.select(key), key, "left_anti")
-    return new.unionByName(changed).unionByName(same).unionByName(only_t)
+    """The library form: source-only keys, changed rows (source), equal rows
+    (target) and target-only keys, without dedupe and without a time guard. As
+    these four cases are the cases of one full outer join, it is the merge
+    with both options off, and each input is read once."""
+    return merged_table(merge(source, target, key, hash_col, ts_col=None, dedupe_source=False))

@@ -17,18 +17,22 @@ def estimated_bytes(df: DataFrame) -> int | None:
     allow: filters and aggregates keep their child's size."""
     try:
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
+    except AttributeError:  # not a classic JVM session: no estimate
         return None
 
 
 def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
              max_bytes: int = DEFAULT_BROADCAST_BYTES, count: bool = True) -> bool:
-    """True when ``df`` is provably under the bounds: the plan estimate first,
-    then (if ``count``) a count of at most ``max_rows + 1`` rows."""
+    """True when ``df`` is provably under both bounds: the plan estimate first,
+    then (if ``count``) the rows and bytes of at most ``max_rows + 1`` rows."""
     est = estimated_bytes(df)
     if est is not None and est <= max_bytes:
         return True
-    return count and df.limit(max_rows + 1).count() <= max_rows
+    if not count:
+        return False
+    size = F.octet_length(F.to_json(F.struct(*df.columns))) if df.columns else F.lit(0)
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,

@@ -37,5 +37,5 @@ def _delete_on_exit(spark, path: str) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    except Exception:  # not a classic JVM session: leave cleanup to the folder's policy
+    except AttributeError:  # not a classic JVM session: leave cleanup to the folder's policy
         pass

@@ -9,7 +9,7 @@ caller that writes them together (``partitionBy`` on the flag, or one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,6 +22,9 @@ QUARANTINE_SCHEMA = (
     "dq_rule_name string, is_known_rule boolean, reprocessed boolean, "
     "reprocess_batch_id string, created_at timestamp, updated_at timestamp")
 
+# Error types of known and of unknown rules.
+VALIDATION_ERROR, UNKNOWN_ERROR = "VALIDATION_ERROR", "UNKNOWN_ERROR"
+
 # The sales rules that run in the pipeline (first match wins).
 SALES_RULES = [
     ("DQ_SALES_001", "brand_nm", "not_null", "brand_nm must not be null"),
@@ -122,10 +125,11 @@ def trim_blank(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.trim(c) != "", F.trim(c)) for c in columns})
 
 
-def sales_checks(declared: bool = False, channels: DataFrame | None = None) -> list[tuple[str, Column]]:
+def sales_checks(declared: bool = True, channels: DataFrame | None = None,
+                 years: tuple[int, int] = SALES_DECLARED_YEARS) -> list[tuple[str, Column]]:
     checks = [(code, F.col(col).isNull()) for code, col, _, _ in SALES_RULES]
     if declared:
-        lo, hi = SALES_DECLARED_YEARS
+        lo, hi = years
         y = F.col("year").try_cast("int")
         m = F.col("month").try_cast("int")
         checks += [
@@ -139,20 +143,21 @@ def sales_checks(declared: bool = False, channels: DataFrame | None = None) -> l
     return checks
 
 
-def apply_dq_sales(df: DataFrame, declared: bool = False,
-                   channels: DataFrame | None = None) -> DataFrame:
+def apply_dq_sales(df: DataFrame, declared: bool = True, channels: DataFrame | None = None,
+                   years: tuple[int, int] = SALES_DECLARED_YEARS) -> DataFrame:
     """Bronze sales -> rows with ``_dq_code`` (null = valid).
 
     Trims brand, channel and region first and treats blanks as null, so
-    whitespace-only values cannot pass the not-null rules. The referential
-    rule (008) is a left join on the channel key against the channel master.
+    whitespace-only values cannot pass the not-null rules. ``declared`` adds the
+    value rules (003, 004, 006, 007). The referential rule (008) runs when the
+    channel master is given: a left join on the channel key.
     """
     df = trim_blank(df, ["brand_nm", "trade_chnl_desc", "region"])
     if declared and channels is not None:
         keys = bounded_broadcast(channels.select(F.trim("trade_chnl_desc").alias("_ck")).distinct())
         df = (df.join(keys, F.col("trade_chnl_desc") == F.col("_ck"), "left")
               .withColumn("_channel_missing", F.col("_ck").isNull()).drop("_ck"))
-    out = df.withColumn("_dq_code", first_failure(sales_checks(declared, channels)))
+    out = df.withColumn("_dq_code", first_failure(sales_checks(declared, channels, years)))
     return out.drop("_channel_missing") if "_channel_missing" in out.columns else out
 
 
@@ -175,29 +180,35 @@ def channel_checks(df: DataFrame) -> DataFrame:
 
 def quarantine_records(df: DataFrame, source_table: str, target_table: str, batch_id: str,
                        error_code: Column | str, error_description: Column | str,
-                       error_type: str = "DATA_QUALITY", dq_rule_name: Column | str | None = None,
-                       is_known_rule: bool = True, batch_ts: str | None = None) -> DataFrame:
+                       dq_rule_name: Column | str | None = None, is_known_rule: bool = True,
+                       batch_ts: str | None = None) -> DataFrame:
     """Rows in the 14-column quarantine layout.
 
     ``record_data`` is the whole row as JSON with nulls kept, so the row can be
-    replayed with ``from_json`` and its stored schema. ``quarantine_id`` is a
-    hash of batch, target and record (stable across task retries, unlike a
-    random uuid).
+    replayed with ``from_json`` and its stored schema (source path included, as
+    it is an audit column). ``quarantine_id`` is a hash of batch, target, code,
+    record, input partition and occurrence among equal records there: unique,
+    and the same when a task is tried again. The partition also spreads a
+    record that a third of the rows repeat.
     """
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     payload = [c for c in df.columns if c not in ("_dq_code", "_violations")]
     rec = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})
     ts = F.to_timestamp(F.lit(batch_ts)) if batch_ts else F.current_timestamp()
     code = lit(error_code)
+    equal = Window.partitionBy("_place", "error_code", "record_data").orderBy(F.lit(1))
     return (df.select(rec.alias("record_data"), code.alias("error_code"),
                       lit(error_description).alias("error_description"),
-                      lit(dq_rule_name if dq_rule_name is not None else error_code).alias("dq_rule_name"))
+                      lit(dq_rule_name if dq_rule_name is not None else error_code).alias("dq_rule_name"),
+                      F.spark_partition_id().alias("_place"))
+            .withColumn("_nth", F.row_number().over(equal))
             .select(
-                F.sha2(F.concat_ws("|", F.lit(batch_id), F.lit(target_table), "error_code", "record_data"),
+                F.sha2(F.concat_ws("|", F.lit(batch_id), F.lit(target_table), "error_code", "record_data",
+                                   F.col("_place").cast("string"), F.col("_nth").cast("string")),
                        256).alias("quarantine_id"),
                 F.lit(batch_id).alias("batch_id"), F.lit(source_table).alias("source_table"),
                 F.lit(target_table).alias("target_table"), "record_data",
-                F.lit(error_type).alias("error_type"), "error_code", "error_description",
+                F.lit(VALIDATION_ERROR if is_known_rule else UNKNOWN_ERROR).alias("error_type"), "error_code", "error_description",
                 "dq_rule_name", F.lit(is_known_rule).alias("is_known_rule"),
                 F.lit(False).alias("reprocessed"), F.lit(None).cast("string").alias("reprocess_batch_id"),
                 ts.alias("created_at"), ts.alias("updated_at")))

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.audit import add_consumption_audit
 from ..operators import star
 from ..operators.cdc import merge
 from ..operators.control import ProcessControl, observed, observed_values
@@ -34,6 +35,9 @@ from .layers import (CHANNEL_TABLE, SALES_TABLE, Profile, bronze_channels, bronz
 # replaces exactly its own partition); gold and fact by period for pruning.
 BRONZE_PARTITIONS = ["_ingestion_date", "_batch_id"]
 PERIOD_PARTITIONS = ["year", "month"]
+# Lookup key of each dimension; it must be unique.
+DIMENSION_KEYS = {"dim_date": "date_key", "dim_region": "region_key", "dim_product": "product_key",
+                  "dim_channel": "channel_key"}
 MART_TABLES = ("agg_sales_region_tradegroup", "agg_sales_brand_month", "agg_sales_brand_region")
 
 
@@ -51,6 +55,16 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
     pc = control or ProcessControl(spark, sink=lambda d: store.append(d, "control", "process_control"))
     out: dict = {}
 
+    def written(layer: str, table: str):
+        """Rows of this batch's write, for an observation that reported none."""
+        def count() -> int:
+            if layer == "bronze":
+                return store.read(layer, table).filter(F.col("_batch_id") == batch_id).count()
+            if layer == "control":
+                return store.read(layer, table).filter(F.col("batch_id") == batch_id).count()
+            return store.read(layer, table, batch_id).count()
+        return count
+
     def step(layer: str, table: str, build, versioned: bool = True) -> None:
         """Run one write under run control unless its version is committed."""
         if versioned and store.is_committed(layer, table, batch_id):
@@ -63,24 +77,24 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
     def bronze_sales_step():
         b, obs = observed(bronze_sales(sales_landing, profile, batch_id, batch_ts))
         store.overwrite_partitions(b, "bronze", SALES_TABLE, BRONZE_PARTITIONS)
-        out["bronze_rows"] = observed_values(obs)["rows"]
+        out["bronze_rows"] = observed_values(obs, written("bronze", SALES_TABLE))["rows"]
         return {"records_read": out["bronze_rows"], "records_written": out["bronze_rows"]}
 
     def bronze_channels_step():
         c, obs = observed(bronze_channels(channel_landing, profile, batch_id, batch_ts))
         store.overwrite_partitions(c, "bronze", CHANNEL_TABLE, BRONZE_PARTITIONS)
-        return {"records_written": observed_values(obs)["rows"]}
+        return {"records_written": observed_values(obs, written("bronze", CHANNEL_TABLE))["rows"]}
 
     # ---- silver ------------------------------------------------------------------
     def silver_channels_step():
         ch, obs = observed(silver_channels(store.read("bronze", CHANNEL_TABLE), batch_ts))
         store.replace(ch, "silver", CHANNEL_TABLE, version=batch_id)
-        return {"records_written": observed_values(obs)["rows"]}
+        return {"records_written": observed_values(obs, written("silver", CHANNEL_TABLE))["rows"]}
 
     def silver_sales_step():
         # only this batch's partition of the history is read (partition pruning)
         src = store.read("bronze", SALES_TABLE).filter(F.col("_batch_id") == batch_id)
-        dq = apply_dq_sales(src)
+        dq = apply_dq_sales(src, years=profile.years)
         bad = dq.filter(F.col("_dq_code").isNotNull())
         q, qobs = observed(quarantine_records(bad, f"bronze.{SALES_TABLE}", f"silver.{SALES_TABLE}",
                                               batch_id, F.col("_dq_code"), rule_description(F.col("_dq_code")),
@@ -95,10 +109,10 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
                                 ("inserted", a == "insert"), ("updated", a == "update"),
                                 ("unchanged", a == "unchanged"), ("kept", a == "keep"))
         store.replace(merged.drop("_action"), "silver", SALES_TABLE, version=batch_id,
-                      bucket_by=(nb, "_pk") if nb else None)
-        m = observed_values(mobs)
+                      partition_by=None if nb else PERIOD_PARTITIONS, bucket_by=(nb, "_pk") if nb else None)
+        m = observed_values(mobs, written("silver", SALES_TABLE))
         out.update({k: m[k] for k in ("inserted", "updated", "unchanged", "kept")})
-        out["quarantined"], out["silver_rows"] = observed_values(qobs)["rows"], m["rows"]
+        out["quarantined"], out["silver_rows"] = observed_values(qobs, written("control", "quarantine"))["rows"], m["rows"]
         return {"records_read": m["inserted"] + m["updated"] + m["unchanged"] + out["quarantined"],
                 "records_written": m["rows"], "records_quarantined": out["quarantined"]}
 
@@ -106,13 +120,13 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
     def gold_sales_step():
         g, obs = observed(gold_sales(store.read("silver", SALES_TABLE), profile, batch_ts))
         store.replace(g, "gold", SALES_TABLE, version=batch_id, partition_by=PERIOD_PARTITIONS)
-        out["gold_rows"] = observed_values(obs)["rows"]
+        out["gold_rows"] = observed_values(obs, written("gold", SALES_TABLE))["rows"]
         return {"records_written": out["gold_rows"]}
 
     def gold_channels_step():
         gc, obs = observed(gold_channels(store.read("silver", CHANNEL_TABLE), batch_ts))
         store.replace(gc, "gold", CHANNEL_TABLE, version=batch_id)
-        return {"records_written": observed_values(obs)["rows"]}
+        return {"records_written": observed_values(obs, written("gold", CHANNEL_TABLE))["rows"]}
 
     step("bronze", SALES_TABLE, bronze_sales_step, versioned=False)
     step("bronze", CHANNEL_TABLE, bronze_channels_step, versioned=False)
@@ -124,10 +138,15 @@ def run_batch(spark: SparkSession, store: TableStore, sales_landing: DataFrame,
     # ---- consumption -----------------------------------------------------------------
     def write(name: str, build):
         def run():
-            d, obs = observed(build())
+            built = build()
+            if key := DIMENSION_KEYS.get(name):
+                twice = star.check_unique(built, key).first()
+                if twice is not None:
+                    raise ValueError(f"{name}.{key} is not unique: {twice[key]} occurs {twice['n']} times")
+            d, obs = observed(add_consumption_audit(built, name, batch_ts) if name not in MART_TABLES else built)
             store.replace(d, "consumption", name, version=batch_id,
                           partition_by=PERIOD_PARTITIONS if name == "fact_sales" else None)
-            out[f"{name}_rows"] = observed_values(obs)["rows"]
+            out[f"{name}_rows"] = observed_values(obs, written("consumption", name))["rows"]
             return {"records_written": out[f"{name}_rows"]}
         return run
 

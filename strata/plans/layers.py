@@ -19,7 +19,7 @@ from ..functions.names import standardize_column_names
 from ..operators import star
 from ..operators.cdc import latest_per_key
 from ..operators.joins import bounded_broadcast
-from ..operators.quality import apply_dq_sales
+from ..operators.quality import SALES_DECLARED_YEARS, apply_dq_sales
 
 # The region column rename and the source table names.
 REGION_SOURCE_COLUMN = "btlr_org_lvl_c_desc"
@@ -39,6 +39,8 @@ class Profile:
     source_file: str = "beverage_sales.tsv"
     channel_file: str = "beverage_channel_group.csv"
     null_safe_lookup: bool = False
+    # Years that the value rule accepts.
+    years: tuple[int, int] = SALES_DECLARED_YEARS
     # Buckets of the silver current table by ``_pk`` (None = not bucketed).
     # Bucketed, a merge shuffles only the increment, never the current table.
     current_buckets: int | None = None
@@ -74,13 +76,15 @@ def silver_channels(bronze: DataFrame, batch_ts: str | None = None) -> DataFrame
     return update_layer_timestamp(df, "silver", batch_ts)
 
 
-def sales_dq(bronze: DataFrame) -> DataFrame:
-    """Bronze sales with ``_dq_code`` (null = valid) after trimming."""
-    return apply_dq_sales(bronze)
+def sales_dq(bronze: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """Bronze sales with ``_dq_code`` (null = valid) after trimming: the null
+    rules and the value rules (number, date, year, month)."""
+    return apply_dq_sales(bronze, years=profile.years if profile else SALES_DECLARED_YEARS)
 
 
 def silver_sales(valid: DataFrame, batch_ts: str | None = None) -> DataFrame:
-    """Typed sales in one projection; bad values become null (``try_*``)."""
+    """Typed sales in one projection (values that cannot be typed are in
+    quarantine by now), with ``sales_id``, a key that a replay reproduces."""
     m = F.col("month").try_cast("int")
     y = F.col("year").try_cast("int")
     df = valid.withColumns({
@@ -88,6 +92,7 @@ def silver_sales(valid: DataFrame, batch_ts: str | None = None) -> DataFrame:
         "year": y, "month": m,
         "period": F.col("period").try_cast("int"),
         "dollar_volume": F.col("dollar_volume").try_cast("decimal(18,2)"),
+        "sales_id": F.concat(F.lit("S-"), F.col("_pk")),
         "year_month": F.concat(y.cast("string"), F.lit("-"), F.lpad(m.cast("string"), 2, "0")),
     }).drop("date", "_dq_code")
     return update_layer_timestamp(df, "silver", batch_ts)
@@ -148,7 +153,7 @@ def build_layers(sales_landing: DataFrame, channel_landing: DataFrame, profile:
     bs = bronze_sales(sales_landing, profile, batch_id, batch_ts)
     bc = bronze_channels(channel_landing, profile, batch_id, batch_ts)
     sc = silver_channels(bc, batch_ts)
-    dq = sales_dq(bs)
+    dq = sales_dq(bs, profile)
     valid = dq.filter(F.col("_dq_code").isNull())
     ss = enrich_with_channels(silver_sales(valid, batch_ts), sc)
     gc = gold_channels(sc, batch_ts)

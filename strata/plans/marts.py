@@ -9,9 +9,14 @@ after, but the fact itself is never shuffled for a join.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.star import CHANNEL_LOOKUP, PRODUCT_COLS
+
 
 # Money output type of every mart (wide enough for any sum).
 MONEY = "decimal(38,2)"
@@ -69,13 +74,57 @@ def lowest_brand_per_region(fact: DataFrame, dim_product: DataFrame, dim_region:
     return brand_region(fact, dim_product, dim_region).filter(F.col("rank_asc") == 1)
 
 
+# --- the same questions straight from gold ---------------------------------------
+#
+# With nothing saved, each star table would run the source joins again. Gold
+# holds the attributes that the star joins would bring back, so these read it
+# once; rows with a null lookup attribute drop out, as in the inner star joins.
+
+def _named(gold: DataFrame, lookup: list[str], names: list[str]) -> DataFrame:
+    whole = gold.filter(reduce(and_, [F.col(c).isNotNull() for c in lookup]))
+    return whole.groupBy(*names).agg(F.sum("dollar_volume").cast(MONEY).alias("total_dollar_volume"),
+                                     F.count(F.lit(1)).alias("transaction_count"))
+
+
+def ranked(df: DataFrame, group: str, name: str, descending: bool, rank: str) -> DataFrame:
+    """Row number per group by volume; ties by name, nulls first."""
+    volume = F.desc("total_dollar_volume") if descending else F.asc("total_dollar_volume")
+    return df.withColumn(rank, F.row_number().over(
+        Window.partitionBy(group).orderBy(volume, F.asc_nulls_first(name))))
+
+
+def top_trade_groups_of(gold: DataFrame, top_n: int | None = 3) -> DataFrame:
+    agg = _named(gold.withColumnRenamed("region", "region_name"), ["region_name", *CHANNEL_LOOKUP],
+                 ["region_name", "trade_group_desc"])
+    out = ranked(agg, "region_name", "trade_group_desc", True, "rank")
+    return out.filter(F.col("rank") <= top_n) if top_n else out
+
+
+def brand_month_of(gold: DataFrame) -> DataFrame:
+    named = gold.withColumn("year_month", F.date_format("transaction_date", "yyyy-MM"))
+    return _named(named, ["transaction_date", *PRODUCT_COLS], ["brand_nm", "year", "month", "year_month"])
+
+
+def brand_region_of(gold: DataFrame) -> DataFrame:
+    agg = _named(gold.withColumnRenamed("region", "region_name"), ["region_name", *PRODUCT_COLS],
+                 ["region_name", "brand_nm"])
+    return ranked(ranked(agg, "region_name", "brand_nm", False, "rank_asc"), "region_name", "brand_nm", True, "rank_desc")
+
+
+def sorted_report(df: DataFrame, *descending: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """A mart in reading order: greatest first, then by name."""
+    return df.orderBy(*map(F.desc, descending), *map(F.asc_nulls_first, then))
+
+
 # --- presentation queries over the gold table ------------------------------------
 
 def region_totals(gold: DataFrame) -> DataFrame:
+    """Totals per region, greatest volume first."""
     return (gold.groupBy("region")
             .agg(F.sum("dollar_volume").cast(MONEY).alias("total_dollar_volume"),
                  F.sum(F.abs("dollar_volume")).cast(MONEY).alias("gross_dollar_volume"),
-                 F.count(F.lit(1)).alias("transaction_count")))
+                 F.count(F.lit(1)).alias("transaction_count"))
+            .orderBy(F.desc("total_dollar_volume"), F.asc("region")))
 
 
 def top_brands(gold: DataFrame, n: int = 10) -> DataFrame:
@@ -93,9 +142,11 @@ def seasonality(gold: DataFrame) -> DataFrame:
 
 def region_group_matrix(gold: DataFrame, groups: list[str]) -> DataFrame:
     """Region x trade group volume. The pivot values are passed, so Spark
-    needs no extra job to discover them; a null group becomes ``NO_GROUP``."""
+    needs no extra job to discover them; a null group becomes ``NO_GROUP`` and
+    a group outside the list adds to ``OTHER``, so a row's sum is the region's."""
     g = F.coalesce(F.col("trade_group_desc"), F.lit("NO_GROUP"))
-    return (gold.withColumn("_g", g).groupBy("region").pivot("_g", groups)
+    g = F.when(g.isin(groups), g).otherwise("OTHER")
+    return (gold.withColumn("_g", g).groupBy("region").pivot("_g", [*groups, "OTHER"])
             .agg(F.sum("dollar_volume").cast(MONEY)))
 
 

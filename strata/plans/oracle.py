@@ -105,6 +105,17 @@ def landing(where: str = "", neg_returns: bool = True) -> str:
     {where}"""
 
 
+def defective() -> str:
+    """Landing rows in which some orders break a rule each."""
+    landed = {"BRAND_NM": "brand_nm", "TRADE_CHNL_DESC": "trade_chnl_desc", "$ Volume": "dollar_volume",
+              "DATE": "date", "YEAR": "year", "MONTH": "month"}
+    out = []
+    for name, col in landed.items():
+        arms = " ".join(f"WHEN {k} THEN " + ("NULL" if v is None else f"'{v}'") for k, c, v in D.DEFECTS if c == name)
+        out.append(f"CASE CAST(order_id AS BIGINT) % {D.DEFECT_EVERY} {arms} ELSE {col} END AS {col}")
+    return f"SELECT * REPLACE ({', '.join(out)}) FROM ({landing()}) l"
+
+
 BRONZE_COLUMNS = ["date", "ce_brand_flvr", "brand_nm", "region", "chnl_group", "trade_chnl_desc",
                   "pkg_cat", "pkg_cat_desc", "tsr_pckg_nm", "dollar_volume", "year", "month",
                   "period", "order_id", "line_no", "supplier_id"]

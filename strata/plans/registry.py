@@ -8,17 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as RU
+from ..functions.clean import cast_columns, clean_string_columns
+from ..functions.hashing import add_primary_key, add_row_hash
+from ..functions.names import standardize_column_names
 from ..operators import catalog as CAT
 from ..operators import cdc
 from ..operators import metrics as MT
 from ..operators import quality as Q
 from ..operators import star as ST
 from ..operators.control import latest_batch_counts
-from ..operators.materialize import materialize
+from ..operators.joins import bounded_broadcast
+from ..sources import driver as D
 from ..sources.driver import REFERENCE_KEY
 from . import marts
 from . import oracle as O
-from .domain import BATCH_TS, SECOND_BATCH_TS, DriverDomain, Extracts
+from .domain import BATCH_ID, BATCH_TS, SECOND_BATCH_ID, SECOND_BATCH_TS, DriverDomain, Extracts
+from .layers import bronze_sales, silver_sales
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,8 +50,7 @@ SELECT * FROM (
         FROM gold GROUP BY 1, 2) a) r
 WHERE rank <= 3"""))
 def q41_top_trade_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = DriverDomain(spark, sf_dir).star
-    return marts.top_trade_groups(s["fact_sales"], s["dim_region"], s["dim_channel"], 3)
+    return marts.top_trade_groups_of(DriverDomain(spark, sf_dir).gold, 3)
 
 
 def _dom(spark: SparkSession, sf_dir: str) -> DriverDomain:
@@ -63,8 +67,7 @@ SELECT brand_nm, year, month, strftime(transaction_date, '%Y-%m') AS year_month,
        COUNT(*) AS transaction_count
 FROM gold GROUP BY brand_nm, year, month, strftime(transaction_date, '%Y-%m')"""))
 def q42_brand_month(spark, sf_dir):
-    s = _dom(spark, sf_dir).star
-    return marts.brand_month(s["fact_sales"], s["dim_product"], s["dim_date"])
+    return marts.brand_month_of(_dom(spark, sf_dir).gold)
 
 
 # ---------------------------------------------------------------- Q43
@@ -82,8 +85,7 @@ FROM (SELECT region AS region_name, brand_nm,
 
 @register("q43_brand_region_ranks", O.with_gold(_BRAND_REGION))
 def q43_brand_region_ranks(spark, sf_dir):
-    s = _dom(spark, sf_dir).star
-    return marts.brand_region(s["fact_sales"], s["dim_product"], s["dim_region"])
+    return marts.brand_region_of(_dom(spark, sf_dir).gold)
 
 
 @register("q43_lowest_brand_per_region",
@@ -100,17 +102,18 @@ SELECT region AS region_name, trade_group_desc,
        COUNT(*) AS transaction_count
 FROM gold GROUP BY 1, 2"""))
 def q44_sql_region_trade_group(spark, sf_dir):
-    s = _dom(spark, sf_dir).star
-    for name in ("fact_sales", "dim_region", "dim_channel"):
-        s[name].createOrReplaceTempView(name)
+    """SQL over a view of gold: aggregate by the lookup attributes first (rows
+    without one drop out, as in the star), then by the names."""
+    _dom(spark, sf_dir).gold.createOrReplaceTempView("gold_sales")
     return spark.sql("""
-        SELECT r.region_name, c.trade_group_desc,
-               CAST(SUM(f.dollar_volume) AS DECIMAL(38,2)) AS total_dollar_volume,
-               COUNT(*) AS transaction_count
-        FROM fact_sales f
-        JOIN dim_region r ON f.region_key = r.region_key
-        JOIN dim_channel c ON f.channel_key = c.channel_key
-        GROUP BY r.region_name, c.trade_group_desc""")
+        WITH by_channel AS (
+          SELECT region, chnl_group, trade_chnl_desc, trade_group_desc, COUNT(*) AS n, SUM(dollar_volume) AS v
+          FROM gold_sales
+          WHERE region IS NOT NULL AND chnl_group IS NOT NULL AND trade_chnl_desc IS NOT NULL
+          GROUP BY ALL)
+        SELECT region AS region_name, trade_group_desc, CAST(SUM(v) AS DECIMAL(38,2)) AS total_dollar_volume,
+               SUM(n) AS transaction_count
+        FROM by_channel GROUP BY region, trade_group_desc""")
 
 
 @register("q44_sql_brand_month", O.with_gold("""
@@ -118,15 +121,15 @@ SELECT brand_nm, year_month, CAST(SUM(dollar_volume) AS DECIMAL(38,2)) AS total_
 FROM (SELECT brand_nm, strftime(transaction_date, '%Y-%m') AS year_month, dollar_volume FROM gold) g
 GROUP BY 1, 2"""))
 def q44_sql_brand_month(spark, sf_dir):
+    """SQL over the star: the fact is aggregated by its keys before the joins."""
     s = _dom(spark, sf_dir).star
     for name in ("fact_sales", "dim_product", "dim_date"):
         s[name].createOrReplaceTempView(name)
     return spark.sql("""
-        SELECT p.brand_nm, d.year_month, CAST(SUM(f.dollar_volume) AS DECIMAL(38,2)) AS total_dollar_volume
-        FROM fact_sales f
-        JOIN dim_product p ON f.product_key = p.product_key
-        JOIN dim_date d ON f.date_key = d.date_key
-        GROUP BY p.brand_nm, d.year_month""")
+        WITH sold AS (SELECT product_key, date_key, SUM(dollar_volume) AS v FROM fact_sales GROUP BY ALL)
+        SELECT brand_nm, year_month, CAST(SUM(v) AS DECIMAL(38,2)) AS total_dollar_volume
+        FROM sold JOIN dim_date USING (date_key) JOIN dim_product USING (product_key)
+        GROUP BY ALL""")
 
 
 # ---------------------------------------------------------------- Q45 presentation
@@ -160,7 +163,9 @@ _GROUPS = ["ENTERTAINMENT", "GROCERY", "SERVICES", "NO_GROUP"]
 
 @register("q45_region_group_matrix", O.with_gold("SELECT region, " + ", ".join(
     f"CAST(SUM(CASE WHEN coalesce(trade_group_desc, 'NO_GROUP') = '{g}' THEN dollar_volume END) "
-    f"AS DECIMAL(38,2)) AS {g}" for g in _GROUPS) + " FROM gold GROUP BY region"))
+    f"AS DECIMAL(38,2)) AS {g}" for g in _GROUPS) + """,
+    CAST(SUM(CASE WHEN coalesce(trade_group_desc, 'NO_GROUP') NOT IN ('ENTERTAINMENT', 'GROCERY', 'SERVICES', 'NO_GROUP')
+             THEN dollar_volume END) AS DECIMAL(38,2)) AS OTHER FROM gold GROUP BY region"""))
 def q45_region_group_matrix(spark, sf_dir):
     return marts.region_group_matrix(_dom(spark, sf_dir).layers.gold_sales, _GROUPS)
 
@@ -223,8 +228,9 @@ def c5_merge_stats(spark, sf_dir):
     """Insert / update / unchanged / keep counts of merging load 2 into the
     current table built from load 1 (one full outer join)."""
     e = Extracts(_dom(spark, sf_dir))
-    m = cdc.merge(e.silver(e.bronze2, SECOND_BATCH_TS), e.silver(e.bronze1, BATCH_TS))
-    return cdc.merge_stats(m)
+    slim = ["_pk", "_row_hash", "_ingestion_timestamp"]
+    return cdc.merge_stats(cdc.merge(e.silver(e.bronze2, SECOND_BATCH_TS).select(*slim),
+                                     e.silver(e.bronze1, BATCH_TS).select(*slim)))
 
 
 @register("c5_merged_table", _MERGE_SQL + """
@@ -235,7 +241,8 @@ SELECT _pk, _action,
 FROM j""")
 def c5_merged_table(spark, sf_dir):
     e = Extracts(_dom(spark, sf_dir))
-    m = cdc.merge(e.silver(e.bronze2, SECOND_BATCH_TS), e.silver(e.bronze1, BATCH_TS))
+    slim = ["_pk", "_row_hash", "_ingestion_timestamp", "_batch_id", "dollar_volume"]
+    m = cdc.merge(e.silver(e.bronze2, SECOND_BATCH_TS).select(*slim), e.silver(e.bronze1, BATCH_TS).select(*slim))
     return m.select("_pk", "_action", "_row_hash", "_batch_id", "dollar_volume")
 
 
@@ -265,9 +272,7 @@ def a9_key_uniqueness(spark, sf_dir):
     """Totals, distinct keys and duplicates for the line key and for the
     original (brand, region, channel, year, month) key."""
     b = _dom(spark, sf_dir).layers.bronze_sales
-    return (cdc.key_report(b, "_pk").select(F.lit("sales_key").alias("key_name"), "*")
-            .unionByName(cdc.key_report(b, REFERENCE_KEY)
-                         .select(F.lit("reference_key").alias("key_name"), "*")))
+    return cdc.key_reports(b, {"sales_key": "_pk", "reference_key": REFERENCE_KEY})
 
 
 
@@ -298,8 +303,9 @@ def d1_quality_split(spark, sf_dir):
     return both.groupBy("validation_errors").agg(F.count(F.lit(1)).alias("rows"))
 
 
-_DQ_SQL = f"""
-WITH b AS ({O.bronze()}),
+def _dq_sql(rows: str, low: int = 2000) -> str:
+    return f"""
+WITH b AS ({rows}),
 ch AS ({O.CHANNELS}),
 t AS (SELECT b.*, CASE WHEN trim(b.brand_nm) <> '' THEN trim(b.brand_nm) END AS brand_t,
              CASE WHEN trim(b.trade_chnl_desc) <> '' THEN trim(b.trade_chnl_desc) END AS chnl_t,
@@ -310,44 +316,107 @@ c AS (SELECT t.*, CASE
         WHEN chnl_t IS NULL THEN 'DQ_SALES_002'
         WHEN TRY_CAST(dollar_volume AS DECIMAL(18,2)) IS NULL THEN 'DQ_SALES_003'
         WHEN try_strptime(date, '%m/%d/%Y') IS NULL THEN 'DQ_SALES_004'
-        WHEN TRY_CAST(year AS INTEGER) IS NULL OR NOT TRY_CAST(year AS INTEGER) BETWEEN 2000 AND 2030 THEN 'DQ_SALES_006'
+        WHEN TRY_CAST(year AS INTEGER) IS NULL OR NOT TRY_CAST(year AS INTEGER) BETWEEN {low} AND 2030 THEN 'DQ_SALES_006'
         WHEN TRY_CAST(month AS INTEGER) IS NULL OR NOT TRY_CAST(month AS INTEGER) BETWEEN 1 AND 12 THEN 'DQ_SALES_007'
         WHEN ch_missing THEN 'DQ_SALES_008' END AS dq_code FROM t)"""
 
 
-@register("d3_d4_sales_rules", _DQ_SQL + "\nSELECT dq_code, COUNT(*) AS rows FROM c GROUP BY dq_code")
+_DQ_SQL = _dq_sql(O.bronze())
+_BAD_SQL = _dq_sql(O.defective(), 1990)
+_BAD_YEARS = (1990, 2030)
+
+
+def _defective(spark, sf_dir, channels: bool = True):
+    """(domain, bronze rows with injected defects and their rule code)."""
+    d = _dom(spark, sf_dir)
+    bronze = bronze_sales(D.defective_landing(spark, sf_dir), d.profile, BATCH_ID, BATCH_TS)
+    return d, Q.apply_dq_sales(bronze, channels=d.layers.silver_channels if channels else None, years=_BAD_YEARS)
+
+
+def _quarantined(bad):
+    return Q.quarantine_records(bad, "bronze_beverage_sales", "silver_beverage_sales", BATCH_ID,
+                                F.col("_dq_code"), Q.rule_description(F.col("_dq_code")), batch_ts=BATCH_TS)
+
+
+@register("d3_d4_sales_rules", _BAD_SQL + "\nSELECT dq_code, COUNT(*) AS rows FROM c GROUP BY dq_code")
 def d3_d4_sales_rules(spark, sf_dir):
-    """Coded (001, 002) and declared (003, 004, 006, 007, 008) sales rules,
-    first failure wins; rows per rule code (null = valid)."""
+    """Coded (001, 002) and declared (003, 004, 006, 007, 008) sales rules over
+    rows in which every rule is broken, first failure wins; rows per rule code
+    (null = valid)."""
+    return _defective(spark, sf_dir)[1].groupBy(F.col("_dq_code").alias("dq_code")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("d4_year_rule", _DQ_SQL + "\nSELECT dq_code, COUNT(*) AS rows FROM c GROUP BY dq_code")
+def d4_year_rule(spark, sf_dir):
+    """The same rules with the declared years over the rows as they are."""
     d = _dom(spark, sf_dir)
-    dq = Q.apply_dq_sales(d.layers.bronze_sales, declared=True, channels=d.layers.silver_channels)
+    dq = Q.apply_dq_sales(d.layers.bronze_sales, channels=d.layers.silver_channels)
     return dq.groupBy(F.col("_dq_code").alias("dq_code")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("d6_quarantine_records", _DQ_SQL + """
+_RULE_TEXTS = "CASE dq_code " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in [
+    *((c, t) for c, _, _, t in Q.SALES_RULES), *Q.SALES_DECLARED_RULES]) + " END"
+_RECORD = ["date", "ce_brand_flvr", "region", "order_id", "line_no", "supplier_id", "dollar_volume", "year", "month"]
+
+
+@register("d6_quarantine_records", _BAD_SQL + f"""
 SELECT '20240101000000' AS batch_id, 'bronze_beverage_sales' AS source_table,
-       'silver_beverage_sales' AS target_table, 'DATA_QUALITY' AS error_type,
-       dq_code AS error_code,
-       CASE dq_code WHEN 'DQ_SALES_006' THEN 'year must be within 2000-2030'
-                    WHEN 'DQ_SALES_008' THEN 'trade channel must exist in the channel master'
-                    WHEN 'DQ_SALES_001' THEN 'brand_nm must not be null'
-                    WHEN 'DQ_SALES_002' THEN 'trade_chnl_desc must not be null'
-                    WHEN 'DQ_SALES_003' THEN 'dollar_volume must be numeric'
-                    WHEN 'DQ_SALES_004' THEN 'date must be M/d/yyyy'
-                    WHEN 'DQ_SALES_007' THEN 'month must be within 1-12' END AS error_description,
-       true AS is_known_rule, false AS reprocessed, COUNT(*) AS rows
-FROM c WHERE dq_code IS NOT NULL GROUP BY dq_code""")
+       'silver_beverage_sales' AS target_table, 'VALIDATION_ERROR' AS error_type, dq_code AS error_code,
+       {_RULE_TEXTS} AS error_description, dq_code AS dq_rule_name, true AS is_known_rule, false AS reprocessed,
+       CAST(NULL AS VARCHAR) AS reprocess_batch_id, brand_t AS brand_nm, chnl_t AS trade_chnl_desc,
+       {', '.join(_RECORD)}
+FROM c WHERE dq_code IS NOT NULL""")
 def d6_quarantine_records(spark, sf_dir):
-    """Quarantine rows (14-column layout) of the failing sales, summarised
-    per error code; ``record_data`` holds each row as JSON."""
-    d = _dom(spark, sf_dir)
-    dq = Q.apply_dq_sales(d.layers.bronze_sales, declared=True, channels=d.layers.silver_channels)
+    """Quarantine records of the failing sales in full: the fixed layout
+    (without ids and times) and the row read back from ``record_data``."""
+    _, dq = _defective(spark, sf_dir)
     bad = dq.filter(F.col("_dq_code").isNotNull())
-    q = Q.quarantine_records(bad, "bronze_beverage_sales", "silver_beverage_sales", "20240101000000",
-                             F.col("_dq_code"), Q.rule_description(F.col("_dq_code")), batch_ts="2024-01-01 00:00:00")
-    return (q.groupBy("batch_id", "source_table", "target_table", "error_type", "error_code",
-                      "error_description", "is_known_rule", "reprocessed")
-            .agg(F.count(F.lit(1)).alias("rows")))
+    q = _quarantined(bad).withColumn("r", F.from_json("record_data", bad.drop("_dq_code").schema))
+    return q.select("batch_id", "source_table", "target_table", "error_type", "error_code", "error_description",
+                    "dq_rule_name", "is_known_rule", "reprocessed", "reprocess_batch_id", "r.brand_nm",
+                    "r.trade_chnl_desc", *[f"r.{c}" for c in _RECORD])
+
+
+@register("d6_quarantine_ids", _BAD_SQL + """
+SELECT COUNT(*) AS records, COUNT(*) AS ids FROM (
+  SELECT 1 FROM c WHERE dq_code IS NOT NULL UNION ALL SELECT 1 FROM c WHERE dq_code IS NOT NULL) x""")
+def d6_quarantine_ids(spark, sf_dir):
+    """Every bad row twice: the records are as many as their ids."""
+    bad = _defective(spark, sf_dir)[1].filter(F.col("_dq_code").isNotNull())
+    q = _quarantined(bad.unionByName(bad))
+    return q.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("quarantine_id").alias("ids"))
+
+
+@register("d12_pipeline_reconciles", _dq_sql(O.defective(), 1990) + """
+SELECT COUNT(*) AS bronze_rows,
+       COUNT(*) FILTER (WHERE dq_code IS NULL OR dq_code = 'DQ_SALES_008') AS silver_rows,
+       COUNT(*) FILTER (WHERE dq_code <> 'DQ_SALES_008') AS quarantined_rows,
+       COUNT(*) FILTER (WHERE (dq_code IS NULL OR dq_code = 'DQ_SALES_008') AND (month IS NULL OR date IS NULL)) AS untyped_rows
+FROM c""")
+def d12_pipeline_reconciles(spark, sf_dir):
+    """The pipeline's own rules (without the referential one) over rows with
+    defects: silver + quarantine = bronze, and no untyped value in silver."""
+    _, dq = _defective(spark, sf_dir, channels=False)
+    ok = F.col("_dq_code").isNull()
+    typed = silver_sales(dq.withColumn("_ok", ok), BATCH_TS)
+    untyped = F.greatest(*[F.col(c).isNull() for c in ("transaction_date", "year", "month", "dollar_volume")])
+    return typed.agg(F.count(F.lit(1)).alias("bronze_rows"), F.count_if("_ok").alias("silver_rows"),
+                     F.count_if(~F.col("_ok")).alias("quarantined_rows"),
+                     F.count_if(F.col("_ok") & untyped).alias("untyped_rows"))
+
+
+@register("d9_unknown_errors", _BAD_SQL + """
+SELECT 'UNKNOWN_ERROR' AS error_type, dq_code AS error_code, COUNT(*) AS rows
+FROM c WHERE dq_code IN ('DQ_SALES_003', 'DQ_SALES_004') GROUP BY dq_code""")
+def d9_unknown_errors(spark, sf_dir):
+    """Failures that no known rule explains, among known ones, still pending."""
+    _, dq = _defective(spark, sf_dir)
+    strange = F.col("_dq_code").isin("DQ_SALES_003", "DQ_SALES_004")
+    known = _quarantined(dq.filter(F.col("_dq_code").isNotNull() & ~strange))
+    unknown = Q.quarantine_records(dq.filter(strange), "bronze_beverage_sales", "silver_beverage_sales", BATCH_ID,
+                                   F.col("_dq_code"), "unexplained", is_known_rule=False, batch_ts=BATCH_TS)
+    return Q.unknown_errors(known.unionByName(unknown)).groupBy("error_type", "error_code") \
+        .agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("d10_replay_after_rule_fix", _DQ_SQL + """
@@ -359,7 +428,7 @@ def d10_replay_after_rule_fix(spark, sf_dir):
     the stored schema and re-checked under a corrected year range."""
     d = _dom(spark, sf_dir)
     bronze = d.layers.bronze_sales
-    dq = Q.apply_dq_sales(bronze, declared=True, channels=d.layers.silver_channels)
+    dq = Q.apply_dq_sales(bronze, channels=d.layers.silver_channels)
     bad = dq.filter(F.col("_dq_code") == "DQ_SALES_006").drop("_dq_code")
     q = Q.quarantine_records(bad, "bronze_beverage_sales", "silver_beverage_sales", "20240101000000",
                              "DQ_SALES_006", "year out of range", batch_ts="2024-01-01 00:00:00")
@@ -369,9 +438,13 @@ def d10_replay_after_rule_fix(spark, sf_dir):
             .groupBy("outcome").agg(F.count(F.lit(1)).alias("rows")))
 
 
+_CHANNEL_ROWS = f"""SELECT * FROM ({O.CHANNELS}) UNION ALL SELECT * FROM (VALUES {", ".join(
+    "(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in D.CHANNEL_DEFECTS)}) v"""
+
+
 @register("d5_channel_rules", f"""
-WITH ch AS ({O.CHANNELS})
-SELECT trade_chnl_desc,
+WITH ch AS ({_CHANNEL_ROWS})
+SELECT trade_chnl_desc, trade_group_desc, trade_type_desc,
        CASE WHEN trade_chnl_desc IS NULL THEN 'DQ_CHANNEL_001'
             WHEN trade_group_desc IS NULL THEN 'DQ_CHANNEL_002'
             WHEN COUNT(*) OVER (PARTITION BY trade_chnl_desc) > 1 THEN 'DQ_CHANNEL_003'
@@ -379,28 +452,29 @@ SELECT trade_chnl_desc,
        END AS dq_code
 FROM ch""")
 def d5_channel_rules(spark, sf_dir):
-    ch = _dom(spark, sf_dir).layers.silver_channels
-    return Q.channel_checks(ch).select("trade_chnl_desc", F.col("_dq_code").alias("dq_code"))
+    """Channel rules over the master and rows that break each of them."""
+    ch = D.defective_channels(spark, sf_dir).toDF("trade_chnl_desc", "trade_group_desc", "trade_type_desc")
+    return Q.channel_checks(ch).withColumnRenamed("_dq_code", "dq_code")
 
 
 _D11_SQL = """
 SELECT 'silver_sales' AS table_name, metric, column_name, value, CAST(threshold AS DOUBLE) AS threshold,
-       coalesce(value >= threshold, false) AS passed FROM (
+       coalesce(CASE WHEN metric = 'freshness_hours' THEN value <= threshold ELSE value >= threshold END, false) AS passed FROM (
   SELECT 'completeness' AS metric, 'brand_nm' AS column_name, round(COUNT(brand_nm) / COUNT(*), 6) AS value, 0.95 AS threshold FROM gold
   UNION ALL SELECT 'completeness', 'trade_group_desc', round(COUNT(trade_group_desc) / COUNT(*), 6), 0.95 FROM gold
   UNION ALL SELECT 'completeness', 'transaction_date', round(COUNT(transaction_date) / COUNT(*), 6), 0.95 FROM gold
-  UNION ALL SELECT 'uniqueness', 'order_id', round(COUNT(DISTINCT (order_id, line_no, ce_brand_flvr, supplier_id)) / COUNT(*), 6), 1.0 FROM gold
-  UNION ALL SELECT 'validity', NULL, round(COUNT(*) FILTER (WHERE dollar_volume > 0) / COUNT(*), 6), 0.98 FROM gold) m"""
+  UNION ALL SELECT 'uniqueness', '_pk', round(COUNT(DISTINCT (order_id, line_no, ce_brand_flvr, supplier_id)) / COUNT(*), 6), 1.0 FROM gold
+  UNION ALL SELECT 'validity', NULL, round(COUNT(*) FILTER (WHERE dollar_volume > 0) / COUNT(*), 6), 0.98 FROM gold
+  UNION ALL SELECT 'freshness_hours', '_ingestion_timestamp', 30.5, 24.0) m"""
 
 
 @register("d11_dq_metrics", O.with_gold(_D11_SQL))
 def d11_dq_metrics(spark, sf_dir):
-    """Completeness, uniqueness and validity against thresholds in one pass."""
+    """Completeness, uniqueness, validity and freshness (30.5 hours at the
+    pinned time) against thresholds in one pass."""
     s = _dom(spark, sf_dir).layers.silver_sales
-    out = Q.dq_metrics(s, "silver_sales", ["brand_nm", "trade_group_desc", "transaction_date"], "_pk",
-                       valid_flag=F.col("dollar_volume") > 0)
-    return out.withColumn("column_name", F.when(F.col("metric") == "uniqueness", F.lit("order_id"))
-                          .otherwise(F.col("column_name")))
+    return Q.dq_metrics(s, "silver_sales", ["brand_nm", "trade_group_desc", "transaction_date"], "_pk",
+                        valid_flag=F.col("dollar_volume") > 0, ts_col="_ingestion_timestamp", now="2024-01-02 06:30:00")
 
 
 @register("g4_dq_summary", O.with_gold(f"SELECT passed, COUNT(*) AS tests FROM ({_D11_SQL}) r GROUP BY passed"))
@@ -460,6 +534,8 @@ _B1_RULES = {
     "volume_per_period": {"type": "calculation", "calc_type": "divide",
                           "source_columns": ["dollar_volume", "period"]},
     "year_plus_month": {"type": "calculation", "calc_type": "sum", "source_columns": ["year", "month"]},
+    "year_times_month": {"type": "calculation", "calc_type": "multiply", "source_columns": ["year", "month"]},
+    "year_less_month": {"type": "calculation", "calc_type": "subtract", "source_columns": ["year", "month"]},
     "region_brand": {"type": "derived", "operation": "concat", "source_columns": ["region", "brand_nm"]},
 }
 
@@ -471,7 +547,7 @@ SELECT order_id, line_no, ce_brand_flvr, supplier_id,
             WHEN dollar_volume >= 10000 AND dollar_volume < 50000 THEN 'Medium'
             WHEN dollar_volume >= 50000 THEN 'Large' ELSE 'Unknown' END AS price_band,
        CAST(round(dollar_volume / period, 6) AS DECIMAL(38,6)) AS volume_per_period,
-       year + month AS year_plus_month,
+       year + month AS year_plus_month, year * month AS year_times_month, year - month AS year_less_month,
        concat_ws('_', region, brand_nm) AS region_brand,
        year AS year, CAST(quarter(transaction_date) AS INTEGER) AS quarter
 FROM gold"""))
@@ -479,11 +555,10 @@ def b1_b3_rule_engine(spark, sf_dir):
     """Parameterised rules: category ranges, calculations, derived concat,
     plus time dimensions from the transaction date."""
     g = RU.apply_business_rules(_dom(spark, sf_dir).layers.silver_sales, _B1_RULES)
-    g = RU.add_time_dimensions(g.drop("year", "month"), "transaction_date").withColumn(
-        "year_plus_month", F.col("year") + F.col("month"))
+    g = RU.add_time_dimensions(g.drop("year", "month"), "transaction_date")
     return g.select(*_KEYCOLS, "price_band",
                     F.round("volume_per_period", 6).cast("decimal(38,6)").alias("volume_per_period"),
-                    "year_plus_month", "region_brand", "year", "quarter")
+                    "year_plus_month", "year_times_month", "year_less_month", "region_brand", "year", "quarter")
 
 
 # ================================================================ star schema
@@ -562,10 +637,7 @@ FROM gold g LEFT JOIN (
 ON g.region = m.region AND g.trade_group_desc = m.trade_group_desc"""))
 def a1_business_metrics(spark, sf_dir):
     """Group metrics joined back to every row (null group keys get nulls)."""
-    # the input is read twice (aggregate and rows): hand it over once instead
-    # of running the source joins twice
-    g = materialize(_dom(spark, sf_dir).layers.gold_sales.select(
-        *_KEYCOLS, "region", "trade_group_desc", "dollar_volume"), "metrics_input")
+    g = _dom(spark, sf_dir).layers.gold_sales.select(*_KEYCOLS, "region", "trade_group_desc", "dollar_volume")
     m = MT.add_business_metrics(g, "dollar_volume", ["region", "trade_group_desc"])
     return m.select(*_KEYCOLS, "region", "trade_group_desc",
                     F.col("dollar_volume_total").cast(MONEY).alias("dollar_volume_total"),
@@ -596,7 +668,7 @@ def a7_category_frequencies(spark, sf_dir):
 
 
 @register("a14_analyze_table", O.with_gold("""
-SELECT 'gold_sales' AS table_name, (SELECT COUNT(*) FROM gold) AS row_count, 36 AS column_count,
+SELECT 'gold_sales' AS table_name, (SELECT COUNT(*) FROM gold) AS row_count, 37 AS column_count,
        column_name, sum_value, avg_value, min_value, max_value, non_null FROM (
   SELECT 'dollar_volume' AS column_name, CAST(SUM(CAST(dollar_volume AS DECIMAL(38,4))) AS DECIMAL(38,4)) AS sum_value,
          CAST(SUM(CAST(dollar_volume AS DECIMAL(38,4))) / COUNT(dollar_volume) AS DECIMAL(38,4)) AS avg_value,
@@ -622,13 +694,29 @@ def a15_null_negative_counts(spark, sf_dir):
 
 
 # ================================================================ layer checks and control
-def _layer_tables(d: DriverDomain) -> dict:
+def _layer_counts(d: DriverDomain):
+    """(layer, table_name, rows) of every table in ONE aggregation of the
+    bronze rows with their rule codes and typed attributes."""
     L = d.layers
-    dq = Q.apply_dq_sales(L.bronze_sales, declared=True, channels=L.silver_channels)
-    s = d.star
-    return {"bronze_sales": ("bronze", L.bronze_sales), "silver_sales": ("silver", L.silver_sales),
-            "gold_sales": ("gold", d.gold), "quarantine": ("control", dq.filter(F.col("_dq_code").isNotNull())),
-            **{k: ("consumption", v) for k, v in s.items()}}
+    declared = Q.first_failure(Q.sales_checks(channels=L.silver_channels))
+    rows = Q.apply_dq_sales(L.bronze_sales, years=d.profile.years)
+    keys = L.silver_channels.select(F.trim("trade_chnl_desc").alias("_ck")).distinct()
+    rows = rows.join(bounded_broadcast(keys), F.col("trade_chnl_desc") == F.col("_ck"), "left") \
+        .withColumn("_channel_missing", F.col("_ck").isNull()).withColumn("_declared", declared)
+    ok = F.col("_dq_code").isNull()
+    sold = F.try_to_date(F.col("date"), "M/d/yyyy")
+
+    def members(cols):
+        return F.count_distinct(F.when(ok, F.struct(*[F.coalesce(F.col(c), F.lit("\x00")) for c in cols])))
+
+    n = {("bronze", "bronze_sales"): F.count(F.lit(1)), ("silver", "silver_sales"): F.count_if(ok),
+         ("gold", "gold_sales"): F.count_if(ok), ("control", "quarantine"): F.count_if(F.col("_declared").isNotNull()),
+         ("consumption", "dim_date"): F.count_distinct(F.when(ok, sold)),
+         ("consumption", "dim_region"): members(["region"]), ("consumption", "dim_product"): members(ST.PRODUCT_COLS),
+         ("consumption", "dim_channel"): members(ST.CHANNEL_LOOKUP), ("consumption", "fact_sales"): F.count_if(ok)}
+    one = rows.agg(*(e.alias(t) for (_, t), e in n.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(layer).alias("layer"), F.lit(t).alias("table_name"),
+                                                   F.col(t).alias("rows")) for layer, t in n))).alias("r")).select("r.*")
 
 
 _COUNTS_SQL = f"""
@@ -654,7 +742,7 @@ SELECT layer, COUNT(*) AS tables, CAST(SUM(rows) AS BIGINT) AS rows,
 FROM counts GROUP BY layer""")
 def a16_layer_totals(spark, sf_dir):
     """Tables, rows and empty tables per layer (one job over all tables)."""
-    return MT.layer_totals(MT.table_counts(_layer_tables(_dom(spark, sf_dir))))
+    return MT.layer_totals(_layer_counts(_dom(spark, sf_dir)))
 
 
 @register("d13_layer_monotonicity", _COUNTS_SQL + """
@@ -667,8 +755,9 @@ SELECT MAX(rows) FILTER (WHERE table_name = 'bronze_sales') AS bronze_rows,
 FROM counts""")
 def d13_layer_monotonicity(spark, sf_dir):
     """bronze >= silver >= gold row counts."""
-    c = MT.table_counts({k: v for k, v in _layer_tables(_dom(spark, sf_dir)).items()
-                         if k in ("bronze_sales", "silver_sales", "gold_sales")})
+    L = _dom(spark, sf_dir).layers
+    c = MT.table_counts({"bronze_sales": ("bronze", L.bronze_sales), "silver_sales": ("silver", L.silver_sales),
+                         "gold_sales": ("gold", L.gold_sales)})
     p = c.groupBy().pivot("table_name", ["bronze_sales", "silver_sales", "gold_sales"]).agg(F.first("rows"))
     return p.select(F.col("bronze_sales").alias("bronze_rows"), F.col("silver_sales").alias("silver_rows"),
                     F.col("gold_sales").alias("gold_rows"),
@@ -721,18 +810,104 @@ SELECT dq_code AS error_code, dq_code = 'DQ_SALES_006' AS reprocessed,
 FROM c WHERE dq_code IS NOT NULL GROUP BY dq_code""")
 def d7_d9_reprocess_status(spark, sf_dir):
     """Quarantine of the failing sales; the year-rule rows released by the
-    replay are marked reprocessed; pending and unknown-rule filters apply."""
+    replay are marked reprocessed."""
     d = _dom(spark, sf_dir)
-    dq = Q.apply_dq_sales(d.layers.bronze_sales, declared=True, channels=d.layers.silver_channels)
-    bad = dq.filter(F.col("_dq_code").isNotNull())
-    q = Q.quarantine_records(bad, "bronze_beverage_sales", "silver_beverage_sales", "20240101000000",
-                             F.col("_dq_code"), Q.rule_description(F.col("_dq_code")),
-                             batch_ts="2024-01-01 00:00:00")
+    dq = Q.apply_dq_sales(d.layers.bronze_sales, channels=d.layers.silver_channels)
+    q = _quarantined(dq.filter(F.col("_dq_code").isNotNull()))
     released = Q.pending_reprocess(q).filter(F.col("error_code") == "DQ_SALES_006").select("quarantine_id")
-    marked = Q.mark_as_reprocessed(q, released, "20240102000000", "2024-01-02 00:00:00")
-    # rows of unknown rules would be listed once more; every rule here is
-    # known, so this part is empty and the counts are those of ``marked``
-    unknown = Q.unknown_errors(marked)
-    return (marked.unionByName(unknown)
-            .groupBy("error_code", "reprocessed", "reprocess_batch_id")
-            .agg(F.count(F.lit(1)).alias("rows")))
+    marked = Q.mark_as_reprocessed(q, released, SECOND_BATCH_ID, SECOND_BATCH_TS)
+    return marked.groupBy("error_code", "reprocessed", "reprocess_batch_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ================================================================ null keys, late rows, drifting columns
+@register("c5_merge_edge_cases", f"""
+WITH {O.extracts()},
+s AS (SELECT CASE WHEN line_no = '7' THEN NULL ELSE _pk END AS _pk, _row_hash, supplier_id AS only_new,
+             CASE WHEN line_no = '1' THEN TIMESTAMP '2023-12-31 00:00:00' ELSE _ingestion_timestamp END AS ts FROM b2),
+t AS (SELECT CASE WHEN line_no = '7' THEN NULL ELSE _pk END AS _pk, _row_hash, order_id AS only_old,
+             _ingestion_timestamp AS ts FROM b1)
+SELECT CASE WHEN t._row_hash IS NULL THEN 'insert' WHEN s._row_hash IS NULL THEN 'keep'
+            WHEN s._row_hash = t._row_hash THEN 'unchanged' WHEN s.ts >= t.ts THEN 'update' ELSE 'stale' END AS _action,
+       COUNT(*) AS records, COUNT(*) FILTER (WHERE coalesce(s._pk, t._pk) IS NULL) AS null_keys,
+       COUNT(*) FILTER (WHERE s._row_hash IS NOT NULL AND (t._row_hash IS NULL OR s._row_hash <> t._row_hash AND s.ts >= t.ts)) AS with_new,
+       COUNT(*) FILTER (WHERE t._row_hash IS NOT NULL AND (s._row_hash IS NULL OR s._row_hash = t._row_hash OR s.ts < t.ts)) AS with_old
+FROM s FULL OUTER JOIN t ON s._pk = t._pk GROUP BY 1""")
+def c5_merge_edge_cases(spark, sf_dir):
+    """Merge in which some keys are null on both sides, some rows of the new
+    load are older than the current table, and each side has a column of its
+    own: every row comes out, with its own side's columns."""
+    e = Extracts(_dom(spark, sf_dir))
+    unkeyed = F.when(F.col("line_no") != "7", F.col("_pk")).alias("_pk")
+    late = F.when(F.col("line_no") == "1", F.to_timestamp(F.lit("2023-12-31 00:00:00"))) \
+        .otherwise(F.col("_ingestion_timestamp")).alias("_ingestion_timestamp")
+    new = e.bronze2.select(unkeyed, "_row_hash", F.col("supplier_id").alias("only_new"), late)
+    old = e.bronze1.select(unkeyed, "_row_hash", F.col("order_id").alias("only_old"), "_ingestion_timestamp")
+    m = cdc.merge(new, old)
+    return m.groupBy("_action").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("_pk").isNull()).alias("null_keys"),
+        F.count("only_new").alias("with_new"), F.count("only_old").alias("with_old"))
+
+
+# ================================================================ library forms
+@register("p1_generic_names", """
+SELECT l_orderkey AS order_key, l_extendedprice AS extended_price, l_returnflag AS return_flag_r_a_n FROM lineitem""")
+def p1_generic_names(spark, sf_dir):
+    """Generic name rule over awkward column names."""
+    li = D.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias(" Order Key "), F.col("l_extendedprice").alias("Extended--Price"),
+        F.col("l_returnflag").alias("Return Flag (R/A/N)"))
+    return standardize_column_names(li, "generic")
+
+
+@register("c1_c2_skip_form", """
+SELECT c_custkey, md5(concat_ws('||', trim(c_name), trim(CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END))) AS _pk,
+       sha256(concat_ws('||', CAST(c_custkey AS VARCHAR), trim(c_name),
+              trim(CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END))) AS _row_hash
+FROM customer""")
+def c1_c2_skip_form(spark, sf_dir):
+    """Key and row hash in the form that skips nulls, columns in frame order."""
+    c = D.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(F.lit(" "), "c_name").alias("c_name"),
+        F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    keyed = add_primary_key(c, ["c_name", "c_mktsegment"], form="skip")
+    return add_row_hash(keyed, form="skip").select("c_custkey", "_pk", "_row_hash")
+
+
+@register("p9_p10_trim_and_cast", """
+SELECT c_custkey, c_mktsegment, CAST(CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS DOUBLE) AS c_acctbal
+FROM customer""")
+def p9_p10_trim_and_cast(spark, sf_dir):
+    """Padded text trimmed, text cast to numbers (null when it is none)."""
+    c = D.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")).alias("c_mktsegment"),
+        F.when(F.col("c_custkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"))
+    return cast_columns(clean_string_columns(c, ["c_mktsegment"]), {"c_acctbal": "double"})
+
+
+@register("u2_union_null_fill", """
+SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, CAST(NULL AS INTEGER) AS nation FROM customer
+UNION ALL SELECT s_suppkey, s_name, NULL, s_nationkey FROM supplier""")
+def u2_union_null_fill(spark, sf_dir):
+    """Union by name of frames with a column each that the other lacks."""
+    c = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
+                                                  F.col("c_mktsegment").alias("segment"))
+    s = D.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"),
+                                                  F.col("s_suppkey").alias("key"))
+    return c.unionByName(s, allowMissingColumns=True)
+
+
+@register("o1_sorted_brand_months", O.with_gold("""
+SELECT brand_nm, year, month, strftime(transaction_date, '%Y-%m') AS year_month,
+       CAST(SUM(dollar_volume) AS DECIMAL(38,2)) AS total_dollar_volume, COUNT(*) AS transaction_count
+FROM gold GROUP BY ALL ORDER BY year DESC, month DESC, total_dollar_volume DESC, brand_nm"""))
+def o1_sorted_brand_months(spark, sf_dir):
+    """The brand and month mart in reading order: newest month, greatest first."""
+    return marts.sorted_report(marts.brand_month_of(_dom(spark, sf_dir).gold), "year", "month",
+                               "total_dollar_volume", then=("brand_nm",))
+
+
+@register("b12_sales_ids", f"""
+WITH b AS ({O.bronze()}) SELECT order_id, line_no, 'S-' || _pk AS sales_id FROM b""")
+def b12_sales_ids(spark, sf_dir):
+    """The reproducible sales id of every silver row."""
+    return _dom(spark, sf_dir).layers.silver_sales.select("order_id", "line_no", "sales_id")

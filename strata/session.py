@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,25 +48,28 @@ def build_session(master: str = "local[*]", app: str = "strata",
 def apply_job_conf(spark: SparkSession) -> None:
     """Apply the runtime-settable options to a session we did not build."""
     for k, v in JOB_CONF.items():
-        try:
+        if spark.conf.isModifiable(k):
             spark.conf.set(k, v)
-        except Exception:  # static or locked conf on a managed cluster
-            pass
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``; we only pick a folder of
-    our own when the setting is absent (local tests).
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master may go
+    without (tests): executors elsewhere would not see a folder of the driver's.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
-    if configured:
-        sc.setCheckpointDir(configured)
-    else:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strata-ckpt-"))
+    sc.setCheckpointDir(checkpoint_folder(sc.master, configured))
     return sc.getCheckpointDir()
+
+
+def checkpoint_folder(master: str, configured: str | None) -> str:
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master!r}")
+    return tempfile.mkdtemp(prefix="strata-ckpt-")

@@ -126,6 +126,36 @@ def sales_landing(spark: SparkSession, sf_dir: str, returns_booked: bool = True,
     )
 
 
+# Injected defects, by order number modulo DEFECT_EVERY. Each
+# breaks one rule: (remainder, landing column, value).
+DEFECT_EVERY = 50
+DEFECTS = [(1, "BRAND_NM", None), (2, "TRADE_CHNL_DESC", "  "), (3, "$ Volume", "12,5"), (4, "DATE", "2020-31-31"),
+           (5, "YEAR", "1899"), (6, "MONTH", "13"), (7, "TRADE_CHNL_DESC", "UNLISTED")]
+
+
+def defective_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales lines in which some orders break a rule each."""
+    df = sales_landing(spark, sf_dir)
+    rest = F.col("ORDER_ID").cast("bigint") % DEFECT_EVERY
+    for column in dict.fromkeys(c for _, c, _ in DEFECTS):
+        value = F.col(f"`{column}`")
+        for k, c, bad in DEFECTS:
+            if c == column:
+                value = F.when(rest == k, F.lit(bad)).otherwise(value)
+        df = df.withColumn(column, value)
+    return df
+
+
+# Channel rows that break each channel rule, added to the master.
+CHANNEL_DEFECTS = [(None, "SERVICES", "MIX"), ("KIOSK", None, "MIX"), ("BUILDING", "GROCERY", "MIX"),
+                   ("VENDING", "SERVICES", "FROZEN")]
+
+
+def defective_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = channel_landing(spark, sf_dir)
+    return good.unionByName(spark.createDataFrame(CHANNEL_DEFECTS, good.schema))
+
+
 def channel_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel master rows (landing-shaped) for the segments present in the data."""
     seg = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("TRADE_CHNL_DESC")).distinct()

@@ -2,10 +2,12 @@
 
 * history tables are appended (``append``), partitioned by load date;
 * current tables are replaced through a staged version plus a commit log
-  (``replace``): data goes to ``<table>/v=<version>``, then one row is
-  appended to ``<table>/_commits``. Readers resolve the newest committed
-  version, so a failed or running write is never seen and a plan never
-  overwrites the files it is reading.
+  (``replace``): data goes to ``<table>/v=<version>``, then one row with the
+  next sequence number is appended to ``<table>/_commits``. Readers resolve
+  the version with the greatest sequence number, whatever the versions are
+  called, so a backfill or another writer's commit is seen in commit order, a
+  failed or running write is never seen (a table with nothing committed is
+  empty), and a plan never overwrites the files it is reading.
 
 The format is chosen once per store (Delta when its extension is on the
 session, else Parquet). Absence is tested with the file system, so any real
@@ -24,7 +26,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LAYERS = ("landing", "bronze", "silver", "gold", "consumption", "control")
-COMMIT_SCHEMA = "version string, committed_at timestamp, buckets int, bucket_col string"
+COMMIT_SCHEMA = "seq bigint, version string, committed_at timestamp, buckets int, bucket_col string"
+
+
+# Newest commit first; equal numbers (two writers at once) by time, then name.
+NEWEST = (F.desc("seq"), F.desc("committed_at"), F.desc("version"))
+
+
+def merged_schema(old: StructType | None, new: StructType) -> StructType:
+    """Columns of both, the older ones first; one name must keep its type."""
+    if old is None:
+        return new
+    known = {f.name: f.dataType for f in old.fields}
+    for f in new.fields:
+        if f.name in known and known[f.name] != f.dataType:
+            raise ValueError(f"column {f.name} changes from {known[f.name].simpleString()} "
+                             f"to {f.dataType.simpleString()}")
+    return StructType([*old.fields, *(f for f in new.fields if f.name not in known)])
 
 
 def table_format(spark: SparkSession) -> str:
@@ -69,8 +87,10 @@ class TableStore:
     def _save_schema(self, df: DataFrame, layer: str, table: str) -> None:
         """Keep the written schema next to a history table, so partition
         columns read back with their own types (a batch id such as
-        ``20240101000000`` would otherwise be inferred as a number)."""
-        (self.spark.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1)
+        ``20240101000000`` would otherwise be inferred as a number). Columns of
+        earlier writes stay in it: files without them read as null."""
+        schema = merged_schema(self._saved_schema(layer, table), df.schema)
+        (self.spark.createDataFrame([(schema.json(),)], "schema string").coalesce(1)
          .write.mode("overwrite").parquet(f"{self.path(layer, table)}/_schema"))
 
     def _saved_schema(self, layer: str, table: str) -> StructType | None:
@@ -122,8 +142,9 @@ class TableStore:
         else:
             w.save(vpath)
         n, key = bucket_by or (None, None)
+        last = self._commit(layer, table)
         commit = self.spark.createDataFrame(
-            [(version, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), n, key)], COMMIT_SCHEMA)
+            [((last["seq"] if last else 0) + 1, version, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), n, key)], COMMIT_SCHEMA)
         commit.coalesce(1).write.mode("append").parquet(f"{base}/_commits")
         return version
 
@@ -132,24 +153,39 @@ class TableStore:
         return re.sub(r"[^A-Za-z0-9_]", "_", f"strata_{tag}_{layer}_{table}_v{version}")
 
     def _commit(self, layer: str, table: str, version: str | None = None):
+        """The newest commit (of ``version``), or None."""
+        if not self._exists(f"{self.path(layer, table)}/_commits"):
+            return None
         c = self.versions(layer, table)
         if version:
             c = c.filter(F.col("version") == version)
-        return c.orderBy(F.desc("version")).first()
+        return c.orderBy(*NEWEST).first()
 
     def versions(self, layer: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path(layer, table)}/_commits")
+        return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.path(layer, table)}/_commits")
 
     def is_committed(self, layer: str, table: str, version: str) -> bool:
-        if not self._exists(f"{self.path(layer, table)}/_commits"):
-            return False
-        return self.versions(layer, table).filter(F.col("version") == version).limit(1).count() > 0
+        return self._commit(layer, table, version) is not None
 
     def current_version(self, layer: str, table: str) -> str | None:
-        if not self._exists(f"{self.path(layer, table)}/_commits"):
-            return None
-        row = self.versions(layer, table).agg(F.max("version").alias("v")).first()
-        return row["v"] if row else None
+        row = self._commit(layer, table)
+        return row["version"] if row else None
+
+    def has_rows_to_read(self, layer: str, table: str) -> bool:
+        """False for a missing table and for one whose only content is a
+        version folder that was never committed."""
+        base = self.path(layer, table)
+        if not self._exists(base):
+            return False
+        if self._exists(f"{base}/_commits"):
+            return self._commit(layer, table) is not None
+        return self._exists(f"{base}/_schema") or not any(n.startswith("v=") for n, _ in self._folders(base))
+
+    def _folders(self, base: str) -> list[tuple[str, int]]:
+        """(name, modification time in ms) of the folders under ``base``."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [(st.getPath().getName(), st.getModificationTime()) for st in fs.listStatus(root) if st.isDirectory()]
 
     def prune_versions(self, layer: str, table: str, keep: int = 3) -> list[str]:
         """Delete the data of all but the newest ``keep`` committed versions
@@ -160,29 +196,27 @@ class TableStore:
         base = self.path(layer, table)
         if not self._exists(f"{base}/_commits"):
             return []
-        committed = [r["version"] for r in self.versions(layer, table).select("version")
-                     .distinct().orderBy(F.desc("version")).collect()]
-        if len(committed) <= keep:
+        kept = self.versions(layer, table).orderBy(*NEWEST).limit(keep).collect()
+        if len(kept) < keep:
             return []
-        kept = set(committed[:keep])
-        oldest_kept = min(kept)
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(base)
+        names = {r["version"] for r in kept}
+        oldest = min(r["committed_at"] for r in kept).replace(tzinfo=_dt.timezone.utc).timestamp() * 1000
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        removed = []
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith("v="):
-                v = name[2:]
-                if v not in kept and v < oldest_kept:
-                    fs.delete(st.getPath(), True)
-                    removed.append(v)
+        removed = [n[2:] for n, changed in self._folders(base)
+                   if n.startswith("v=") and n[2:] not in names and changed <= oldest]
+        for v in removed:
+            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/v={v}"), True)
         return sorted(removed)
 
     # ---- reads -------------------------------------------------------------
     def read(self, layer: str, table: str, version: str | None = None) -> DataFrame:
         base = self.path(layer, table)
-        c = self._commit(layer, table, version) if self._exists(f"{base}/_commits") else None
+        if not self.has_rows_to_read(layer, table):
+            raise ValueError(f"{layer}.{table} has no committed data")
+        c = self._commit(layer, table, version)
+        if c is None and version:
+            raise ValueError(f"version {version} of {layer}.{table} is not committed")
         if c is None:  # a plain (history) table without versions
             schema = self._saved_schema(layer, table)
             r = self.spark.read.format(self.fmt)
@@ -198,8 +232,8 @@ class TableStore:
         return self.spark.read.format(self.fmt).load(vpath)
 
     def read_if_exists(self, layer: str, table: str, schema: StructType | str) -> DataFrame:
-        """The table, or an empty frame of ``schema`` when it does not exist yet."""
-        if not self._exists(self.path(layer, table)):
+        """The table, or an empty frame of ``schema`` when nothing is committed yet."""
+        if not self.has_rows_to_read(layer, table):
             return self.spark.createDataFrame([], schema)
         return self.read(layer, table)
 
@@ -207,7 +241,7 @@ class TableStore:
         """Register ``{view: (layer, table)}`` as temp views; missing ones skipped."""
         done = []
         for view, (layer, table) in tables.items():
-            if self._exists(self.path(layer, table)):
+            if self.has_rows_to_read(layer, table):
                 self.read(layer, table).createOrReplaceTempView(view)
                 done.append(view)
         return done

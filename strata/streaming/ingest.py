@@ -6,12 +6,15 @@ current table inside ``foreachBatch``. ``availableNow`` processes whatever
 has landed and stops, which fits a daily scheduled run; the same query with
 a processing-time trigger runs continuously. A restarted run resumes from the
 checkpoint, and a batch that failed half-way is replayed with the same
-epoch id (the silver version is named after it, so a replay overwrites
-nothing that readers already use).
+epoch id. The silver version is named after the stream and the epoch: a replay
+overwrites nothing that readers already use, and a stream with a new checkpoint,
+whose epochs start again at 0, is another stream.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,24 +51,29 @@ def to_bronze(batch: DataFrame, profile: Profile, batch_id: str) -> DataFrame:
     return audit_first(df)
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query when the checkpoint was made."""
+    row = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()
+    return json.loads(row["value"])["id"].replace("-", "")
+
+
 def process_batch(batch: DataFrame, epoch: int, store: TableStore, profile: Profile,
-                  table: str = "beverage_sales") -> bool:
+                  table: str = "beverage_sales", stream: str = "default") -> bool:
     """One micro-batch: bronze partition, quarantine partition, silver merge.
 
-    Safe to call again for the same epoch (the stream replays a batch whose
+    Safe to call again for the same stream and epoch (the stream replays a batch whose
     commit it did not record): a committed silver version means the batch is
     done; otherwise the bronze and quarantine partitions of this batch are
     replaced and the merge reads the last committed silver version again.
     Returns False when the batch was already done.
     """
-    batch_id = f"stream-{epoch:012d}"
-    version = f"{epoch:012d}"
+    batch_id = version = f"stream-{stream}-{epoch:012d}"
     if store.is_committed("silver", table, version):
         return False
     bronze = to_bronze(batch, profile, batch_id).persist()
     try:
         store.overwrite_partitions(bronze, "bronze", table, ["_batch_id"])
-        dq = apply_dq_sales(bronze)
+        dq = apply_dq_sales(bronze, years=profile.years)
         bad = dq.filter(F.col("_dq_code").isNotNull())
         store.overwrite_partitions(
             quarantine_records(bad, f"bronze.{table}", f"silver.{table}", batch_id,
@@ -73,7 +81,7 @@ def process_batch(batch: DataFrame, epoch: int, store: TableStore, profile: Prof
             "control", "quarantine", ["batch_id"])
         src = silver_sales(dq.filter(F.col("_dq_code").isNull()))
         current = store.read_if_exists("silver", table, src.schema)
-        store.replace(merged_table(merge(src, current, count_check=True)), "silver", table, version=version)
+        store.replace(merged_table(merge(src, current)), "silver", table, version=version)
     finally:
         bronze.unpersist()
     return True
@@ -84,6 +92,7 @@ def run_incremental(spark: SparkSession, landing_dir: str, store: TableStore, ch
     """Process all new landing files, then stop (``availableNow``)."""
     q = (sales_stream(spark, landing_dir).writeStream
          .option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda batch, epoch: process_batch(batch, epoch, store, profile, table))
+         .foreachBatch(lambda batch, epoch: process_batch(
+             batch, epoch, store, profile, table, stream_id(spark, checkpoint)))
          .trigger(availableNow=True).start())
     q.awaitTermination()

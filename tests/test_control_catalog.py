@@ -85,6 +85,32 @@ def test_catalog_and_lineage(spark):
     assert up["landing.beverage_channel_group"] == 5
 
 
+def test_lineage_of_any_depth_and_with_a_cycle(spark):
+    edges = [(f"t{i + 1}", f"t{i}", "") for i in range(40)] + [("t0", "t40", "cycle")]
+    C.lineage_edges(spark, edges).createOrReplaceTempView("deep")
+    up = {r["ancestor"]: r["depth"] for r in C.lineage_upstream(spark, "deep", "t0").collect()}
+    assert len(up) == 41 and up["t40"] == 40 and up["t0"] == 41
+
+
+def test_errors_are_stored_whole(spark):
+    recorded = []
+    with pytest.raises(RuntimeError):
+        with R.ProcessControl(spark, sink=recorded.append).track("b", "gold", "t"):
+            raise RuntimeError("x" * 50_000)
+    assert len(recorded[-1].first()["error_message"]) == 50_000
+
+
+def test_missing_metrics_are_zero_only_if_nothing_was_written():
+    class Broken:
+        @property
+        def get(self):
+            raise RuntimeError("no metrics")
+    assert R.observed_values(Broken(), lambda: 0)["rows"] == 0
+    for written in (None, lambda: 3):
+        with pytest.raises(RuntimeError):
+            R.observed_values(Broken(), written)
+
+
 def test_retention_and_dq_summary(spark):
     df = spark.createDataFrame([("2024-01-01",), ("2023-06-01",), ("2023-12-01",), ("2010-01-01",)], "d string").select(
         F.to_date("d").alias("_ingestion_date"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from strata.plans import marts
+from strata.plans.registry import QUERIES
 from strata.plans.domain import DriverDomain
 
 SF = "/root/testdata/sf0.001"
@@ -23,8 +24,39 @@ def test_no_python_in_plans(spark, name):
 
 
 def test_fact_needs_no_shuffle(spark):
-    fact = DriverDomain(spark, SF).star["fact_sales"]
-    assert "Exchange" not in _plan(fact)
+    from strata.operators.materialize import materialize
+    from strata.operators.star import fact_sales
+    gold = materialize(DriverDomain(spark, SF).gold, "gold")
+    assert "Exchange" not in _plan(fact_sales(gold))
+
+
+@pytest.mark.parametrize("name", ["q41_top_trade_groups", "q42_brand_month", "q43_brand_region_ranks",
+                                  "q44_sql_region_trade_group", "m6_fact_sales", "a16_layer_totals"])
+def test_building_a_query_starts_no_job(spark, name):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"building-{name}", name)
+    try:
+        QUERIES[name](spark, SF)
+        assert tracker.getJobIdsForGroup(f"building-{name}") == []
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_latest_per_key_shuffles_no_unused_column(spark):
+    plan = _plan(QUERIES["c3_latest_per_key"](spark, SF))
+    assert "WindowGroupLimit" in plan
+    exchanges = [x for x in plan.split("\n") if "Exchange" in x]
+    assert exchanges
+    window = plan[:plan.index("WindowGroupLimit")]
+    assert "pkg_cat_desc" not in window and "chnl_group" not in window
+
+
+def test_group_metrics_leave_the_rows_in_place(spark):
+    """The group table is small: no exchange between the row side and the join."""
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") % 3).alias("g"), F.lit(1).alias("v"))
+    from strata.operators.metrics import add_business_metrics
+    plan = _plan(add_business_metrics(rows, "v", ["g"]))
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
 def test_scan_pruning_and_pushdown(spark):
@@ -74,7 +106,7 @@ def test_no_row_caps_in_registered_queries(spark):
     """Every registered query runs over whole tables: the only limit is the
     top-k report itself."""
     capped = []
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         plan = fn(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         if "GlobalLimit" in plan or "LocalLimit" in plan or "Sample" in plan:
             capped.append(name)

@@ -149,7 +149,7 @@ def test_bucketed_current_table_merge_shuffles_only_increment(spark, tmp_path):
     src = tgt.filter(F.col("v").cast("int") >= 1500).withColumn("v", F.concat("v", F.lit("x"))) \
         .withColumn("_row_hash", F.md5("v")).withColumn("_ingestion_timestamp",
                                                          F.to_timestamp(F.lit("2024-01-02 00:00:00")))
-    m = merge(src, store.read("silver", "cur"), small_source_rows=None)
+    m = merge(src, store.read("silver", "cur"))
     plan = m._jdf.queryExecution().executedPlan().toString()
     scans = [ln for ln in plan.split("\n") if "FileScan" in ln or "Scan parquet" in ln]
     assert any("SelectedBucketsCount" in ln for ln in scans)
@@ -166,7 +166,7 @@ def test_stream_batch_replay_is_idempotent(spark, tmp_path, landing):
     batch = read_sales_tsv(spark, str(landing / "sales.tsv")).withColumn("_path", F.col("_metadata.file_path"))
     # a crash after the bronze write: the partition exists, silver is not committed
     from strata.streaming.ingest import to_bronze
-    store.overwrite_partitions(to_bronze(batch, prof, "stream-000000000000"), "bronze", "beverage_sales",
+    store.overwrite_partitions(to_bronze(batch, prof, "stream-default-000000000000"), "bronze", "beverage_sales",
                                ["_batch_id"])
     assert process_batch(batch, 0, store, prof) is True       # the replay finishes the batch
     assert process_batch(batch, 0, store, prof) is False      # a second replay is a no-op
@@ -175,6 +175,59 @@ def test_stream_batch_replay_is_idempotent(spark, tmp_path, landing):
         "silver", "beverage_sales").select("_pk").distinct().count()
 
 
+def test_new_stream_checkpoint_is_another_stream(spark, tmp_path, landing):
+    """Epochs start again at 0 with a new checkpoint; the data still arrives,
+    and what a batch run committed before does not hide it."""
+    from strata.streaming.ingest import process_batch
+    store = TableStore(spark, str(tmp_path / "lake"))
+    prof = Profile(key_columns=KEY)
+    batch = read_sales_tsv(spark, str(landing / "sales.tsv")).withColumn("_path", F.col("_metadata.file_path"))
+    assert process_batch(batch, 0, store, prof, stream="one")
+    n = store.read("silver", "beverage_sales").count()
+    store.replace(store.read("silver", "beverage_sales"), "silver", "beverage_sales", version="20240101000000")
+    new = batch.withColumn("CE_BRAND_FLVR", F.concat(F.lit("NEW"), "CE_BRAND_FLVR"))
+    assert process_batch(new, 0, store, prof, stream="two")
+    assert store.read("silver", "beverage_sales").count() == 2 * n
+    assert store.read("bronze", "beverage_sales").select("_batch_id").distinct().count() == 2
+
+
+def test_commit_order_decides(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "lake"))
+    for i, v in enumerate(["20240101000000", "000000000000", "20231231000000"]):
+        store.replace(spark.createDataFrame([(i,)], "v int"), "silver", "t", version=v)
+        assert store.current_version("silver", "t") == v and store.read("silver", "t").first()["v"] == i
+
+
+def test_uncommitted_first_write_is_empty(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "lake"))
+    spark.createDataFrame([(1,)], "v int").write.parquet(f"{store.path('silver', 't')}/v=001")
+    assert store.read_if_exists("silver", "t", "v int").count() == 0
+    assert store.register_views({"x": ("silver", "t")}) == []
+    with pytest.raises(ValueError):
+        store.read("silver", "t")
+    store.replace(spark.createDataFrame([(2,)], "v int"), "silver", "t", version="001")
+    assert store.read("silver", "t").first()["v"] == 2
+
+
+def test_narrower_append_keeps_older_columns(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "lake"))
+    store.append(spark.createDataFrame([(1, "x")], "k int, old string"), "bronze", "t")
+    store.append(spark.createDataFrame([(2, 2.5)], "k int, new double"), "bronze", "t")
+    rows = {r["k"]: (r["old"], r["new"]) for r in store.read("bronze", "t").collect()}
+    assert rows == {1: ("x", None), 2: (None, 2.5)}
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([(3, 4)], "k int, old int"), "bronze", "t")
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster():
+    from strata.session import checkpoint_folder
+    assert checkpoint_folder("spark://host:7077", "hdfs://x/ckpt") == "hdfs://x/ckpt"
+    assert checkpoint_folder("local[4]", None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            checkpoint_folder(master, None)
+
+
 def test_q20_read_errors_surface(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "lake"))
     bad = tmp_path / "lake" / "silver" / "broken"
