@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cdc_chunks, decontam, hyperminhash, licenses, packing, quality_knn, rule_ledger, secret_scan, suffix_dedup, token_counts
+from . import cdc_chunks, decontam, hyperminhash, licenses, oracle, packing, quality_knn, rule_ledger, secret_scan, suffix_dedup, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-@register("op6_rule_ledger")
+@register("op6_rule_ledger", oracle.RULE_LEDGER)
 def op6_rule_ledger(spark, sf_dir):
     led = rule_ledger.apply_policy(rule_ledger.ledger(table(spark, sf_dir, "documents")), "full-1")
     base = F.col("fail_bits").bitwiseAND(F.lit(rule_ledger.mask(rule_ledger.POLICIES["base-1"])).cast("long")) != 0
@@ -37,7 +37,7 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-@register("op1_decontamination")
+@register("op1_decontamination", oracle.DECONTAMINATION)
 def op1_decontamination(spark, sf_dir):
     return decontam.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +57,7 @@ def op4_quality_knn(spark, sf_dir):
     return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@register("op10_hyperminhash")
+@register("op10_hyperminhash", oracle.NEAR_DUPLICATES)
 def op10_hyperminhash(spark, sf_dir):
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,6 +72,6 @@ def op9_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-@register("op7_suffix_dedup")
+@register("op7_suffix_dedup", oracle.SUBSTRING_DEDUP)
 def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
