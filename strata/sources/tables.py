@@ -30,7 +30,7 @@ COMMIT_SCHEMA = "seq bigint, version string, committed_at timestamp, buckets int
 
 
 # Newest commit first; equal numbers (two writers at once) by time, then name.
-NEWEST = (F.desc("seq"), F.desc("committed_at"), F.desc("version"))
+NEWEST = ("seq", "committed_at", "version")
 
 
 def merged_schema(old: StructType | None, new: StructType) -> StructType:
@@ -89,11 +89,11 @@ class TableStore:
         columns read back with their own types (a batch id such as
         ``20240101000000`` would otherwise be inferred as a number). Columns of
         earlier writes stay in it: files without them read as null."""
-        schema = merged_schema(self._saved_schema(layer, table), df.schema)
+        schema = merged_schema(self.saved_schema(layer, table), df.schema)
         (self.spark.createDataFrame([(schema.json(),)], "schema string").coalesce(1)
          .write.mode("overwrite").parquet(f"{self.path(layer, table)}/_schema"))
 
-    def _saved_schema(self, layer: str, table: str) -> StructType | None:
+    def saved_schema(self, layer: str, table: str) -> StructType | None:
         path = f"{self.path(layer, table)}/_schema"
         if not self._exists(path):
             return None
@@ -159,7 +159,7 @@ class TableStore:
         c = self.versions(layer, table)
         if version:
             c = c.filter(F.col("version") == version)
-        return c.orderBy(*NEWEST).first()
+        return c.orderBy(*NEWEST, ascending=False).first()
 
     def versions(self, layer: str, table: str) -> DataFrame:
         return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.path(layer, table)}/_commits")
@@ -196,7 +196,7 @@ class TableStore:
         base = self.path(layer, table)
         if not self._exists(f"{base}/_commits"):
             return []
-        kept = self.versions(layer, table).orderBy(*NEWEST).limit(keep).collect()
+        kept = self.versions(layer, table).orderBy(*NEWEST, ascending=False).limit(keep).collect()
         if len(kept) < keep:
             return []
         names = {r["version"] for r in kept}
@@ -218,7 +218,7 @@ class TableStore:
         if c is None and version:
             raise ValueError(f"version {version} of {layer}.{table} is not committed")
         if c is None:  # a plain (history) table without versions
-            schema = self._saved_schema(layer, table)
+            schema = self.saved_schema(layer, table)
             r = self.spark.read.format(self.fmt)
             return (r.schema(schema) if schema is not None else r).load(base)
         vpath = f"{base}/v={c['version']}"

@@ -51,6 +51,13 @@ def test_latest_per_key_shuffles_no_unused_column(spark):
     assert "pkg_cat_desc" not in window and "chnl_group" not in window
 
 
+def test_matrix_keeps_groups_outside_the_list(spark):
+    gold = spark.createDataFrame([("R", "A", 1), ("R", "NEW", 2), ("R", None, 4)],
+                                 "region string, trade_group_desc string, dollar_volume int")
+    r = marts.region_group_matrix(gold, ["A", "NO_GROUP"]).first()
+    assert (int(r["A"]), int(r["NO_GROUP"]), int(r["OTHER"])) == (1, 4, 2)
+
+
 def test_group_metrics_leave_the_rows_in_place(spark):
     """The group table is small: no exchange between the row side and the join."""
     rows = spark.range(1000).select(F.col("id"), (F.col("id") % 3).alias("g"), F.lit(1).alias("v"))

@@ -79,8 +79,10 @@ def test_file_pipeline_rules(spark, landing):
     s = silver_sales(sales_dq(b).filter(F.col("_dq_code").isNull())).collect()
     neg = [r for r in s if r["ce_brand_flvr"] == "B2"][0]
     assert str(neg["dollar_volume"]) == "-3.25" and str(neg["transaction_date"]) == "2006-01-06"
-    bad = [r for r in s if r["ce_brand_flvr"] == "B6"][0]
-    assert bad["dollar_volume"] is None  # typed with try_cast, kept when only coded rules run
+    # values that cannot be typed are quarantined by default, not kept as nulls
+    assert {"B6", "B7", "B8", "B9"}.isdisjoint(r["ce_brand_flvr"] for r in s)
+    assert all(r["dollar_volume"] is not None and r["transaction_date"] is not None for r in s)
+    assert neg["sales_id"] == "S-" + neg["_pk"]
 
 
 def test_missing_sources(spark, landing):
@@ -122,7 +124,7 @@ def test_stream_ingest_incremental(spark, tmp_path, landing):
     silver1 = store.read("silver", "beverage_sales")
     n1 = silver1.count()
     assert store.read("bronze", "beverage_sales").count() == len(ROWS)
-    assert store.read("control", "quarantine").count() == 3  # blank brand, null and blank channel
+    assert store.read("control", "quarantine").count() == 7  # brand, channel (2), volume, date, year, month
     # day 2: one changed row, one new row
     rows2 = [ROWS[0][:9] + ["99.00"] + ROWS[0][10:], ["2/1/2006", "N1"] + ROWS[1][2:]]
     text = "\r\n".join([HEADER] + ["\t".join(r) for r in rows2]) + "\r\n"
