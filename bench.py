@@ -2,8 +2,9 @@
 
 Runs every headline query at ``$BENCH_SF_DIR`` (default sf0.1) on
 ``local[$BENCH_CPUS]``, executes each result fully (noop sink), and prints ONE
-JSON line: per-query median seconds, their sum as ``value``, and the number
-of shuffle exchanges in each executed plan. ``BENCH_BATCH=1`` also times two
+JSON line: per-query median seconds, their sum as ``value``, and what each
+query's jobs did (executed exchanges, MB shuffled and written, jobs started while
+the query is built included). ``BENCH_BATCH=1`` also times two
 full batches through every layer (``batch_runs``).
 """
 
@@ -29,9 +30,22 @@ HEADLINE = [
 ]
 
 
-def shuffles(df) -> int:
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", plan))
+def executed(spark, group: str) -> dict:
+    """What the jobs of a group did, building the query included: jobs, stages
+    that wrote a shuffle (executed exchanges), MB shuffled, MB written."""
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+    jobs = sc.statusTracker().getJobIdsForGroup(group)
+    stages = {s for j in jobs if (info := sc.statusTracker().getJobInfo(j)) for s in info.stageIds}
+    out = {"jobs": len(jobs), "exchanges": 0, "shuffle_mb": 0.0, "written_mb": 0.0}
+    for s in stages:
+        if sc.statusTracker().getStageInfo(s) is None:
+            continue
+        data = store.lastStageAttempt(s)
+        out["exchanges"] += data.shuffleWriteBytes() > 0
+        out["shuffle_mb"] += data.shuffleWriteBytes() / 1e6
+        out["written_mb"] += data.outputBytes() / 1e6
+    return {k: round(v, 2) for k, v in out.items()}
 
 
 def time_batches(spark, sf_dir: str) -> dict:
@@ -69,24 +83,21 @@ def main() -> None:
     names = [q for q in (sys.argv[1:] or HEADLINE) if q in QUERIES]
     # warm-up: JVM code paths, file listing caches
     QUERIES[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times, exch = {}, {}
+    times, work = {}, {}
     for name in names:
         ts = []
-        for _ in range(runs):
+        for i in range(runs):
+            spark.sparkContext.setJobGroup(f"{name}-{i}", name)
             t0 = time.perf_counter()
-            df = QUERIES[name](spark, sf_dir)
-            df.write.format("noop").mode("overwrite").save()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             ts.append(time.perf_counter() - t0)
         times[name] = round(statistics.median(ts), 3)
-        try:
-            exch[name] = shuffles(df)
-        except Exception:
-            exch[name] = None
+        work[name] = executed(spark, f"{name}-{runs - 1}")
     batches = time_batches(spark, sf_dir) if os.environ.get("BENCH_BATCH", "0") == "1" else None
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir,
-                      "cpus": cpus, "runs": runs, "shuffles": exch, "batch_runs": batches}))
+                      "cpus": cpus, "runs": runs, "executed": work, "batch_runs": batches}))
     spark.stop()
 
 
