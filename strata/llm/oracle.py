@@ -92,3 +92,36 @@ total AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span
 SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(rest.h, d.h))) AS kept_sha256
 FROM d LEFT JOIN total USING (doc_id) LEFT JOIN rest USING (doc_id)"""
+
+
+def license_scan() -> str:
+    """Sentences and paragraphs as rows, bigrams as rows, Dice by joins."""
+    from .licenses import LICENSES, THRESHOLD, templates
+    white = r"[ \t\n\x0B\f\r]+"
+    table = templates()
+    grams = ", ".join(f"({i}, '{g}')" for i, (_, gs) in enumerate(table) for g in gs)
+    names = ", ".join(f"({i}, '{spdx}', {len(gs)}, '{LICENSES[spdx][0]}')" for i, (spdx, gs) in enumerate(table))
+    return f"""
+WITH t(rank, g) AS (VALUES {grams}), l(rank, license, m, kind) AS (VALUES {names}),
+parts AS (SELECT doc_id, list_concat(
+    string_split(regexp_replace(coalesce(text, ''), '([.!?]){white}', '\\1' || chr(10), 'g'), chr(10)),
+    list_filter(string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n'),
+                lambda p: regexp_matches(p, '\\n|[.!?]{white}'))) AS ps FROM documents),
+seg AS (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS seg FROM parts),
+words AS (SELECT doc_id, i, unnest(ws) AS w, generate_subscripts(ws, 1) AS p
+          FROM (SELECT doc_id, i, regexp_extract_all(lower(seg), '[a-z0-9]+') AS ws FROM seg) x),
+pairs AS (SELECT doc_id, i, w || ' ' || lead(w) OVER (PARTITION BY doc_id, i ORDER BY p) AS g FROM words),
+bi AS (SELECT DISTINCT doc_id, i, g FROM pairs WHERE g IS NOT NULL),
+n AS (SELECT doc_id, i, count(*) AS n FROM bi GROUP BY ALL),
+dice AS (SELECT doc_id, i, rank, 2.0::DOUBLE * count(*) / (any_value(n) + any_value(m)) AS dice
+         FROM bi JOIN t USING (g) JOIN l USING (rank) JOIN n USING (doc_id, i) GROUP BY doc_id, i, rank),
+best AS (SELECT doc_id, i, rank, dice FROM dice WHERE dice >= {THRESHOLD}
+         QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY dice DESC, rank) = 1),
+f AS (SELECT * FROM best JOIN l USING (rank)),
+lic AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses FROM (SELECT DISTINCT doc_id, license FROM f) x GROUP BY doc_id),
+kin AS (SELECT doc_id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM (SELECT DISTINCT doc_id, kind FROM f) x GROUP BY doc_id),
+top AS (SELECT doc_id, license, dice FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, i) = 1),
+cnt AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_notices, coalesce(licenses, '') AS licenses, coalesce(kinds, '') AS kinds,
+       license AS best_license, dice AS best_dice
+FROM documents LEFT JOIN cnt USING (doc_id) LEFT JOIN lic USING (doc_id) LEFT JOIN kin USING (doc_id) LEFT JOIN top USING (doc_id)"""

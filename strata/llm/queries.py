@@ -67,7 +67,7 @@ def op5_cdc_chunks(spark, sf_dir):
     return cdc_chunks.chunk_dedup(table(spark, sf_dir, "documents"))
 
 
-@register("op9_license_scan")
+@register("op9_license_scan", oracle.license_scan())
 def op9_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 

@@ -20,11 +20,11 @@ def duck():
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
-    got = sorted(map(tuple, df.select(*cols).collect()))
+    got = sorted(map(tuple, df.select(*cols).collect()), key=repr)
     res = duck.execute(ORACLE[name])
     have = [d[0] for d in res.description]
     assert sorted(have) == cols
-    assert got == sorted(tuple(r[have.index(c)] for c in cols) for r in res.fetchall())
+    assert got == sorted((tuple(r[have.index(c)] for c in cols) for r in res.fetchall()), key=repr)
 
 
 def test_queries_read_whole_tables(spark):
