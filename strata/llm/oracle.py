@@ -125,3 +125,61 @@ cnt AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_notices, coalesce(licenses, '') AS licenses, coalesce(kinds, '') AS kinds,
        license AS best_license, dice AS best_dice
 FROM documents LEFT JOIN cnt USING (doc_id) LEFT JOIN lic USING (doc_id) LEFT JOIN kin USING (doc_id) LEFT JOIN top USING (doc_id)"""
+
+
+def secret_scan() -> str:
+    """Matches and the pieces between them as rows: running sums of their
+    lengths are the positions; entropy windows are rows of character counts."""
+    from .secret_scan import ACCESS, CANDIDATE, CLASSES, HEX, KINDS
+
+    def any_case(word: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+    value = r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    assign = "(" + "|".join(map(any_case, ("password", "passwd", "secret", "token", "api_?key"))) + ")" + value
+
+    def located(source: str, text: str, keys: str, pattern: str) -> str:
+        """keys, i, m, a, b: matches of each text with their positions."""
+        return f"""SELECT {keys}, i, m,
+            CAST(sum(gap + coalesce(before, 0)) OVER (PARTITION BY {keys} ORDER BY i) AS BIGINT) AS a,
+            CAST(sum(gap + coalesce(before, 0)) OVER (PARTITION BY {keys} ORDER BY i) AS BIGINT) + length(m) AS b
+            FROM (SELECT {keys}, i, m, gap, lag(length(m)) OVER (PARTITION BY {keys} ORDER BY i) AS before
+                  FROM (SELECT {keys}, unnest(ms) AS m, generate_subscripts(ms, 1) AS i,
+                               unnest(list_transform(gs[1:len(ms)], lambda g: length(g))) AS gap
+                        FROM (SELECT {keys}, regexp_extract_all({text}, '{pattern}') AS ms,
+                                     string_split_regex({text}, '{pattern}') AS gs FROM {source}) x
+                        WHERE len(ms) > 0) y) z"""
+
+    same = " OR ".join(f"((length(m) - {e}) % {n} = 0 AND length(m) - {e} >= {2 * n} AND "
+                       f"left(m, length(m) - {e}) = repeat(left(m, {n}), CAST((length(m) - {e}) / {n} AS INT)))"
+                       for n in (1, 2) for e in (0, 1))
+    allowed = rf"""regexp_matches(m, '^[^0-9]*$')
+        OR regexp_matches(m, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$')
+        OR regexp_matches(m, '^([A-Za-z]+[-_/])*[A-Za-z]+[-_/]?[0-9]{{1,4}}$')
+        OR regexp_matches(m, '(?i)example|placeholder|0123456789|abcdefghij') OR {same}"""
+    runs = " UNION ALL ".join(
+        f"""SELECT {KINDS.index(kind)} AS k, {w} AS width, CAST({least} AS DOUBLE) AS least, doc_id, ci, i AS ri, c0 + a AS a, m
+            FROM ({located('cand', 'm', 'doc_id, ci, c0', f'{chars}{{{w},}}')}) r""" for kind, (chars, _, w, least) in CLASSES.items())
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    listed = f"string_agg(({names})[k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k, b)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS (SELECT doc_id, 0 AS k, a, b FROM ({located('d', 'text', 'doc_id', assign)}) x
+         WHERE length(regexp_extract(m, '{assign}', 2)) >= 6
+         UNION ALL SELECT doc_id, 1, a, b FROM ({located('d', 'text', 'doc_id', ACCESS)}) x
+         UNION ALL SELECT doc_id, 2, a, b FROM ({located('d', 'text', 'doc_id', HEX)}) x),
+cand AS (SELECT doc_id, i AS ci, a AS c0, m FROM ({located('d', 'text', 'doc_id', CANDIDATE)}) x WHERE NOT ({allowed})),
+runs AS ({runs}),
+win AS (SELECT *, unnest(range(0, length(m) - width + 1)) AS o FROM runs),
+sym AS (SELECT k, width, least, doc_id, ci, ri, a, o, unnest(string_split(substr(m, o + 1, width), '')) AS c FROM win),
+cnt AS (SELECT k, width, least, doc_id, ci, ri, a, o, c, count(*) AS n FROM sym GROUP BY ALL),
+ent AS (SELECT k, width, least, doc_id, ci, ri, a, o, log2(any_value(width)) - sum(n * log2(n)) / any_value(width) AS h FROM cnt GROUP BY k, width, least, doc_id, ci, ri, a, o),
+added AS (SELECT doc_id, k, e.a + min(o) AS a, e.a + max(o) + any_value(width) AS b FROM ent e
+          WHERE h >= least - 1e-9 GROUP BY doc_id, ci, ri, k, e.a),
+bt AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1,
+              count(*) FILTER (WHERE k = 2) AS n2, {listed} AS s FROM base GROUP BY doc_id),
+al AS (SELECT doc_id, {listed} AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM added) x GROUP BY doc_id),
+ad AS (SELECT doc_id, count(*) AS n FROM added GROUP BY doc_id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, coalesce(ad.n, 0) AS n_entropy,
+       sha256(coalesce(bt.s, '')) AS base_sha256, coalesce(al.s, '') AS spans
+FROM documents LEFT JOIN bt USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN ad USING (doc_id)"""

@@ -42,7 +42,7 @@ def op1_decontamination(spark, sf_dir):
     return decontam.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@register("op2_secret_scan")
+@register("op2_secret_scan", oracle.secret_scan())
 def op2_secret_scan(spark, sf_dir):
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
