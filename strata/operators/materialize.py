@@ -28,11 +28,11 @@ def materialize(df: DataFrame, name: str = "stage", keep: bool = False) -> DataF
     path = f"{base}/strata-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     if not keep:
-        _delete_on_exit(spark, path)
+        delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)  # known schema: no footer inference
 
 
-def _delete_on_exit(spark, path: str) -> None:
+def delete_on_exit(spark, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
