@@ -11,7 +11,7 @@ predecessor has the same tokens. Only suffixes that can repeat are sorted:
    at the same place, so a suffix whose anchor gram occurs nowhere else cannot
    repeat. Anchor grams are range-partitioned by sampled splitters, sorted, and
    those in runs of more than one distinct place stay. A run at the edge of a
-   partition, or longer than ``HEAVY``, is *heavy*.
+   bucket, or longer than ``HEAVY``, is *heavy*.
 2. *Light suffixes.* The suffixes of one anchor go as one stretch of text,
    range-partitioned by the anchor's gram; each partition is sorted by gram, id
    and offset, and a bounded number of whole grams at a time is ordered by
@@ -33,6 +33,8 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.materialize import materialize
+from ..operators.materialize import delete_on_exit, materialize
+from ..session import ensure_checkpoint_dir
 from .common import slices, text_or_empty
 from .hyperminhash import BYTE_CODE, POWERS, mixed
 
@@ -48,7 +51,9 @@ LENGTH, GRAM = 100, 32
 #: Grams in one string; rows of a run from which it is heavy.
 SPAN, HEAVY = LENGTH - GRAM + 1, 2048
 #: Bytes of text per slice, and of stretches that are sorted at a time.
-SLICE, STRETCH = 1 << 20, 4 << 20
+SLICE, STRETCH = 1 << 20, 1 << 20
+#: Anchors sampled per bucket for the splitters.
+SAMPLED = 64
 HALF = LENGTH // 2
 
 
@@ -130,8 +135,41 @@ def long_rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(v, np.int64)) for v in columns.values()], list(columns))
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """gram, doc, t, at: every anchor of every text of LENGTH bytes or more."""
+class Splitters:
+    """Bucket borders (gram, doc, at) from sampled anchors. The same sample
+    gives borders by gram alone. A border decides only where a row is sorted."""
+
+    def __init__(self, sample: list[tuple[int, int, int]], buckets: int):
+        sample = sorted(sample)
+        step = max(1, len(sample) // max(buckets, 1))
+        self.full = sorted(set(sample[step::step]))[:buckets - 1] if buckets > 1 else []
+        grams = sorted({g for g, _, _ in sample})
+        step = max(1, len(grams) // max(buckets, 1))
+        self.gram = np.array(grams[step::step][:buckets - 1] if buckets > 1 else [], np.int64)
+        self.first = np.array([g for g, _, _ in self.full], np.int64)
+        self.buckets = buckets
+
+    def of_gram(self, gram: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.gram, gram, "right")
+
+    def of_place(self, gram: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        bucket = np.searchsorted(self.first, gram, "left")
+        for i in np.flatnonzero(np.searchsorted(self.first, gram, "right") > bucket).tolist():  # grams that are borders
+            bucket[i] = bisect_right(self.full, (int(gram[i]), int(doc[i]), int(at[i])))
+        return bucket
+
+
+def splitters(docs: DataFrame, n_bytes: int) -> Splitters:
+    """From about SAMPLED anchors a bucket, of documents chosen by a hash."""
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = min(1 / 8, SAMPLED * buckets * (SPAN + 1) / 2 / max(n_bytes, 1))
+    some = docs.filter(F.pmod(F.xxhash64("doc", "t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    rows = anchor_rows(some).select("gram", "doc", "at").collect()  # about SAMPLED x buckets rows
+    return Splitters([tuple(r) for r in rows], buckets)
+
+
+def anchor_rows(docs: DataFrame, split: Splitters | None = None) -> DataFrame:
+    """bucket, gram, doc, t, at: every anchor of every text of LENGTH bytes or more."""
 
     def run(batches):
         for batch in batches:
@@ -145,12 +183,18 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                         out.append((h[at].view(np.int64), np.full(len(at), doc), np.full(len(at), t), at))
                 if out:
                     gram, doc, t, at = (np.concatenate(c) for c in zip(*out))
-                    yield long_rows(gram=gram, doc=doc, t=t, at=at)
+                    bucket = split.of_place(gram, doc, at) if split else np.zeros(len(at))
+                    yield long_rows(bucket=bucket, gram=gram, doc=doc, t=t, at=at)
+
+    return docs.mapInArrow(run, "bucket long, gram long, doc long, t long, at long")
+
 
-    return docs.mapInArrow(run, "gram long, doc long, t long, at long")
+def in_buckets(rows: DataFrame, split: Splitters, *order: str) -> DataFrame:
+    """Partition k holds bucket k, sorted."""
+    return rows.repartitionById(split.buckets, F.col("bucket").cast("int")).sortWithinPartitions(*order)
 
 
-def shared_anchors(anchors: DataFrame) -> DataFrame:
+def shared_anchors(anchors: DataFrame, split: Splitters) -> DataFrame:
     """doc, t, at, heavy: anchors whose gram occurs at two distinct places
     (equal places in equal texts are one)."""
 
@@ -184,13 +228,12 @@ def shared_anchors(anchors: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield judged(*held, first, True)
 
-    return anchors.repartitionByRange("gram", "doc", "at").sortWithinPartitions("gram", "t", "at") \
-        .mapInArrow(run, "doc long, t long, at long, heavy long")
+    return in_buckets(anchors, split, "gram", "t", "at").mapInArrow(run, "doc long, t long, at long, heavy long")
 
 
-def stretches(chosen: DataFrame, heavy: bool) -> DataFrame:
-    """gram, doc, start, text: per shared anchor the stretch of text whose
-    suffixes (all but its last LENGTH - 1 bytes) have that anchor."""
+def stretches(chosen: DataFrame, heavy: bool, split: Splitters) -> DataFrame:
+    """bucket, gram, doc, t, start, text: per shared anchor the stretch of text
+    whose suffixes (all but its last LENGTH - 1 bytes) have that anchor."""
 
     def run(batches):
         for batch in batches:
@@ -209,11 +252,12 @@ def stretches(chosen: DataFrame, heavy: bool) -> DataFrame:
                         out.append((g, doc, t, p, data[p:q - 1 + LENGTH]))
                 if out:
                     gram, doc, t, p, text = zip(*out)
+                    bucket = split.of_gram(np.array(gram, np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(x, pa.int64()) for x in (gram, doc, t, p)), pa.array(text, pa.binary())],
-                        ["gram", "doc", "t", "start", "text"])
+                        [*(pa.array(x, pa.int64()) for x in (bucket, gram, doc, t, p)), pa.array(text, pa.binary())],
+                        ["bucket", "gram", "doc", "t", "start", "text"])
 
-    return chosen.mapInArrow(run, "gram long, doc long, t long, start long, text binary")
+    return chosen.mapInArrow(run, "bucket long, gram long, doc long, t long, start long, text binary")
 
 
 def suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -227,7 +271,7 @@ def suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
     return row, offset, [fingerprints(sums, down, at, HALF), fingerprints(sums, down, at + HALF, LENGTH - HALF)]
 
 
-def light_repeats(rows: DataFrame) -> DataFrame:
+def light_repeats(rows: DataFrame, split: Splitters) -> DataFrame:
     """doc, t, start, stop: bytes covered by repeats, from whole grams at a time."""
 
     def repeats(part: pa.Table) -> pa.RecordBatch:
@@ -260,8 +304,7 @@ def light_repeats(rows: DataFrame) -> DataFrame:
         if held:
             yield repeats(pa.Table.from_batches(held))
 
-    return rows.repartitionByRange("gram").sortWithinPartitions("gram", "doc", "start") \
-        .mapInArrow(run, "doc long, t long, start long, stop long")
+    return in_buckets(rows, split, "gram", "doc", "start").mapInArrow(run, "doc long, t long, start long, stop long")
 
 
 def heavy_repeats(rows: DataFrame) -> DataFrame:
@@ -335,6 +378,18 @@ def sorted_spans(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "t").agg(parts.alias("spans"))
 
 
+def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` written under the checkpoint folder as a table bucketed by
+    ``keys``: a later join on them does not shuffle these rows again."""
+    spark = df.sparkSession
+    name = f"strata_bucketed_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    delete_on_exit(spark, path)
+    return spark.table(name)
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.octet_length(text))
 
@@ -350,11 +405,14 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("sha", "first")
     listed = materialize(listed.join(firsts, "sha", "left").select(
         "doc", "t", "n_bytes", "sha", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)).alias("copy")), "listed")
-    shared = shared_anchors(anchor_rows(rows.filter(F.col("doc").isNotNull())))
+    known = rows.filter(F.col("doc").isNotNull())
+    split = splitters(known, listed.agg(F.sum("n_bytes")).first()[0] or 0)
+    shared = shared_anchors(anchor_rows(known, split), split)
     marks = shared.groupBy("doc", "t").agg(F.collect_list(F.col("at") * 2 + F.col("heavy")).alias("marks")) \
         .join(listed.filter("copy").select("doc", "t").distinct(), ["doc", "t"], "left_anti")
-    chosen = materialize(rows.join(marks, ["doc", "t"]), "chosen")
-    found = light_repeats(stretches(chosen, False)).unionByName(heavy_repeats(stretches(chosen, True)))
+    chosen = bucketed(rows.join(marks, ["doc", "t"]), ["doc", "t"])
+    found = light_repeats(stretches(chosen, False, split), split) \
+        .unionByName(heavy_repeats(stretches(chosen, True, split)))
     left = chosen.select("doc", "t", "text").join(sorted_spans(found), ["doc", "t"]) \
         .mapInArrow(remover, "doc long, t long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return listed, left
