@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +22,39 @@ UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 BLANKS = b"\x09\x0a\x0b\x0c\x0d\x20"
 
 
+#: Repository folder, and the applications that were given the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package where they would not find it: unless
+    the JVM's PYTHONPATH or working folder has it, it is added as a py-file."""
+    system = spark.sparkContext._jvm.java.lang.System
+    known = [*(system.getenv("PYTHONPATH") or "").split(os.pathsep), system.getProperty("user.dir") or ""]
+    app = spark.sparkContext.applicationId
+    if app in SHIPPED or ROOT in map(os.path.realpath, filter(None, known)):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="strata-package-"), "strata_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(os.path.join(ROOT, "strata")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, ROOT))
+    spark.sparkContext.addPyFile(archive)
+    SHIPPED.add(app)
+
+
+def shipped(fn):
+    """A query or stage whose workers can import this package."""
+    @functools.wraps(fn)
+    def run(spark, *args):
+        ship_package(spark)
+        return fn(spark, *args)
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
