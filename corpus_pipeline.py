@@ -21,22 +21,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import decontam, hyperminhash, packing, quality_knn, secret_scan
-from strata.llm.common import table
+from strata.llm.common import shipped, table
 from strata.operators.materialize import materialize
 
 
+@shipped
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_knn.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return hyperminhash.keep_first(docs)
 
 
+@shipped
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@shipped
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = secret_scan.redact(docs)
     if "n_chars" in docs.columns:
@@ -44,6 +48,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out
 
 
+@shipped
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
@@ -56,6 +61,7 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontam
 ORACLE_SQL = None
 
 
+@shipped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
