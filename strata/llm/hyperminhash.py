@@ -12,18 +12,18 @@ the count of leading zeros and ``MANTISSA`` bits after them (16 bits in all).
    pair at the similarity threshold misses all bands with a probability of
    about 4e-6, and one at 0.85 with less than 1e-12.
 3. Keys with several documents are stars: every member is paired with the
-   least member of a key, and of these pairs each document tries the one with
-   most bands in common. A pair is first estimated from the sketches, with the
+   key's centre, the member with the most company, and of these pairs each
+   document tries the one with most bands in common. A pair is first estimated from the sketches, with the
    chance of equal registers of different hashes taken out; unless it is far
    below the threshold (six standard deviations), it is confirmed on the full
    sets, recomputed from the whole texts.
 4. Links are joined to components (hook the larger root to the smaller,
    contract, repeat). Keys whose members are all in one component are done. In
-   the others the members outside the largest component become centres, few
-   at first and twice as many each round, and are tested against every member
-   of another component, until no key is open. So pairs that are connected
-   already are never tested, all others are: no link between components is
-   lost, and no group is expanded into all its pairs.
+   the others, members of different components are compared by size and sketch
+   in memory, a key being split into cells of two blocks of its members; only
+   possible links leave a cell, and they are confirmed in full as well. So
+   pairs that are connected already are never tested, all others are: no link
+   between components is lost, and no group is expanded into all its pairs.
 
 Every intermediate table is written under the shared checkpoint folder.
 Null, empty and blank texts have an empty set and are linked with nothing.
@@ -40,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.materialize import materialize
 from .common import byte_table, slices, text_or_empty
@@ -53,6 +52,8 @@ BANDS = BUCKETS // ROWS
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 MARGIN = 6.0
 SLICE = 1 << 20
+#: Members of a block; a cell holds two blocks.
+CELL = 256
 
 LOWERED = byte_table(True, b"")
 BASE = 0x9E3779B97F4A7C15
@@ -155,15 +156,20 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimate(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated similarity of rows of registers, and its standard deviation
-    at the threshold. Of registers that differ in their hashes a share of
-    about 2**-MANTISSA / 3 is equal by chance; it is taken out."""
-    union = np.maximum(((a != 0) | (b != 0)).sum(axis=1), 1)
-    same = ((a == b) & (a != 0)).sum(axis=1) / union
+    at the threshold; ``sizes`` is the sum of both sets' sizes. Of registers
+    that differ in their hashes a share of about 2**-MANTISSA / 3 is equal by
+    chance; it is taken out. The used registers are a sample without
+    replacement of the union, so for short texts, most of whose shingles have a
+    register of their own, the deviation is small (one register is added)."""
+    used = np.maximum(((a != 0) | (b != 0)).sum(axis=1), 1)
+    same = ((a == b) & (a != 0)).sum(axis=1) / used
     chance = 2.0 ** -MANTISSA / 3
     t = THRESHOLD / 100
-    return (same - chance) / (1 - chance), np.sqrt(t * (1 - t) / union)
+    union = np.maximum(sizes / (1 + t), 1)
+    left_out = np.clip((union - used) / union, 0, 1)
+    return (same - chance) / (1 - chance), np.sqrt(t * (1 - t) / used * left_out) + 1 / used
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -187,26 +193,43 @@ def with_registers(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                regs = [sketch(s).tobytes() for s in shingle_sets(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(regs, pa.binary())], ["doc", "text", "regs"])
+                sets = shingle_sets(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
+                     pa.array([len(s) for s in sets], pa.int64())], ["doc", "text", "regs", "size"])
 
-    return docs.mapInArrow(run, "doc long, text string, regs binary")
+    return docs.mapInArrow(run, "doc long, text string, regs binary, size long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked: estimated, then confirmed in full."""
+def side(texts: DataFrame, name: str, *columns: str) -> DataFrame:
+    return texts.select(F.col("doc").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+
+def possible(a: np.ndarray, b: np.ndarray, size_a, size_b) -> np.ndarray:
+    """Pairs that their sizes and their sketches don't rule out."""
+    j, deviation = estimate(a, b, size_a + size_b)
+    return (100 * np.minimum(size_a, size_b) >= THRESHOLD * np.maximum(size_a, size_b)) \
+        & (j >= THRESHOLD / 100 - MARGIN * deviation)
+
 
-    def side(column: str, name: str) -> DataFrame:
-        return texts.select(F.col("doc").alias(name), F.col(column).alias(f"{column}_{name}"))
+def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be linked."""
 
-    def likely(batches):
+    def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(c)), np.uint16).reshape(-1, BUCKETS)
                     for c in ("regs_a", "regs_b"))
-            j, deviation = estimate(a, b)
-            yield batch.select(["a", "b"]).filter(pa.array(j >= THRESHOLD / 100 - MARGIN * deviation))
+            ok = possible(a, b, batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.select("a", "b").join(side(texts, "b", "regs", "size"), "b").join(side(texts, "a", "regs", "size"), "a") \
+        .select("a", "b", "regs_a", "regs_b", "size_a", "size_b").mapInArrow(run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked, by their full sets."""
 
-    def equal_enough(batches):
+    def run(batches):
         last, own = None, None
         for batch in batches:
             for part in slices(batch, "text_b", SLICE):
@@ -219,11 +242,54 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     ok.append(100 * both >= THRESHOLD * (len(own) + len(s) - both))
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    near = pairs.select("a", "b").join(side("regs", "b"), "b").join(side("regs", "a"), "a") \
-        .select("a", "b", "regs_a", "regs_b").mapInArrow(likely, "a long, b long")
-    near = materialize(near, "likely")
-    return near.join(side("text", "b"), "b").join(side("text", "a"), "a") \
-        .select("a", "b", "text_a", "text_b").mapInArrow(equal_enough, "a long, b long")
+    return materialize(pairs, "likely").join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a") \
+        .select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def across(rows: pa.Table) -> pa.RecordBatch:
+    """Possible links between components within one cell of a key: all its
+    rows, or, in a cell of two blocks, those of one with those of the other."""
+    doc, label, size, own = (rows.column(c).to_numpy() for c in ("doc", "label", "size", "own"))
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    found = []
+    for x in np.flatnonzero(own == i).tolist():
+        other = np.flatnonzero((label != label[x]) & ((own == j) if i != j else (doc > doc[x])))
+        if len(other):
+            hit = other[possible(regs[x][None], regs[other], size[x], size[other])]
+            found += [(min(doc[x], doc[y]), max(doc[x], doc[y])) for y in hit.tolist()]
+    pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def possible_across(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and may be linked.
+    A key's members are dealt by hash into blocks of about CELL, and every pair
+    of blocks is one cell, compared in memory: only possible links come out,
+    and a key with very many members is many cells."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not rows.num_rows:
+                continue
+            key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            begins = [0, *edge.tolist()]
+            for a, b in zip(begins[:-1], begins[1:]):
+                yield across(rows.slice(a, b - a))
+            held = rows.slice(begins[-1]).combine_chunks()  # the last cell may go on
+        if held is not None and held.num_rows:
+            yield across(held)
+
+    blocks = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / CELL).alias("blocks")), "key") \
+        .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                          "own", "doc", "label", "size").join(texts.select("doc", "regs"), "doc")
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j") \
+        .mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,42 +323,38 @@ def labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return members.withColumn("label", F.col("doc"))
     return members.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left") \
-        .select("key", "doc", F.coalesce("root", "doc").alias("label"))
+        .select("key", "doc", "size", F.coalesce("root", "doc").alias("label"))
 
 
 def open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members, with labels, of keys that hold more than one component."""
     rows = labelled(members, roots)
     ends = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    return rows.join(ends.select("key"), "key")
+    return rows.join(ends.select("key"), "key").select("key", "doc", "size", "label")
 
 
 def linked_roots(members: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Components of the link graph over the members of shared keys."""
-    links = materialize(confirmed(pairs, texts), "links")
+    """Components of the link graph over the members of shared keys: first by
+    the given pairs, then by all possible links between what they left apart."""
+    links = materialize(confirmed(likely(pairs, texts), texts), "links")
     roots = components(links)
-    centres = 1
-    while True:
-        members = materialize(open_members(members, roots), "open").select("key", "doc", "label")
-        if members.isEmpty():
-            return roots
-        # all but the key's largest component; its members may be many, theirs are few
-        sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m")) \
-            .select("key", F.col("m.label").alias("major"))
-        minor = members.join(largest, "key").filter("label != major").drop("major")
-        order = Window.partitionBy("key").orderBy("label", "doc")
-        chosen = materialize(minor.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= centres)
-                             .select("key", F.col("doc").alias("c"), F.col("label").alias("c_label")), "centres")
-        pairs = members.join(chosen, "key").filter("label != c_label") \
-            .select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b")).distinct()
-        found = materialize(confirmed(pairs, texts), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links)
-        done = chosen.select("key", F.col("c").alias("doc"))
-        members = members.select("key", "doc").join(done, ["key", "doc"], "left_anti")
-        centres *= 2
+    apart = materialize(open_members(members, roots), "open")
+    more = materialize(confirmed(possible_across(apart, texts), texts), "links")
+    return roots if more.isEmpty() else components(links.unionByName(more))
+
+
+def first_tries(members: DataFrame) -> DataFrame:
+    """One pair per document: with the centre that it meets in most keys. The
+    centre of a key is its member with the most company over all keys: the
+    original of a group of copies, which is closer to each than they are to
+    each other (ties: the smallest id)."""
+    company = members.groupBy("doc").agg(F.sum("n").alias("company"))
+    central = members.join(company, "doc").groupBy("key") \
+        .agg(F.max(F.struct("company", (-F.col("doc")).alias("minus"))).alias("m")) \
+        .select("key", (-F.col("m.minus")).alias("centre"))
+    met = members.join(central, "key").filter("doc != centre").groupBy("doc", "centre").agg(F.count("*").alias("n"))
+    best = met.groupBy("doc").agg(F.max(F.struct("n", (-F.col("centre")).alias("minus"))).alias("m"))
+    return best.select((-F.col("m.minus")).alias("a"), F.col("doc").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,15 +364,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = sets.filter(F.col("digest").isNotNull() & F.col("doc").isNotNull())
     classes = materialize(known.groupBy("digest").agg(F.min("doc").alias("rep")), "classes")
     reps = known.join(classes, (known["doc"] == classes["rep"]) & (known["digest"] == classes["digest"]), "left_semi")
-    keyed = reps.select(F.explode("keys").alias("key"), "doc")
-    shared = keyed.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
-    members = materialize(keyed.join(shared.select("key", "lo"), "key").select("key", "doc", "lo"), "members")
+    keyed = reps.select(F.explode("keys").alias("key"), "doc", F.col("n_shingles").alias("size"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")) \
+        .filter("lo < hi")
+    members = materialize(keyed.join(shared.select("key", "n"), "key").select("key", "doc", "size", "n"), "members")
     texts = materialize(with_registers(rows.join(members.select("doc").distinct(), "doc", "left_semi")
                                        .filter(F.col("text") != "")), "texts")
-    tries = members.filter("doc != lo").groupBy("doc", "lo").agg(F.count("*").alias("n")).groupBy("doc") \
-        .agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("m")) \
-        .select((-F.col("m.lo")).alias("a"), F.col("doc").alias("b"))
-    roots = linked_roots(members.select("key", "doc").distinct(), texts, tries)
+    tries = first_tries(members)
+    roots = linked_roots(members.select("key", "doc", "size").distinct(), texts, tries)
     top = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left") \
         .select("digest", F.coalesce("root", "rep").alias("component_id"))
     return sets.join(top, "digest", "left").select(

@@ -68,7 +68,7 @@ def test_estimate_follows_similarity():
         common = int(len(pool) * j)
         half = (len(pool) - common) // 2
         a, b = np.sort(pool[:common + half]), np.sort(np.r_[pool[:common], pool[common + half:]])
-        est, sd = H.estimate(H.sketch(a)[None], H.sketch(b)[None])
+        est, sd = H.estimate(H.sketch(a)[None], H.sketch(b)[None], np.array([len(a) + len(b)]))
         assert abs(est[0] - j) < 5 * sd[0]
 
 
