@@ -16,9 +16,10 @@ predecessor has the same tokens. Only suffixes that can repeat are sorted:
    range-partitioned by the anchor's gram; each partition is sorted by gram, id
    and offset, and a bounded number of whole grams at a time is ordered by
    multikey quicksort on the tokens.
-3. *Heavy suffixes* go one by one, range-partitioned by sampled splitters on
-   (tokens, id, offset), so that a common passage spreads over partitions. Each
-   compares neighbours; the first row of a partition is compared with the last
+3. *Heavy suffixes* are pre-aggregated: of equal ones in a slice of a task only
+   the first goes on, the others are repeats. The first ones go one by one,
+   range-partitioned by sampled splitters on (tokens, id, offset), so that a
+   common passage spreads over partitions. Each compares neighbours; the first row of a partition is compared with the last
    row of the one before it.
 
 Exact copies of a text of LENGTH bytes or more are removed whole by digest; only
@@ -311,12 +312,29 @@ def heavy_repeats(rows: DataFrame) -> DataFrame:
     """The same for heavy suffixes, which are spread one by one."""
 
     def spread(batches):
+        """Per slice the first of each suffix (stop 0), to be sorted with those
+        of all slices, and as spans those that repeat one of the slice."""
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 doc, t, start = (part.column(c).to_numpy() for c in ("doc", "t", "start"))
-                row, offset, (t0, t1) = suffixes(part.column("text").to_pylist())
-                yield long_rows(t0=t0.view(np.int64), t1=t1.view(np.int64), doc=doc[row], t=t[row],
-                                start=start[row] + offset)
+                by_place = np.lexsort((start, doc))
+                doc, t, start = doc[by_place], t[by_place], start[by_place]
+                texts = part.column("text").to_pylist()
+                row, offset, tokens = suffixes([texts[i] for i in by_place])
+                order, same = multikey_order(tokens)  # ties stay in the order of places
+                place, first = start[row] + offset, order[~same]
+                t0, t1 = (x[first].view(np.int64) for x in tokens)
+                yield long_rows(t0=t0, t1=t1, doc=doc[row[first]], t=t[row[first]], start=place[first],
+                                stop=np.zeros(len(first)))
+                hit = np.zeros(len(row), bool)
+                hit[order[same]] = True
+                at = np.flatnonzero(hit)
+                if len(at):
+                    r, p = row[at], place[at]
+                    new = np.flatnonzero(np.r_[True, (np.diff(p) != 1) | (np.diff(doc[r]) != 0) | (np.diff(t[r]) != 0)])
+                    last = np.r_[new[1:], len(at)] - 1
+                    none = np.zeros(len(new))
+                    yield long_rows(t0=none, t1=none, doc=doc[r[new]], t=t[r[new]], start=p[new], stop=p[last] + LENGTH)
 
     def compare(batches):
         """Repeats (kind 0), and the partition's first and last rows (1, 2)."""
@@ -338,8 +356,8 @@ def heavy_repeats(rows: DataFrame) -> DataFrame:
             yield long_rows(kind=[2], place=[place], **{n: [v] for n, v in zip(("t0", "t1", "doc", "t", "start"), before)})
 
     layout = "t0 long, t1 long, doc long, t long, start long"
-    one_by_one = materialize(rows.mapInArrow(spread, layout), "heavy")
-    judged = materialize(one_by_one.repartitionByRange("t0", "t1", "doc", "start")
+    dealt = materialize(rows.mapInArrow(spread, layout + ", stop long"), "heavy")
+    judged = materialize(dealt.filter("stop = 0").drop("stop").repartitionByRange("t0", "t1", "doc", "start")
                          .sortWithinPartitions("t0", "t1", "doc", "start")
                          .mapInArrow(compare, f"kind long, place long, {layout}"), "judged")
     edges = judged.filter("kind > 0").orderBy("place", "kind").collect()  # two rows a partition
@@ -348,7 +366,8 @@ def heavy_repeats(rows: DataFrame) -> DataFrame:
     found = judged.filter("kind = 0").select("doc", "t", "start")
     if late:
         found = found.unionByName(rows.sparkSession.createDataFrame(late, "doc long, t long, start long"))
-    return found.withColumn("stop", F.col("start") + LENGTH)
+    return found.withColumn("stop", F.col("start") + LENGTH) \
+        .unionByName(dealt.filter("stop > 0").select("doc", "t", "start", "stop"))
 
 
 def remover(batches):
