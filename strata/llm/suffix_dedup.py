@@ -10,8 +10,9 @@ predecessor has the same tokens. Only suffixes that can repeat are sorted:
    grams marks an anchor (leftmost of equals). Equal strings have their anchor
    at the same place, so a suffix whose anchor gram occurs nowhere else cannot
    repeat. Anchor grams are range-partitioned by sampled splitters, sorted, and
-   those in runs of more than one distinct place stay. A run at the edge of a
-   bucket, or longer than ``HEAVY``, is *heavy*.
+   those in runs of more than one distinct place stay. A run longer than
+   ``HEAVY``, or of a gram so frequent in the sample that its rows were split over
+   buckets, is *heavy*.
 2. *Light suffixes.* The suffixes of one anchor go as one stretch of text,
    range-partitioned by the anchor's gram; each partition is sorted by gram, id
    and offset, and a bounded number of whole grams at a time is ordered by
@@ -36,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +52,11 @@ from .hyperminhash import BYTE_CODE, POWERS, mixed
 
 LENGTH, GRAM = 100, 32
 #: Grams in one string; rows of a run from which it is heavy.
-SPAN, HEAVY = LENGTH - GRAM + 1, 2048
+SPAN, HEAVY = LENGTH - GRAM + 1, 1 << 15
 #: Bytes of text per slice, and of stretches that are sorted at a time.
 SLICE, STRETCH = 1 << 20, 1 << 20
+#: Below every id and offset.
+LEAST = -(1 << 63)
 #: Anchors sampled per bucket for the splitters.
 SAMPLED = 64
 HALF = LENGTH // 2
@@ -140,10 +144,15 @@ class Splitters:
     """Bucket borders (gram, doc, at) from sampled anchors. The same sample
     gives borders by gram alone. A border decides only where a row is sorted."""
 
-    def __init__(self, sample: list[tuple[int, int, int]], buckets: int):
+    def __init__(self, sample: list[tuple[int, int, int]], buckets: int, rows: float, heavy: int):
         sample = sorted(sample)
         step = max(1, len(sample) // max(buckets, 1))
-        self.full = sorted(set(sample[step::step]))[:buckets - 1] if buckets > 1 else []
+        count = Counter(g for g, _, _ in sample)
+        # a gram lies in one bucket, unless it is expected to have very many rows
+        many = {g for g, n in count.items() if n > 1 and n * rows / len(sample) > heavy / 2}
+        borders = {b if b[0] in many else (b[0], LEAST, LEAST) for b in sample[step::step]}
+        self.full = sorted(borders)[:buckets - 1] if buckets > 1 else []
+        self.split = np.array(sorted({g for g, doc, _ in self.full if doc != LEAST}), np.int64)
         grams = sorted({g for g, _, _ in sample})
         step = max(1, len(grams) // max(buckets, 1))
         self.gram = np.array(grams[step::step][:buckets - 1] if buckets > 1 else [], np.int64)
@@ -160,13 +169,14 @@ class Splitters:
         return bucket
 
 
-def splitters(docs: DataFrame, n_bytes: int) -> Splitters:
+def splitters(docs: DataFrame, n_bytes: int, heavy: int) -> Splitters:
     """From about SAMPLED anchors a bucket, of documents chosen by a hash."""
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    share = min(1 / 8, SAMPLED * buckets * (SPAN + 1) / 2 / max(n_bytes, 1))
+    total = 2 * n_bytes / (SPAN + 1)  # anchors to be expected
+    share = min(1 / 8, SAMPLED * buckets / max(total, 1))
     some = docs.filter(F.pmod(F.xxhash64("doc", "t"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     rows = anchor_rows(some).select("gram", "doc", "at").collect()  # about SAMPLED x buckets rows
-    return Splitters([tuple(r) for r in rows], buckets)
+    return Splitters([tuple(r) for r in rows], buckets, total, heavy)
 
 
 def anchor_rows(docs: DataFrame, split: Splitters | None = None) -> DataFrame:
@@ -195,26 +205,23 @@ def in_buckets(rows: DataFrame, split: Splitters, *order: str) -> DataFrame:
     return rows.repartitionById(split.buckets, F.col("bucket").cast("int")).sortWithinPartitions(*order)
 
 
-def shared_anchors(anchors: DataFrame, split: Splitters) -> DataFrame:
+def shared_anchors(anchors: DataFrame, split: Splitters, heavy_from: int) -> DataFrame:
     """doc, t, at, heavy: anchors whose gram occurs at two distinct places
     (equal places in equal texts are one)."""
 
-    def judged(gram, doc, t, at, first, last):
+    def judged(gram, doc, t, at):
         a, b = runs(gram)
         size = b - a
         differs = np.r_[False, (t[1:] != t[:-1]) | (at[1:] != at[:-1])] if len(t) else np.empty(0, bool)
         differs[a] = False  # rows come sorted by gram, t, at
-        shared = np.add.reduceat(differs, a) > 0
-        heavy = size > HEAVY
-        if first:
-            shared[0] = heavy[0] = True
-        if last:
-            shared[-1] = heavy[-1] = True
+        across = np.isin(gram[a], split.split)  # its other rows are in other buckets
+        shared = (np.add.reduceat(differs, a) > 0) | across
+        heavy = (size > heavy_from) | across
         keep = np.repeat(shared, size)
         return long_rows(doc=doc[keep], t=t[keep], at=at[keep], heavy=np.repeat(heavy, size)[keep])
 
     def run(batches):
-        held, first = None, True
+        held = None
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in ("gram", "doc", "t", "at")]
             if held is not None:
@@ -223,11 +230,10 @@ def shared_anchors(anchors: DataFrame, split: Splitters) -> DataFrame:
                 continue
             open_from = runs(cols[0])[0][-1]  # the last run may go on
             if open_from:
-                yield judged(*(c[:open_from] for c in cols), first, False)
-                first = False
+                yield judged(*(c[:open_from] for c in cols))
             held = [c[open_from:] for c in cols]
         if held is not None and len(held[0]):
-            yield judged(*held, first, True)
+            yield judged(*held)
 
     return in_buckets(anchors, split, "gram", "t", "at").mapInArrow(run, "doc long, t long, at long, heavy long")
 
@@ -413,7 +419,8 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.octet_length(text))
 
 
-def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """(all rows: doc, t, n_bytes, sha, copy; what is left of the texts that
     lose bytes and are no copies: doc, t, n_removed, n_spans, kept, kept_sha256)."""
     text = text_or_empty(text_col)
@@ -425,8 +432,8 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     listed = materialize(listed.join(firsts, "sha", "left").select(
         "doc", "t", "n_bytes", "sha", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)).alias("copy")), "listed")
     known = rows.filter(F.col("doc").isNotNull())
-    split = splitters(known, listed.agg(F.sum("n_bytes")).first()[0] or 0)
-    shared = shared_anchors(anchor_rows(known, split), split)
+    split = splitters(known, listed.agg(F.sum("n_bytes")).first()[0] or 0, heavy)
+    shared = shared_anchors(anchor_rows(known, split), split, heavy)
     marks = shared.groupBy("doc", "t").agg(F.collect_list(F.col("at") * 2 + F.col("heavy")).alias("marks")) \
         .join(listed.filter("copy").select("doc", "t").distinct(), ["doc", "t"], "left_anti")
     chosen = bucketed(rows.join(marks, ["doc", "t"]), ["doc", "t"])
@@ -437,9 +444,10 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return listed, left
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    heavy: int = HEAVY) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    listed, left = removal(docs, id_col, text_col)
+    listed, left = removal(docs, id_col, text_col, heavy)
     left = left.drop("kept").dropDuplicates(["doc", "t"])
     out = listed.join(left, ["doc", "t"], "left")
     empty = hashlib.sha256(b"").hexdigest()

@@ -167,9 +167,9 @@ def passages(rnd):
     return rows
 
 
-def _removed(spark, rows):
+def _removed(spark, rows, **more):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return {r["doc_id"]: tuple(r)[1:] for r in X.substring_dedup(docs).collect()}
+    return {r["doc_id"]: tuple(r)[1:] for r in X.substring_dedup(docs, **more).collect()}
 
 
 def test_suffix_dedup(spark, passages, rows_of):
@@ -178,12 +178,24 @@ def test_suffix_dedup(spark, passages, rows_of):
 
 
 def test_suffix_dedup_of_heavy_passage(spark, rnd):
-    """A passage in more rows than HEAVY, with a different text around each."""
+    """A passage in more rows than the heavy bound, with a different text around
+    each: split over buckets, and spread one by one."""
     common = _words(rnd, 50)
     rows = [(i, f"{_words(rnd, rnd.randrange(0, 12))} {common[rnd.randrange(0, 20):]}{_words(rnd, rnd.randrange(0, 12))}")
-            for i in range(X.HEAVY + 300)]
+            for i in range(1500)]
     rnd.shuffle(rows)
-    assert _removed(spark, rows) == brute.substrings_removed(rows)
+    want = brute.substrings_removed(rows)
+    assert _removed(spark, rows, heavy=50) == want
+    assert _removed(spark, rows) == want
+
+
+def test_splitters_split_only_frequent_grams():
+    sample = [(g, d, 0) for g in range(100) for d in range(2)] + [(500, d, 0) for d in range(200)]
+    s = X.Splitters(sample, 16, 40_000, 8_000)
+    assert s.split.tolist() == [500] and len(s.full) <= 15
+    gram, doc = np.array([5, 5, 500, 500]), np.array([-9, 10 ** 9, 0, 199])
+    bucket = s.of_place(gram, doc, np.zeros(4, int))
+    assert bucket[0] == bucket[1] and bucket[2] < bucket[3]
 
 
 def test_suffix_dedup_cases(spark, odd_docs, no_docs):
