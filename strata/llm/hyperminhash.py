@@ -15,7 +15,7 @@ the count of leading zeros and ``MANTISSA`` bits after them (16 bits in all).
    key's centre, the member with the most company, and of these pairs each
    document tries the one with most bands in common. A pair is first estimated from the sketches, with the
    chance of equal registers of different hashes taken out; unless it is far
-   below the threshold (six standard deviations), it is confirmed on the full
+   below the threshold (five standard deviations and a register), it is confirmed on the full
    sets, recomputed from the whole texts.
 4. Links are joined to components (hook the larger root to the smaller,
    contract, repeat). Keys whose members are all in one component are done. In
@@ -50,7 +50,7 @@ THRESHOLD = 75
 BUCKETS, ROWS, MANTISSA = 384, 6, 10
 BANDS = BUCKETS // ROWS
 #: Standard deviations below the threshold at which an estimate rules a pair out.
-MARGIN = 6.0
+MARGIN = 5.0
 SLICE = 1 << 20
 #: Members of a block; a cell holds two blocks.
 CELL = 256
@@ -162,14 +162,14 @@ def estimate(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
     that differ in their hashes a share of about 2**-MANTISSA / 3 is equal by
     chance; it is taken out. The used registers are a sample without
     replacement of the union, so for short texts, most of whose shingles have a
-    register of their own, the deviation is small (one register is added)."""
+    register of their own, the deviation is small (a MARGIN-th of a register is added)."""
     used = np.maximum(((a != 0) | (b != 0)).sum(axis=1), 1)
     same = ((a == b) & (a != 0)).sum(axis=1) / used
     chance = 2.0 ** -MANTISSA / 3
     t = THRESHOLD / 100
     union = np.maximum(sizes / (1 + t), 1)
     left_out = np.clip((union - used) / union, 0, 1)
-    return (same - chance) / (1 - chance), np.sqrt(t * (1 - t) / used * left_out) + 1 / used
+    return (same - chance) / (1 - chance), np.sqrt(t * (1 - t) / used * left_out) + 1 / (MARGIN * used)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
