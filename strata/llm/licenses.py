@@ -1,7 +1,9 @@
 r"""License scan: Dice coefficient of word bigrams against licence templates.
 
 A text is cut into sentences (at line ends and after . ! ? and white space)
-and into paragraphs (at blank lines). A segment is normalised to lower-case
+and into paragraphs (at blank lines); a sentence that goes over line ends inside
+a longer paragraph is also a segment as a whole ("wrapped"), reported unless its
+paragraph or one of its lines has the same licence. A segment is normalised to lower-case
 words [a-z0-9]+, and its distinct word bigrams are compared with each
 template's: dice = 2 * common / (segment + template). Templates whose size rules
 out the threshold are pruned first: dice >= t needs a segment of t / (2 - t) up
@@ -12,8 +14,8 @@ is among them, so nothing is lost.
 
 Templates are notices (a form and a licence's name), the usual file headers,
 and the licence texts of ``license_texts/``: each of their paragraphs, and each
-text as a whole, as a comment block holds it. Paragraphs that stand word for
-word in the texts of several licences prove none of them and are left out, as
+text as a whole, as a comment block holds it. Paragraphs whose bigrams all stand
+in a paragraph of another licence as well prove neither and are left out, as
 are headings and copyright lines.
 
 Built-in functions only, no shuffle. Null text counts as empty (no notice).
@@ -125,14 +127,12 @@ def texts() -> dict[str, str]:
 
 def text_templates() -> list[tuple[str, list[str]]]:
     """Paragraphs that are one licence's own, then the texts as a whole."""
-    owners: dict[frozenset[str], dict[str, list[str]]] = {}
     whole = texts()
-    for spdx, text in whole.items():
-        for p in re.split(r"\n[ \t\r\f]*\n", text):
-            g = bigrams(p)
-            if len(g) >= PARAGRAPH_LEAST and not re.match(r"\s*copyright\b", p, re.I):
-                owners.setdefault(frozenset(g), {}).setdefault(spdx, g)
-    own = [(spdx, g) for by in owners.values() if len(by) == 1 for spdx, g in by.items()]
+    parts = [(spdx, p, bigrams(p)) for spdx, text in whole.items() for p in re.split(r"\n[ \t\r\f]*\n", text)]
+    sets = [(spdx, set(g)) for spdx, _, g in parts]
+    own = [(spdx, g) for spdx, p, g in parts
+           if len(g) >= PARAGRAPH_LEAST and not re.match(r"\s*copyright\b", p, re.I)
+           and not any(x != spdx and other.issuperset(g) for x, other in sets)]
     return own + [(spdx, bigrams(text)) for spdx, text in whole.items()]
 
 
@@ -182,11 +182,27 @@ def any_of(words: list[str]) -> str:
     return "(?i)(?<![a-z0-9])" + pattern(tree)
 
 
-def segments(text: Column) -> Column:
+def segments(text: Column, pattern: str) -> Column:
+    """Sentences, paragraphs, and wrapped sentences that have an anchor; these
+    with the texts that report the same notice if they reach the threshold."""
+    none = F.lit(None).cast("array<string>")
     sentences = F.split(text, r"\n|(?<=[.!?])\s+", -1)
     paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n", -1), lambda p: p.rlike(r"\n|[.!?]\s"))
-    return F.concat(F.transform(sentences, lambda s: F.struct(F.lit("sentence").alias("level"), s.alias("text"))),
-                    F.transform(paragraphs, lambda p: F.struct(F.lit("paragraph").alias("level"), p.alias("text"))))
+
+    def wrapped(p: Column) -> Column:
+        pieces = F.filter(F.split(p, r"(?<=[.!?])\s+", -1), lambda s: (s != p) & s.contains("\n") & s.rlike(pattern))
+        return F.transform(pieces, lambda s: F.struct(
+            F.lit("wrapped").alias("level"), s.alias("text"),
+            F.transform(F.concat(F.array(p), F.split(s, "\n", -1)), stripped).alias("parts")))
+
+    return F.concat(
+        F.transform(sentences, lambda s: F.struct(F.lit("sentence").alias("level"), s.alias("text"), none.alias("parts"))),
+        F.transform(paragraphs, lambda p: F.struct(F.lit("paragraph").alias("level"), p.alias("text"), none.alias("parts"))),
+        F.flatten(F.transform(paragraphs, wrapped)))
+
+
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def let(value: Column, body) -> Column:
@@ -222,15 +238,18 @@ def with_notices(docs: DataFrame, id_col: str, text_col: str, threshold: float)
     pattern = any_of(anchors(table, threshold))
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    parts = F.when(F.col("text").rlike(pattern), segments(F.col("text"))) \
-        .otherwise(F.array().cast("array<struct<level:string,text:string>>"))
+    parts = F.when(F.col("text").rlike(pattern), segments(F.col("text"), pattern)) \
+        .otherwise(F.array().cast("array<struct<level:string,text:string,parts:array<string>>>"))
     scored = F.transform(parts, lambda s, i: F.struct(
         i.alias("segment"), s["level"].alias("level"),
         F.when(s["text"].rlike(pattern), best_match(s["text"], table, threshold)).alias("m"),
-        s["text"].alias("text")))
-    found = F.transform(F.filter(scored, lambda s: s["m"].isNotNull()), lambda s: F.struct(
+        s["text"].alias("text"), s["parts"].alias("parts")))
+    notices = F.transform(F.filter(scored, lambda s: s["m"].isNotNull()), lambda s: F.struct(
         s["segment"], s["level"], F.get(names, -s["m"]["rank"]).alias("license"),
-        s["m"]["dice"].alias("dice"), s["text"]))
+        s["m"]["dice"].alias("dice"), s["text"], s["parts"]))
+    found = let(notices, lambda fs: F.transform(F.filter(fs, lambda f: f["parts"].isNull() | ~F.exists(fs, lambda o: (
+        o["parts"].isNull() & (o["license"] == f["license"]) & F.array_contains(f["parts"], stripped(o["text"]))))),
+        lambda f: F.struct(f["segment"], f["level"], f["license"], f["dice"], f["text"])))
     return rows.select("doc_id", found.alias("found"))
 
 

@@ -261,3 +261,19 @@ def test_license_further_wordings_need_the_name():
     for form in L.MORE_FORMS:
         g = set(L.bigrams(form.format("the Sample License")))
         assert all(2 * len(g & set(t)) < L.THRESHOLD * (len(g) + len(t)) for _, t in L.templates()), form
+
+
+def test_license_notices_over_line_ends(spark):
+    notice = "This file is distributed under the terms of the GNU General Public License, version 2.".split()
+    more = "More text follows it here, which says nothing of any licence but makes the paragraph longer than a notice can be."
+    other = "Another sentence stands before it and is of no use to anyone who looks for a licence in such a place."
+    rows = [(k, f"{other} {' '.join(notice[:k])}\n * {' '.join(notice[k:])} {more}") for k in range(1, len(notice))]
+    rows += [(50, "\n".join(notice) + " " + more), (51, f"{more}\nReleased under the MIT License. {other}\n\tLicensed under the\n"
+                                                        f"ISC License. {more}\nReleased under the\nMIT License. {more}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in L.license_scan(docs).collect()}
+    assert all(got[i]["best_license"] == "GPL-2.0" and "GPL-2.0" in got[i]["licenses"].split(",") for i, _ in rows[:-1])
+    assert (got[51]["n_notices"], got[51]["licenses"]) == (3, "ISC,MIT")
+    found = [(r["doc_id"], r["license"], r["level"]) for r in L.license_notices(docs).collect()]
+    assert all(sum(d == i and x == "GPL-2.0" for d, x, _ in found) == 1 for i, _ in rows[:-1])
+    assert {level for d, _, level in found if d == 51} == {"sentence", "wrapped"}
