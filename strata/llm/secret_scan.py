@@ -38,7 +38,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 #: Kinds in the order in which equal starts are listed.
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_url", "entropy_short")
 
 #: Candidate strings for the entropy windows.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
@@ -46,6 +46,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 CLASSES = {
     "entropy_hex": ("[0-9A-Fa-f]", "0123456789abcdefABCDEF", 20, 3.0),
     "entropy_base64": ("[A-Za-z0-9+/]", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24, 3.9),
+    # keys of the URL-safe alphabet, hyphenated and prefixed tokens, letters and digits from 20 on
+    "entropy_url": ("[A-Za-z0-9_-]", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 20, 3.8),
+    # base64 runs shorter than the window of entropy_base64
+    "entropy_short": ("[A-Za-z0-9+/]", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20, 3.8),
 }
 #: Candidates that are no secrets: no digit at all, UUIDs, words or paths with
 #: a number at the end, one or two characters over and over, running alphabets.

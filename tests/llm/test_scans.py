@@ -124,6 +124,25 @@ def test_redact(spark, odd_docs, no_docs):
     assert S.redact(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("extra, sizes", [("-_", (20, 24, 32, 39, 43, 64)), ("", (20, 24, 32)), ("+/", (20, 21, 23, 24, 32))],
+                         ids=["url", "alnum", "base64"])
+def test_random_keys_get_spans(spark, rnd, extra, sizes):
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + extra
+    rows = [(n, "see " + "".join(rnd.choice(symbols) for _ in range(n)) + " there") for n in sizes for _ in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = collections.Counter(r["doc_id"] for r in S.secret_scan(docs).collect() if r["n_entropy"])
+    assert all(found[n] >= 200 * (0.85 if n < 24 else 0.92 if n < 32 else 0.97) for n in sizes), found
+    hidden = [r["text"] for r in S.redact(docs).filter("doc_id = 32").collect()]
+    assert sum("[secret]" in t for t in hidden) == found[32]
+
+
+def test_slugs_and_paths_get_no_spans(spark):
+    texts = ["drivers-net-ethernet-intel-ice-2024-update", "top-10-reasons-why-you-should-travel-2023",
+             "/usr/lib/python3/dist-packages/numpy", "some_snake_case_identifier_with_2_parts_v12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not any(r["n_entropy"] for r in S.secret_scan(docs).collect())
+
+
 # ---------------------------------------------------------------- rule ledger
 def test_measures(documents, odd_docs):
     docs = documents.select("doc_id", "text").union(odd_docs.select("doc_id", "text"))
