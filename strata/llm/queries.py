@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cdc_chunks, decontam, hyperminhash, licenses, oracle, packing, quality_knn, rule_ledger, secret_scan, suffix_dedup, token_counts
+from . import cdc_chunks, decontam, hyperminhash, licenses, merkle, oracle, packing, quality_knn, rule_ledger, secret_scan, suffix_dedup, token_counts
 from .common import shipped, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op9_license_scan(spark, sf_dir):
 @register("op7_suffix_dedup", oracle.SUBSTRING_DEDUP)
 def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@register("op12_merkle_manifest", oracle.MANIFEST)
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.dataset_manifest(table(spark, sf_dir, "documents"))
