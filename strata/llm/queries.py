@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cdc_chunks, decontam, hyperminhash, licenses, merkle, oracle, packing, quality_knn, rule_ledger, secret_scan, suffix_dedup, token_counts
+from . import (
+    cdc_chunks, decontam, hyperminhash, licenses, merkle, oracle, packing, quality_knn, rule_ledger, secret_scan, suffix_dedup,
+    token_counts, whitening,
+)
 from .common import shipped, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +83,8 @@ def op7_suffix_dedup(spark, sf_dir):
 @register("op12_merkle_manifest", oracle.MANIFEST)
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.dataset_manifest(table(spark, sf_dir, "documents"))
+
+
+@register("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
