@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    cdc_chunks, decontam, hyperminhash, licenses, merkle, oracle, packing, quality_knn, rule_ledger, secret_scan, suffix_dedup,
+    cdc_chunks, decontam, hyperminhash, licenses, merkle, oracle, packing, pii, quality_knn, rule_ledger, secret_scan, suffix_dedup,
     token_counts, whitening,
 )
 from .common import shipped, table
@@ -88,3 +88,8 @@ def op12_merkle_manifest(spark, sf_dir):
 @register("op13_embedding_whitening")
 def op13_embedding_whitening(spark, sf_dir):
     return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
+@register("op11_pii_boosting")
+def op11_pii_boosting(spark, sf_dir):
+    return pii.pii_scan(table(spark, sf_dir, "documents"))
