@@ -75,20 +75,27 @@ def merge(source: DataFrame, target: DataFrame, key: str = "_pk", hash_col: str
     ``unchanged`` (equal hash; target row kept), ``update`` (hash differs and
     the source row is not older), ``stale`` (hash differs, source older;
     target row kept). Which side a row comes from is told by a literal flag
-    per side, so a null key counts as a key that matches nothing: such rows
-    are inserted, or kept. Column sets may differ: missing columns are
-    null-filled by name. Counting ``_action`` gives the merge statistics.
+    per side. Column sets may differ: an update sets only the columns that the
+    source has and leaves the target's others; what neither side gives is null.
+    Counting ``_action`` gives the merge statistics.
+
+    Rows without a key match nothing: they are inserted, or kept. They don't
+    take part in the join, where all of them would be one task's, but are
+    added to its result (both sides of a key that can't be null skip that).
     """
     if num_partitions:
         source = source.repartition(num_partitions, key)
+    loose_source, loose_target = (df.filter(F.col(key).isNull()) if _nullable(df, key) else None for df in (source, target))
+    if loose_source is not None:
+        source = source.filter(F.col(key).isNotNull())
+    if loose_target is not None:
+        target = target.filter(F.col(key).isNotNull())
     if dedupe_source:
         source = latest_per_key(source, key)
     cols = list(dict.fromkeys([*target.columns, *source.columns]))
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        have = set(df.columns)
-        return df.select(*[(F.col(c) if c in have else F.lit(None)).alias(p + c) for c in cols],
-                         F.lit(True).alias(f"{p}_here"))
+        return df.select(*[F.col(c).alias(p + c) for c in df.columns], F.lit(True).alias(f"{p}_here"))
 
     j = side(source, "s__").join(side(target, "t__"), F.col(f"s__{key}") == F.col(f"t__{key}"), "full_outer")
     newer = F.lit(True) if not ts_col else F.coalesce(F.col(f"s__{ts_col}") >= F.col(f"t__{ts_col}"), F.lit(True))
@@ -99,8 +106,18 @@ def merge(source: DataFrame, target: DataFrame, key: str = "_pk", hash_col: str
               .otherwise(F.lit(STALE)))
     j = j.withColumn("_action", action)
     from_source = F.col("_action").isin(INSERT, UPDATE)
-    return j.select(*[F.when(from_source, F.col(f"s__{c}")).otherwise(F.col(f"t__{c}")).alias(c) for c in cols],
-                    "_action")
+
+    def merged(c: str):
+        if c not in source.columns:
+            return F.col(f"t__{c}")  # null for an insert
+        old = F.col(f"t__{c}") if c in target.columns else F.lit(None)
+        return F.when(from_source, F.col(f"s__{c}")).otherwise(old)
+
+    out = j.select(*[merged(c).alias(c) for c in cols], "_action")
+    for loose, label in ((loose_source, INSERT), (loose_target, KEEP)):
+        if loose is not None:
+            out = out.unionByName(loose.withColumn("_action", F.lit(label)), allowMissingColumns=True)
+    return out
 
 
 def merge_stats(merged: DataFrame) -> DataFrame:

@@ -52,3 +52,29 @@ def missing_sources(spark: SparkSession, landing_glob: str, required: list[str])
                      "modificationTime"))
     req = spark.createDataFrame([(r,) for r in required], "file string")
     return req.join(found, "file", "left_anti")
+
+
+LEDGER_SCHEMA = "source string, path string, length bigint, modified timestamp, batch_id string"
+
+
+def landing_files(source: DataFrame, name: str, batch_id: str) -> DataFrame:
+    """The ledger rows of a landing frame: path, length and time of every file
+    it reads (contents are not). A frame that reads no files has none."""
+    spark, paths = source.sparkSession, source.inputFiles()  # names of landing files, not data
+    if not paths:
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+    return spark.read.format("binaryFile").load(paths).select(
+        F.lit(name).alias("source"), "path", "length", F.col("modificationTime").alias("modified"), F.lit(batch_id).alias("batch_id"))
+
+
+def changed_files(ledger: DataFrame, now: DataFrame) -> DataFrame:
+    """(source, path, change): files that were added, removed or changed since
+    the ledger of the same batch was written."""
+    key = ["source", "path", "length", "modified"]
+    new, old = now.select(*key), ledger.select(*key)
+    added, gone = new.join(old, key, "left_anti"), old.join(new, key, "left_anti")
+    both = added.select("source", "path", F.lit(1).alias("in_new")).unionByName(
+        gone.select("source", "path", F.lit(0).alias("in_new")))
+    return both.groupBy("source", "path").agg(F.collect_set("in_new").alias("s")).select(
+        "source", "path", F.when(F.size("s") == 2, "changed").when(F.array_contains("s", 1), "added").otherwise("removed")
+        .alias("change"))

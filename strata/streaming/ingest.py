@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from ..functions.audit import add_audit_columns, audit_first
 from ..functions.hashing import add_primary_key, add_row_hash
 from ..functions.names import standardize_column_names
-from ..operators.cdc import merge, merged_table
 from ..operators.quality import apply_dq_sales, quarantine_records, rule_description
 from ..sources.files import SALES_COLUMNS, string_schema
 from ..sources.tables import TableStore
-from ..plans.layers import REGION_SOURCE_COLUMN, Profile, silver_sales
+from ..plans.current import merge_into_silver
+from ..plans.layers import REGION_SOURCE_COLUMN, SALES_TABLE, Profile, silver_sales
 
 
 def sales_stream(spark: SparkSession, landing_dir: str, columns: list[str] | None = None,
@@ -58,9 +58,10 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def process_batch(batch: DataFrame, epoch: int, store: TableStore, profile: Profile,
-                  table: str = "beverage_sales", stream: str = "default") -> bool:
+                  stream: str = "default") -> bool:
     """One micro-batch: bronze partition, quarantine partition, silver merge.
 
+    The rows are enriched and written as a batch's are.
     Safe to call again for the same stream and epoch (the stream replays a batch whose
     commit it did not record): a committed silver version means the batch is
     done; otherwise the bronze and quarantine partitions of this batch are
@@ -68,6 +69,7 @@ def process_batch(batch: DataFrame, epoch: int, store: TableStore, profile: Prof
     Returns False when the batch was already done.
     """
     batch_id = version = f"stream-{stream}-{epoch:012d}"
+    table = SALES_TABLE
     if store.is_committed("silver", table, version):
         return False
     bronze = to_bronze(batch, profile, batch_id).persist()
@@ -79,20 +81,18 @@ def process_batch(batch: DataFrame, epoch: int, store: TableStore, profile: Prof
             quarantine_records(bad, f"bronze.{table}", f"silver.{table}", batch_id,
                                F.col("_dq_code"), rule_description(F.col("_dq_code"))),
             "control", "quarantine", ["batch_id"])
-        src = silver_sales(dq.filter(F.col("_dq_code").isNull()))
-        current = store.read_if_exists("silver", table, src.schema)
-        store.replace(merged_table(merge(src, current)), "silver", table, version=version)
+        merge_into_silver(store, profile, silver_sales(dq.filter(F.col("_dq_code").isNull())), version)
     finally:
         bronze.unpersist()
     return True
 
 
 def run_incremental(spark: SparkSession, landing_dir: str, store: TableStore, checkpoint: str,
-                    profile: Profile, table: str = "beverage_sales") -> None:
+                    profile: Profile) -> None:
     """Process all new landing files, then stop (``availableNow``)."""
     q = (sales_stream(spark, landing_dir).writeStream
          .option("checkpointLocation", checkpoint)
          .foreachBatch(lambda batch, epoch: process_batch(
-             batch, epoch, store, profile, table, stream_id(spark, checkpoint)))
+             batch, epoch, store, profile, stream_id(spark, checkpoint)))
          .trigger(availableNow=True).start())
     q.awaitTermination()
