@@ -118,3 +118,136 @@ def test_retention_and_dq_summary(spark):
     assert lab == ["keep", "archive", "keep", "drop"]
     res = spark.createDataFrame([(True,), (False,), (True,)], "passed boolean")
     assert {r["passed"]: r["tests"] for r in C.dq_summary(res).collect()} == {True: 2, False: 1}
+
+
+# ---- governance as actions and lookups ------------------------------------------------
+
+def test_policies_by_precedence():
+    p = {"exact": {"gold.a_b": 1}, "prefix": {"gold.a": 2, "gold.a_": 3}, "layer": {"gold": 4}, "default": 5}
+    assert [C.resolve(p, *n) for n in (("gold", "a_b"), ("gold", "a_c"), ("gold", "ab"), ("gold", "x"), ("silver", "x"))] == [1, 3, 2, 4, 5]
+
+
+def test_every_table_of_the_store_is_classified_and_owned(spark):
+    frame = spark.createDataFrame([(1,)], "k int")
+    names = {t for edge in C.LINEAGE for t in edge[:2]} | {"control.process_control", "control.quarantine", "control.reprocess_intents"}
+    tables = {n.split(".")[1] + "@" + n.split(".")[0]: n for n in names}
+    got = {}
+    for layer, table in (n.split(".") for n in tables.values()):
+        r = C.catalog_rows(spark, {table: (layer, frame)}).first()
+        got[f"{layer}.{table}"] = (r["classification"], r["owner"], r["business_owner"], tuple(r["tags"]))
+    assert got["consumption.dim_date"] == ("PUBLIC", "Data Engineering", "BI Team", ("dimension",))
+    assert got["consumption.dim_product"][0] == "INTERNAL" and got["consumption.fact_sales"][3] == ("fact",)
+    assert got["consumption.agg_sales_brand_month"] == ("INTERNAL", "Data Engineering", "BI Team", ("aggregate",))
+    assert got["gold.beverage_sales"] == ("INTERNAL", "Data Engineering", "Analytics Team", ("gold",))
+    assert got["control.quarantine"] == ("CONFIDENTIAL", "Data Engineering Team", None, ("control",))
+    assert got["control.reprocess_intents"][0] == "CONFIDENTIAL"
+    assert got["landing.beverage_sales"] == ("INTERNAL", "Data Engineering Team", None, ("landing",))
+    assert all(c and o for c, o, _, _ in got.values())
+
+
+def test_column_lineage_of_the_layers(spark):
+    """Edges read from the plans, against a list written by hand."""
+    from strata.plans.layers import Profile, build_layers
+    from strata.plans.marts import brand_month_of
+    from test_batch import CH, SALES, _row
+    day = spark.createDataFrame([_row("B1", " A", "WEST", "SUPERETTE", "10.00")], SALES)
+    ch = spark.createDataFrame([("SUPERETTE", "SERVICES", "MIX")], CH)
+    prof = Profile(key_columns=["ce_brand_flvr", "region"])
+    layers = build_layers(day, ch, prof, "b1")
+    edges = lambda df, name, **src: {(r["source_table"], r["source_column"], r["target_column"])
+                                     for r in C.column_edges(df, name, src).collect() if not r["target_column"].startswith("_")}
+    gold = edges(layers.gold_sales, "gold", silver=layers.silver_sales)
+    made = {"volume_category": {"dollar_volume"}, "is_negative_sale": {"dollar_volume"}, "region_group": {"region"},
+            "sales_quarter": {"month"}, "is_weekend_sale": {"transaction_date"}, "country": {"region"}}
+    for target, sources in made.items():
+        assert {c for _, c, t in gold if t == target} == sources, target
+    assert {t for _, c, t in gold if c == t} >= {"brand_nm", "dollar_volume", "trade_group_desc", "year"}
+    silver = edges(layers.silver_sales, "silver", sales=layers.bronze_sales, channels=layers.bronze_channels)
+    assert ("channels", "trade_group_desc", "trade_group_desc") in silver and ("sales", "date", "transaction_date") in silver
+    assert {c for _, c, t in silver if t == "year_month"} == {"year", "month"}
+    assert {c for _, c, t in silver if t == "sales_id"} == {"_pk"}
+    fact = edges(layers.star(prof)["fact_sales"], "fact", gold=layers.gold_sales)
+    keys = {"date_key": {"transaction_date"}, "region_key": {"region"}, "channel_key": {"chnl_group", "trade_chnl_desc"},
+            "product_key": {"ce_brand_flvr", "brand_nm", "pkg_cat", "pkg_cat_desc", "tsr_pckg_nm"}}
+    for target, sources in keys.items():
+        assert {c for _, c, t in fact if t == target} == sources, target
+    mart = edges(brand_month_of(layers.gold_sales), "mart", gold=layers.gold_sales)
+    assert ("gold", "dollar_volume", "total_dollar_volume") in mart and ("gold", "transaction_date", "year_month") in mart
+    both = layers.silver_sales.select("region").unionByName(layers.silver_sales.select(F.col("brand_nm").alias("region")))
+    assert {c for _, c, _ in edges(both, "u", silver=layers.silver_sales)} == {"region", "brand_nm"}
+
+
+def test_lineage_walk_follows_the_ancestors_only(spark):
+    """Far more tables hang below than above: none of them is visited."""
+    edges = [("a", "t", ""), ("b", "a", "")] + [("t", f"d{i}", "") for i in range(300)] + [(f"x{i}", f"y{i}", "") for i in range(300)]
+    C.lineage_edges(spark, edges).createOrReplaceTempView("wide")
+    assert {r["ancestor"]: r["depth"] for r in C.lineage_upstream(spark, "wide", "t").collect()} == {"a": 1, "b": 2}
+    assert C.lineage_upstream(spark, "wide", "unknown").collect() == []
+
+
+def test_retention_moves_and_drops_folders(spark, tmp_path):
+    from strata.sources.tables import TableStore
+    store = TableStore(spark, str(tmp_path / "lake"))
+    days = ["2024-03-01", "2023-06-01", "2023-05-01", "2010-01-01"]
+    store.append(spark.createDataFrame([(d, i) for i, d in enumerate(days)], "d string, n int").select(
+        F.to_date("d").alias("_ingestion_date"), "n"), "bronze", "t", ["_ingestion_date"])
+    assert dict(C.retention_plan(store, "bronze", "t", today="2024-03-02")) == {
+        "_ingestion_date=2024-03-01": "keep", "_ingestion_date=2023-06-01": "archive", "_ingestion_date=2023-05-01": "archive",
+        "_ingestion_date=2010-01-01": "drop"}
+    done = C.apply_retention(store, "bronze", "t", today="2024-03-02")
+    assert (len(done["keep"]), len(done["archive"]), len(done["drop"])) == (1, 2, 1)
+    assert [r["n"] for r in store.read("bronze", "t").collect()] == [0]
+    moved = spark.read.parquet(str(tmp_path / "lake/archive/bronze/t"))
+    assert sorted(r["n"] for r in moved.collect()) == [1, 2]
+    assert not (tmp_path / "lake/bronze/t/_ingestion_date=2010-01-01").exists()
+    again = C.apply_retention(store, "bronze", "t", today="2024-03-02")
+    assert again["archive"] == [] and again["drop"] == []
+    for i in range(5):  # versions of a current table go by number
+        store.replace(spark.createDataFrame([(i,)], "n int"), "gold", "c", version=str(i))
+    assert C.apply_retention(store, "gold", "c", keep_versions=2)["versions"] == ["0", "1", "2"]
+
+
+def test_partitions_leave_the_newest_version_without_a_scan(spark, tmp_path):
+    from strata.sources.tables import TableStore
+    store = TableStore(spark, str(tmp_path / "lake"))
+    store.replace(spark.createDataFrame([(y, y) for y in (2001, 2002, 2003)], "year int, n int"), "gold", "t", version="1", partition_by=["year"])
+    assert store.drop_partitions("gold", "t", ["year=2001", "year=1990"], "2") == "2"
+    assert sorted(r["n"] for r in store.read("gold", "t").collect()) == [2002, 2003] and store.read("gold", "t", "1").count() == 3
+    assert store.drop_partitions("gold", "t", ["year=1990"]) is None
+
+
+def test_event_alerts(spark):
+    rows = [("e", f"2024-01-01 {h:02d}:{m:02d}:00") for h, n in ((0, 2), (1, 2), (3, 9), (4, 3)) for m in range(n)] + [("e", None), (None, "2024-01-01 00:00:00")]
+    events = spark.createDataFrame(rows, "event_type string, t string").select("event_type", F.to_timestamp("t").alias("ts"))
+    got = {(r["alert"], r["subject"], r["hour"].hour, r["value"], r["bound"]) for r in C.event_alerts(events, "event_type", burst=8).collect()}
+    assert got == {("hourly_burst", "e", 3, 9, 8.0), ("above_history", "e", 3, 9, 4.0)}
+    assert C.event_alerts(events.filter("false"), "event_type").collect() == []
+
+
+def test_landing_that_changed_is_refused_or_reloaded(spark, tmp_path):
+    import os
+
+    from strata.plans.batch import LandingChanged, checked_landing
+    from strata.sources.files import changed_files, landing_files
+    from strata.sources.tables import TableStore
+    store = TableStore(spark, str(tmp_path / "lake"))
+    land = tmp_path / "landing"
+    land.mkdir()
+    (land / "a.csv").write_text("k\n1\n")
+    (land / "b.csv").write_text("k\n2\n")
+    now = lambda: landing_files(spark.read.option("header", True).schema("k string").csv(str(land)), "sales", "b1")
+    assert checked_landing(store, now(), "b1", "refuse") == "b1" and checked_landing(store, now(), "b1", "refuse") == "b1"
+    assert checked_landing(store, now(), "b10", "refuse") == "b10"
+    (land / "a.csv").write_text("k\n100\n")
+    os.remove(land / "b.csv")
+    (land / "c.csv").write_text("k\n3\n")
+    changes = {r["path"].rsplit("/", 1)[1]: r["change"] for r in changed_files(
+        store.read("control", "landing_files").filter("batch_id = 'b1'"), now()).collect()}
+    assert changes == {"a.csv": "changed", "b.csv": "removed", "c.csv": "added"}
+    with pytest.raises(LandingChanged, match="a.csv was changed"):
+        checked_landing(store, now(), "b1", "refuse")
+    assert checked_landing(store, now(), "b1", "reload") == "b1.r1" and checked_landing(store, now(), "b1", "refuse") == "b1.r1"
+    (land / "c.csv").write_text("k\n33\n")
+    assert checked_landing(store, now(), "b1", "reload") == "b1.r2"
+    frames = spark.createDataFrame([(1,)], "k int")  # a landing without files has no ledger
+    assert checked_landing(store, landing_files(frames, "sales", "b3"), "b3", "refuse") == "b3"
