@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.audit import add_audit_columns, audit_exprs, audit_first, update_layer_timestamp
-from ..functions.hashing import add_primary_key, add_row_hash, primary_key_expr, row_hash_expr
+from ..functions.hashing import add_primary_key, add_row_hash, hash_key, primary_key_expr, row_hash_expr
 from ..functions.names import standardize_column_names
 from ..operators import star
 from ..operators.cdc import latest_per_key
@@ -70,10 +70,11 @@ def bronze_channels(landing: DataFrame, profile: Profile, batch_id: str,
 # --- silver -------------------------------------------------------------------
 
 def silver_channels(bronze: DataFrame, batch_ts: str | None = None) -> DataFrame:
-    """Newest version per key (history may hold several loads), trimmed."""
+    """Newest version per key (history may hold several loads), trimmed, with
+    ``channel_sk``: a hash of the channel, so it is the same in every load."""
     df = latest_per_key(bronze, "_pk")
     df = df.withColumns({c: F.trim(c) for c in ("trade_chnl_desc", "trade_group_desc", "trade_type_desc")})
-    return update_layer_timestamp(df, "silver", batch_ts)
+    return update_layer_timestamp(df.withColumn("channel_sk", hash_key(["trade_chnl_desc"])), "silver", batch_ts)
 
 
 def sales_dq(bronze: DataFrame, profile: Profile | None = None) -> DataFrame:

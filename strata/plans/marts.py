@@ -111,6 +111,10 @@ def brand_region_of(gold: DataFrame) -> DataFrame:
     return ranked(ranked(agg, "region_name", "brand_nm", False, "rank_asc"), "region_name", "brand_nm", True, "rank_desc")
 
 
+def lowest_brand_of(gold: DataFrame) -> DataFrame:
+    return brand_region_of(gold).filter(F.col("rank_asc") == 1)
+
+
 def sorted_report(df: DataFrame, *descending: str, then: tuple[str, ...] = ()) -> DataFrame:
     """A mart in reading order: greatest first, then by name."""
     return df.orderBy(*map(F.desc, descending), *map(F.asc_nulls_first, then))
@@ -124,7 +128,8 @@ def region_totals(gold: DataFrame) -> DataFrame:
             .agg(F.sum("dollar_volume").cast(MONEY).alias("total_dollar_volume"),
                  F.sum(F.abs("dollar_volume")).cast(MONEY).alias("gross_dollar_volume"),
                  F.count(F.lit(1)).alias("transaction_count"))
-            .orderBy(F.desc("total_dollar_volume"), F.asc("region")))
+            # a row per region: one partition sorts them, without the sampling job of a range exchange
+            .coalesce(1).sortWithinPartitions(F.desc("total_dollar_volume"), F.asc("region")))
 
 
 def top_brands(gold: DataFrame, n: int = 10) -> DataFrame:
