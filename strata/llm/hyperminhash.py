@@ -4,32 +4,40 @@ A document's set is its distinct word shingles, hashed to 64 bits. Its sketch
 has ``BUCKETS`` registers; a register keeps, for the least hash in its bucket,
 the count of leading zeros and ``MANTISSA`` bits after them (16 bits in all).
 
-1. Documents with equal sets are one class (digest of the set); only the
-   representative, the smallest id, goes on. A group of copies costs one row.
+1. Documents with equal sets are one class (digest of the set), one node of the
+   link graph; its representative is the row with the smallest id. A group of
+   copies costs one row.
 2. Bands of ``ROWS`` registers are the search keys. An empty register borrows
    from a used one, in an order fixed per register; without that a band of a
    short text would hold one shingle, and any common line would make a key. A
    pair at the similarity threshold misses all bands with a probability of
    about 4e-6, and one at 0.85 with less than 1e-12.
-3. Keys with several documents are stars: every member is paired with the
-   key's centre, the member with the most company, and of these pairs each
-   document tries the one with most bands in common. A pair is first estimated from the sketches, with the
-   chance of equal registers of different hashes taken out; unless it is far
-   below the threshold (five standard deviations and a register), it is confirmed on the full
-   sets, recomputed from the whole texts.
+3. Keys with several nodes are stars: every member is paired with the key's
+   centre, the member with the most company, and of these pairs each node tries
+   the one with most bands in common. A pair is first estimated from the
+   sketches, with the chance of equal registers of different hashes taken out;
+   unless it is far below the threshold (six standard deviations and six
+   registers: fewer than 1e-9 of the pairs at the threshold), it is confirmed on
+   the full sets, recomputed from the whole texts.
 4. Links are joined to components (hook the larger root to the smaller,
    contract, repeat). Keys whose members are all in one component are done. In
-   the others, members of different components are compared by size and sketch
-   in memory, a key being split into cells of two blocks of its members; only
-   possible links leave a cell, and they are confirmed in full as well. So
-   pairs that are connected already are never tested, all others are: no link
-   between components is lost, and no group is expanded into all its pairs.
+   the others, members of different components are compared in cells: a key's
+   members are dealt into blocks, every two blocks make a cell, and a cell has
+   the members' sketches and their whole sets. A pair is judged in the cell of
+   its first common band only, confirmed there, and the cell's components grow
+   as links are found, so it puts out a spanning forest of confirmed links; what
+   is rejected leaves no row. A group of m near copies costs m rows per band and
+   block, of which there is one for about CELL members, and at most m links a
+   cell; pairs that are connected already are never tested, all others are.
 
 Every intermediate table is written under the shared checkpoint folder.
 Null, empty and blank texts have an empty set and are linked with nothing.
-Rows that share an id are judged each by its own text; rows without id are
-linked with nothing and kept. An empty table gives no rows; other columns are ignored, or
-pass through ``keep_first`` untouched.
+Rows that share an id are judged each by its own text (their components are
+told by id, so a component's name can be the id of several texts, but no text
+is dropped for another text's sake); rows without id are linked with nothing and
+kept. Rows that repeat both id and text are one document: they stay or go
+together. An empty table gives no rows; other columns are ignored, or pass
+through ``keep_first`` untouched.
 """
 
 from __future__ import annotations
@@ -49,11 +57,11 @@ SHINGLE = 5
 THRESHOLD = 75
 BUCKETS, ROWS, MANTISSA = 384, 6, 10
 BANDS = BUCKETS // ROWS
-#: Standard deviations below the threshold at which an estimate rules a pair out.
-MARGIN = 5.0
+#: Standard deviations, and registers, below the threshold at which an estimate rules a pair out.
+MARGIN, REGISTERS = 6.0, 6
 SLICE = 1 << 20
-#: Members of a block; a cell holds two blocks.
-CELL = 256
+#: Members of a block, and the hashes of their sets; a cell holds two blocks.
+CELL, CELL_HASHES = 1024, 1 << 20
 
 LOWERED = byte_table(True, b"")
 BASE = 0x9E3779B97F4A7C15
@@ -162,31 +170,31 @@ def estimate(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
     that differ in their hashes a share of about 2**-MANTISSA / 3 is equal by
     chance; it is taken out. The used registers are a sample without
     replacement of the union, so for short texts, most of whose shingles have a
-    register of their own, the deviation is small (a MARGIN-th of a register is added)."""
+    register of their own, the deviation is small."""
     used = np.maximum(((a != 0) | (b != 0)).sum(axis=1), 1)
     same = ((a == b) & (a != 0)).sum(axis=1) / used
     chance = 2.0 ** -MANTISSA / 3
     t = THRESHOLD / 100
     union = np.maximum(sizes / (1 + t), 1)
     left_out = np.clip((union - used) / union, 0, 1)
-    return (same - chance) / (1 - chance), np.sqrt(t * (1 - t) / used * left_out) + 1 / (MARGIN * used)
+    return (same - chance) / (1 - chance), np.sqrt(t * (1 - t) / used * left_out) + REGISTERS / (MARGIN * used)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc, text) -> doc, n_shingles, digest of the set, band keys."""
+    """(doc, mark, text) -> doc, mark, n_shingles, digest of the set, band keys."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc"), pa.array([len(s) for s in sets], pa.int64()),
+                    part.column("doc"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                              pa.binary()),
                     pa.array([band_keys(sketch(s)) for s in sets], pa.list_(pa.int64()))],
-                    ["doc", "n_shingles", "digest", "keys"])
+                    ["doc", "mark", "n_shingles", "digest", "keys"])
 
-    return docs.mapInArrow(run, "doc long, n_shingles long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, "doc long, mark string, n_shingles long, digest binary, keys array<long>")
 
 
 def with_registers(docs: DataFrame) -> DataFrame:
@@ -246,27 +254,63 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def with_sets(docs: DataFrame) -> DataFrame:
+    """(doc, text, regs) -> doc, regs, the sorted hashes of the whole set."""
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                sets = shingle_sets(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("regs"),
+                                                  pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "regs", "hashes"])
+
+    return docs.mapInArrow(run, "doc long, regs binary, hashes binary")
+
+
+def first_common_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of densified registers (one row against many): the first band in which
+    all registers are equal, or BANDS."""
+    equal = (a == b).reshape(len(b), BANDS, ROWS).all(axis=2)
+    return np.where(equal.any(axis=1), equal.argmax(axis=1), BANDS)
+
+
+def linked_to(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets are linked to ``own``, by their whole sizes."""
+    joined = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+    both = np.add.reduceat((own[at] == joined).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+    union = len(own) + np.array([len(o) for o in others]) - both
+    return 100 * both >= THRESHOLD * union
+
+
 def across(rows: pa.Table) -> pa.RecordBatch:
-    """Possible links between components within one cell of a key: all its
-    rows, or, in a cell of two blocks, those of one with those of the other."""
+    """A spanning forest of the links between components within one cell of a
+    key: among all its rows, or, in a cell of two blocks, between the blocks."""
     doc, label, size, own = (rows.column(c).to_numpy() for c in ("doc", "label", "size", "own"))
-    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    i, j, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
     regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-    found = []
+    dense = np.stack([densified(r) for r in regs])
+    sets = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
+    label, found = label.copy(), []
     for x in np.flatnonzero(own == i).tolist():
         other = np.flatnonzero((label != label[x]) & ((own == j) if i != j else (doc > doc[x])))
         if len(other):
-            hit = other[possible(regs[x][None], regs[other], size[x], size[other])]
-            found += [(min(doc[x], doc[y]), max(doc[x], doc[y])) for y in hit.tolist()]
-    pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+            other = other[possible(regs[x][None], regs[other], size[x], size[other])]
+        if len(other):
+            other = other[first_common_band(dense[x][None], dense[other]) == band]
+        if len(other):
+            for y in other[linked_to(sets[x], [sets[y] for y in other.tolist()])].tolist():
+                if label[y] != label[x]:
+                    found.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
+                    label[label == label[y]] = label[x]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def possible_across(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may be linked.
-    A key's members are dealt by hash into blocks of about CELL, and every pair
-    of blocks is one cell, compared in memory: only possible links come out,
-    and a key with very many members is many cells."""
+def links_across(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between different components that share a key,
+    enough to connect what is linked. A key's members are dealt by hash into
+    blocks, and every pair of blocks is one cell, so a key with very many
+    members is many cells."""
 
     def run(batches):
         held = None
@@ -283,11 +327,13 @@ def possible_across(members: DataFrame, texts: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield across(held)
 
-    blocks = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / CELL).alias("blocks")), "key") \
+    many = F.ceil(F.greatest(F.count("*") / CELL, F.sum("size") / CELL_HASHES))
+    blocks = members.join(members.groupBy("key").agg(many.alias("blocks")), "key") \
         .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks"))) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                          "own", "doc", "label", "size").join(texts.select("doc", "regs"), "doc")
+    sets = materialize(with_sets(texts.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "text", "regs")), "sets")
+    cells = blocks.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                          "own", "doc", "label", "size").join(sets, "doc")
     return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j") \
         .mapInArrow(run, "a long, b long").distinct()
 
@@ -323,14 +369,14 @@ def labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return members.withColumn("label", F.col("doc"))
     return members.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left") \
-        .select("key", "doc", "size", F.coalesce("root", "doc").alias("label"))
+        .select("key", "band", "doc", "size", F.coalesce("root", "doc").alias("label"))
 
 
 def open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members, with labels, of keys that hold more than one component."""
     rows = labelled(members, roots)
     ends = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    return rows.join(ends.select("key"), "key").select("key", "doc", "size", "label")
+    return rows.join(ends.select("key"), "key").select("key", "band", "doc", "size", "label")
 
 
 def linked_roots(members: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -339,7 +385,7 @@ def linked_roots(members: DataFrame, texts: DataFrame, pairs: DataFrame) -> Data
     links = materialize(confirmed(likely(pairs, texts), texts), "links")
     roots = components(links)
     apart = materialize(open_members(members, roots), "open")
-    more = materialize(confirmed(possible_across(apart, texts), texts), "links")
+    more = materialize(links_across(apart, texts), "links")
     return roots if more.isEmpty() else components(links.unionByName(more))
 
 
@@ -357,29 +403,50 @@ def first_tries(members: DataFrame) -> DataFrame:
     return best.select((-F.col("m.minus")).alias("a"), F.col("doc").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
+def judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: doc, mark (of the text), n_shingles, component_id, kept."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text")) \
+        .withColumn("mark", F.md5("text"))
     sets = materialize(sketches(rows), "sketches")
     known = sets.filter(F.col("digest").isNotNull() & F.col("doc").isNotNull())
-    classes = materialize(known.groupBy("digest").agg(F.min("doc").alias("rep")), "classes")
-    reps = known.join(classes, (known["doc"] == classes["rep"]) & (known["digest"] == classes["digest"]), "left_semi")
-    keyed = reps.select(F.explode("keys").alias("key"), "doc", F.col("n_shingles").alias("size"))
+    # a class of equal sets is a node; its representative is the first row by id. Nodes
+    # are numbered where they are written: any number will do, but it must be unique
+    classes = materialize(known.groupBy("digest").agg(
+        F.min(F.struct("doc", "mark")).alias("r"), F.first("keys").alias("keys"), F.first("n_shingles").alias("size"))
+        .select("digest", F.monotonically_increasing_id().alias("node"), "r.doc", "r.mark", "keys", "size"), "classes")
+    keyed = classes.select(F.posexplode("keys").alias("band", "key"), F.col("node").alias("doc"), "size")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")) \
         .filter("lo < hi")
-    members = materialize(keyed.join(shared.select("key", "n"), "key").select("key", "doc", "size", "n"), "members")
-    texts = materialize(with_registers(rows.join(members.select("doc").distinct(), "doc", "left_semi")
-                                       .filter(F.col("text") != "")), "texts")
+    members = materialize(keyed.join(shared.select("key", "n"), "key").select("key", "band", "doc", "size", "n"), "members")
+    used = classes.join(members.select(F.col("doc").alias("node")).distinct(), "node", "left_semi").select("node", "doc", "mark")
+    found = rows.join(used, ["doc", "mark"]).select(F.col("node").alias("doc"), "text")
+    if not sets.groupBy("doc", "mark").count().filter("count > 1").isEmpty():  # rows that repeat id and text
+        found = found.groupBy("doc").agg(F.first("text").alias("text"))
+    texts = materialize(with_registers(found), "texts")
     tries = first_tries(members)
-    roots = linked_roots(members.select("key", "doc", "size").distinct(), texts, tries)
-    top = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left") \
-        .select("digest", F.coalesce("root", "rep").alias("component_id"))
+    roots = linked_roots(members.select("key", "band", "doc", "size"), texts, tries)
+    named = classes.join(roots.select("node", "root"), "node", "left") \
+        .select("digest", "doc", F.coalesce("root", "node").alias("root"))
+    first = named.groupBy("root").agg(F.min("doc").alias("component_id"))
+    top = named.join(first, "root").select("digest", "component_id")
     return sets.join(top, "digest", "left").select(
-        F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component_id", "doc").alias("component_id")) \
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        "doc", "mark", "n_shingles", F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"),
+        F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    return judged(docs, id_col, text_col).select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first document of every group, with its columns as they are."""
-    dropped = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    """The first document of every group, with its columns as they are. What
+    goes is told by id and text, so another text under the same id stays."""
+    mark = "mark"
+    while mark.lower() in {c.lower() for c in docs.columns}:
+        mark += "_"
+    dropped = judged(docs, id_col, text_col).filter("not kept").select(
+        F.col("doc").alias("_dropped"), F.col("mark").alias("_dropped_mark")).distinct()
+    rows = docs.withColumn(mark, F.md5(text_or_empty(text_col)))
+    return rows.join(dropped, (F.col(id_col) == F.col("_dropped")) & (F.col(mark) == F.col("_dropped_mark")), "left_anti") \
+        .select(*docs.columns)

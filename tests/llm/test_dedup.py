@@ -1,8 +1,10 @@
 """Near-duplicates, chunk dedup and suffix dedup against plain versions."""
 
 import collections
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,106 @@ def test_estimate_follows_similarity():
         assert abs(est[0] - j) < 5 * sd[0]
 
 
+def test_no_text_is_dropped_for_another_ones_sake(spark, rnd):
+    """Shared, repeated and null ids: what goes is a text that another document has."""
+    a, b, c = (_words(rnd, 60) for _ in range(3))
+    near = a.replace(a.split()[30], "changed")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, near), (None, a), (None, c), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "m") for i, t in rows], "doc_id long, text string, mark string")
+    kept = H.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(1, a), (2, b), (3, c), (3, c), (None, a), (None, c), (5, None), (5, "")], key=repr)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in H.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (3, 3, True), (4, 1, False),
+                          (None, None, True), (None, None, True), (5, 5, True), (5, 5, True)], key=repr)
+
+
+def test_two_texts_of_one_id_are_two_nodes(spark, rnd):
+    """Both texts of id 7 have copies; the copies' components stay apart."""
+    a, b = _words(rnd, 50), _words(rnd, 50)
+    docs = spark.createDataFrame([(7, a), (7, b), (8, a + " x"), (9, b + " y"), (10, b + " z")], "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"]) for r in H.keep_first(docs).collect())
+    assert kept == sorted([(7, a), (7, b)])
+
+
+def pairs_at(rng, sizes, low, high, count):
+    """Pairs of hash sets of these sizes with a similarity from ``low`` to ``high``."""
+    for _ in range(count):
+        n = int(rng.choice(sizes))
+        j = rng.uniform(low, high)
+        union = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64))[:n]
+        rng.shuffle(union)
+        common = int(np.ceil(j * n))
+        left = common + (n - common) // 2
+        yield np.sort(union[:left]), np.sort(np.r_[union[:common], union[left:]])
+
+
+def test_sketch_rules_out_no_link():
+    """Thousands of linked pairs just over the threshold, in small, middle and
+    large sets: none is ruled out by its sketch, hardly any misses all bands."""
+    rng = np.random.default_rng(17)
+    for sizes, count in (((4, 8, 12, 20, 40), 1500), ((80, 150, 300, 600), 1500), ((2000, 8000), 200)):
+        ruled_out = missed = n = 0
+        for a, b in pairs_at(rng, sizes, 0.75, 0.78, count):
+            both = len(np.intersect1d(a, b))
+            if 100 * both < H.THRESHOLD * (len(a) + len(b) - both):
+                continue
+            n += 1
+            ra, rb = H.sketch(a), H.sketch(b)
+            ruled_out += not H.possible(ra[None], rb[None], np.array([len(a)]), np.array([len(b)]))[0]
+            missed += H.first_common_band(H.densified(ra)[None], H.densified(rb)[None])[0] == H.BANDS
+        assert n > count / 2 and ruled_out == 0 and missed <= 1
+
+
+def test_cells_give_a_spanning_forest(spark, monkeypatch):
+    """One group of near copies and one of texts that are almost near: a cell
+    puts out links of the first only, fewer than it has members."""
+    rng = np.random.default_rng(4)
+    core = np.unique(rng.integers(0, 1 << 63, 90, dtype=np.uint64))
+    sets = [np.unique(np.r_[core, rng.integers(0, 1 << 63, 10, dtype=np.uint64)]) for _ in range(40)]  # J = 90 / 110
+    sets += [np.unique(np.r_[core[:60], rng.integers(0, 1 << 63, 40, dtype=np.uint64)]) for _ in range(40)]  # 60 / 140
+    regs = [H.sketch(s) for s in sets]
+    dense = [H.densified(r) for r in regs]
+    pairs, judged = [], 0
+    for band in range(H.BANDS):
+        same = {}
+        for k, d in enumerate(dense):
+            same.setdefault(d.reshape(H.BANDS, H.ROWS)[band].tobytes(), []).append(k)
+        for members in same.values():
+            if len(members) > 1:
+                out = H.across(pa.table({
+                    "doc": members, "label": members, "size": [len(sets[k]) for k in members], "own": [0] * len(members),
+                    "i": [0] * len(members), "j": [0] * len(members), "band": [band] * len(members),
+                    "regs": [regs[k].tobytes() for k in members], "hashes": [sets[k].tobytes() for k in members]}))
+                got = list(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+                assert len(got) < len(members)
+                pairs += got
+    assert len(pairs) == len(set(pairs))  # a pair is judged in one band only
+    up = list(range(80))
+    for a, b in pairs:
+        assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+        low, high = sorted((up[a], up[b]))
+        up = [low if u == high else u for u in up]
+    assert set(up[:40]) == {0} and len(set(up[40:])) == 40
+
+
+def test_cells_of_many_blocks(spark, rnd, monkeypatch):
+    """Keys with more members than a block holds: the same components."""
+    monkeypatch.setattr(H, "CELL", 4)
+    base = _words(rnd, 40).split()
+    texts = []
+    for i in range(30):
+        w = list(base)
+        for k in rnd.sample(range(40), 3):
+            w[k] = f"w{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in
+           H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_components(rows)
+
+
 # --------------------------------------------------------------- chunk dedup
 def _cuts_one_by_one(data):
     h, last, out = 0, 0, []
@@ -132,6 +234,28 @@ def test_chunk_dedup_cases(spark, odd_docs, no_docs, rnd):
     assert kept[1] == long and len(kept[2]) < 200 and kept[2].endswith("tail") and kept[3] == ""
 
 
+def test_chunk_dedup_loses_no_text(spark, rnd):
+    """Shared, repeated and null ids: text that occurs once stays."""
+    p, q = _words(rnd, 100), _words(rnd, 100)
+    docs = spark.createDataFrame([(1, p), (2, p), (2, q), (None, p), (None, q), (3, q), (4, q[:-1] + "#"), (4, q[:-1] + "#")],
+                                 "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in C.without_repeats(docs).collect()]
+    assert kept.count((1, p)) == 1 and (2, q) in kept and (None, p) in kept and (None, q) in kept
+    assert sorted(len(t) for i, t in kept if i == 2) [0] < 60 and all(len(t) < 100 for i, t in kept if i == 3)
+    assert len({t for i, t in kept if i == 4}) == 1 and len(kept) == 8
+
+
+def test_chunk_dedup_of_very_many_repeats_in_one_text(spark):
+    """A million chunks of which nearly all repeat, in runs: not quadratic."""
+    begin = time.time()
+    rows = spark.range(1_000_000).select(F.lit(1).cast("long").alias("doc"), F.lit(0).cast("long").alias("tag"),
+                                         (F.col("id") * 40).cast("int").alias("start"),
+                                         F.when(F.col("id") % 4 == 3, 20).otherwise(40).alias("length"))
+    r = C.removed_spans(rows).select("n_repeats", F.size("spans").alias("n"), F.element_at("spans", 2).alias("s")).first()
+    assert (r["n_repeats"], r["n"], tuple(r["s"])) == (1_000_000, 250_000, (160, 300))
+    assert time.time() - begin < 60
+
+
 # -------------------------------------------------------------- suffix dedup
 def test_multikey_order(rnd):
     for _ in range(100):
