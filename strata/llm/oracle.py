@@ -130,7 +130,7 @@ FROM documents LEFT JOIN cnt USING (doc_id) LEFT JOIN lic USING (doc_id) LEFT JO
 def secret_scan() -> str:
     """Matches and the pieces between them as rows: running sums of their
     lengths are the positions; entropy windows are rows of character counts."""
-    from .secret_scan import ACCESS, CANDIDATE, CLASSES, HEX, KINDS
+    from .secret_scan import ACCESS, CANDIDATE, CLASSES, HEX, KINDS, PLACEHOLDERS
 
     def any_case(word: str) -> str:
         return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -156,7 +156,10 @@ def secret_scan() -> str:
     allowed = rf"""regexp_matches(m, '^[^0-9]*$')
         OR regexp_matches(m, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$')
         OR regexp_matches(m, '^([A-Za-z]+[-_/])*[A-Za-z]+[-_/]?[0-9]{{1,4}}$')
-        OR regexp_matches(m, '(?i)example|placeholder|0123456789|abcdefghij') OR {same}"""
+        OR {same}"""
+    blanked = "m"
+    for word in PLACEHOLDERS:
+        blanked = f"regexp_replace({blanked}, '(?i){word}', '{' ' * len(word)}', 'g')"
     runs = " UNION ALL ".join(
         f"""SELECT {KINDS.index(kind)} AS k, {w} AS width, CAST({least} AS DOUBLE) AS least, doc_id, ci, i AS ri, c0 + a AS a, m
             FROM ({located('cand', 'm', 'doc_id, ci, c0', f'{chars}{{{w},}}')}) r""" for kind, (chars, _, w, least) in CLASSES.items())
@@ -168,7 +171,7 @@ base AS (SELECT doc_id, 0 AS k, a, b FROM ({located('d', 'text', 'doc_id', assig
          WHERE length(regexp_extract(m, '{assign}', 2)) >= 6
          UNION ALL SELECT doc_id, 1, a, b FROM ({located('d', 'text', 'doc_id', ACCESS)}) x
          UNION ALL SELECT doc_id, 2, a, b FROM ({located('d', 'text', 'doc_id', HEX)}) x),
-cand AS (SELECT doc_id, i AS ci, a AS c0, m FROM ({located('d', 'text', 'doc_id', CANDIDATE)}) x WHERE NOT ({allowed})),
+cand AS (SELECT doc_id, i AS ci, a AS c0, {blanked} AS m FROM ({located('d', 'text', 'doc_id', CANDIDATE)}) x WHERE NOT ({allowed})),
 runs AS ({runs}),
 win AS (SELECT *, unnest(range(0, length(m) - width + 1)) AS o FROM runs),
 sym AS (SELECT k, width, least, doc_id, ci, ri, a, o, unnest(string_split(substr(m, o + 1, width), '')) AS c FROM win),

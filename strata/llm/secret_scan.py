@@ -13,12 +13,13 @@ window: symbol counts are kept in an array and updated by one symbol in and
 one out per step, and with them S = sum(c * log2 c), so the window's Shannon
 entropy is log2(W) - S / W. A run whose window reaches the class's threshold
 gives a span from the first to the last such window. Candidates on the
-allow-list (UUIDs, plain words or paths, repeated placeholders) are suppressed;
-base spans are never suppressed.
+allow-list (UUIDs, plain words or paths, repeated placeholders) are suppressed.
+Placeholder words inside a candidate suppress the windows over them only: a key
+beside them is still found. Base spans are never suppressed.
 
 Only built-in functions. Positions are code points, end exclusive. They come
-from the lengths of matches and of the pieces between them, so the cost is
-linear in the text. Null text counts as empty (no spans); an empty table gives
+from the lengths of matches and of the pieces between them, summed in blocks
+(``spans``), so a text with very many matches costs little more than its length. Null text counts as empty (no spans); an empty table gives
 no rows; repeated rows are scanned each by itself; other columns are ignored.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .spans import let, located, redacted
 
 #: The base patterns. A run of at least n characters is the same
 #: as a run that is dropped below n, as runs are maximal.
@@ -54,30 +56,9 @@ CLASSES = {
 #: Candidates that are no secrets: no digit at all, UUIDs, words or paths with
 #: a number at the end, one or two characters over and over, running alphabets.
 ALLOWED = (r"^[^0-9]*$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-           r"^([A-Za-z]+[-_/])*[A-Za-z]+[-_/]?[0-9]{1,4}$", r"^(.{1,2})\1+.?$",
-           r"(?i)example|placeholder|0123456789|abcdefghij")
-
-
-def located(text: Column, pattern: str, keep=None) -> Column:
-    """array<struct<m, a, b>>: matches with their code-point positions.
-    ``keep`` tests a match; failing ones are dropped after being counted."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def place(arr: Column) -> Column:
-        between = F.split(text, pattern, -1)  # one piece before each match, one after the last
-        parts = F.zip_with(arr, F.slice(between, F.lit(1), F.size(arr)), lambda m, g: F.struct(
-            m.alias("m"), F.length(g).alias("gap")))
-        none = F.array().cast("array<struct<m:string,a:int,b:int>>")
-        step = F.aggregate(
-            parts, F.struct(F.lit(0).alias("at"), none.alias("out")),
-            lambda acc, p: F.struct(
-                (acc["at"] + p["gap"] + F.length(p["m"])).alias("at"),
-                F.when(keep(p["m"]) if keep else F.lit(True), F.concat(acc["out"], F.array(F.struct(
-                    p["m"].alias("m"), (acc["at"] + p["gap"]).alias("a"),
-                    (acc["at"] + p["gap"] + F.length(p["m"])).alias("b"))))).otherwise(acc["out"]).alias("out")))
-        return F.when(F.size(arr) == 0, none).otherwise(step["out"])
-
-    return F.element_at(F.transform(F.array(found), place), 1)
+           r"^([A-Za-z]+[-_/])*[A-Za-z]+[-_/]?[0-9]{1,4}$", r"^(.{1,2})\1+.?$")
+#: Words in any case over which there is no window: each is blanked before the runs are taken.
+PLACEHOLDERS = ("example", "placeholder", "0123456789", "abcdefghij")
 
 
 def plogp(n: Column) -> Column:
@@ -122,7 +103,10 @@ def entropy_spans(candidates: Column, kind: str) -> Column:
     chars, symbols, width, least = CLASSES[kind]
 
     def of_candidate(c: Column) -> Column:
-        runs = located(c["m"], f"{chars}{{{width},}}")
+        text = c["m"]
+        for word in PLACEHOLDERS:
+            text = F.regexp_replace(text, f"(?i){word}", " " * len(word))
+        runs = located(text, f"{chars}{{{width},}}")
         hulls = F.transform(runs, lambda r: F.struct(
             (c["a"] + r["a"]).alias("at"), window_hull(r["m"], symbols, width, least).alias("h")))
         return F.transform(F.filter(hulls, lambda h: h["h"]["lo"].isNotNull()), lambda h: span(
@@ -190,18 +174,6 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> D
     t, base, added = names
     rows = with_spans(docs.withColumn(t, text_or_empty(text_col)), t, base, added)
 
-    def rebuilt(spans: Column) -> Column:
-        out = F.aggregate(
-            spans, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")),
-            lambda acc, s: F.struct(
-                F.when(s["a"] >= acc["at"], F.concat(acc["out"], F.array(
-                    F.substring(F.col(t), acc["at"] + 1, s["a"] - acc["at"]), F.lit(mark)))
-                ).otherwise(acc["out"]).alias("out"),
-                F.greatest(acc["at"], s["b"]).alias("at")))
-        return F.element_at(F.transform(F.array(out), lambda o: F.concat(
-            F.array_join(o["out"], ""), F.substring(F.col(t), o["at"] + 1, F.length(F.col(t)) - o["at"]))), 1)
-
     spans = F.array_sort(F.concat(F.col(base), F.col(added)))
-    text = F.when(F.col(text_col).isNull() | (F.size(spans) == 0), F.col(text_col)).otherwise(
-        F.element_at(F.transform(F.array(spans), rebuilt), 1))
+    text = F.when(F.col(text_col).isNotNull(), let(spans, lambda s: redacted(F.col(t), s, mark)))
     return rows.withColumn(text_col, text).select(*docs.columns)
