@@ -14,9 +14,11 @@ pre-aggregated by digest in each task before the shuffle; digests that occur
 once are dropped there, and the others join the chunks (a hot digest's
 partition of chunks can be split, its partner is one row).
 
-Null text counts as empty (no chunks). An empty table gives no rows. Rows that
-share an id share their positions: equal chunks at equal places are one, and
-spans found in one row are reported for each. Other columns are ignored.
+Null text counts as empty (no chunks). An empty table gives no rows. Rows without
+id have no place in the order: they are no source and lose nothing. Rows that
+share an id are told apart by a hash of their text, in whose order they come;
+rows that repeat id and text are one document, of which each keeps the same.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,62 +69,73 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk: doc, start, length, digest (d1, d2)."""
+def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, tag, text): the tag tells rows apart that share an id; it is 0
+    when no id occurs twice, and then costs next to nothing in a shuffle."""
+    ids = docs.select(F.col(id_col).cast("long").alias("doc")).filter("doc IS NOT NULL")
+    shared = not ids.groupBy("doc").count().filter("count > 1").isEmpty()
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc"),
+                       (F.xxhash64(text) if shared else F.lit(0).cast("long")).alias("tag"), text.alias("text"))
+
+
+def chunks(rows: DataFrame) -> DataFrame:
+    """One row per chunk of the tagged rows with an id: doc, tag, start, length, digest (d1, d2)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                doc, start, size, digest = [], [], [], []
-                for i, text in zip(*(c.to_pylist() for c in part.columns)):
+                doc, tags, start, size, digest = [], [], [], [], []
+                for i, tag, text in zip(*(c.to_pylist() for c in part.columns)):
                     data = text.encode()
                     a = 0
                     for b in cuts(data):
                         doc.append(i)
+                        tags.append(tag)
                         start.append(a)
                         size.append(b - a)
                         digest.append(hashlib.blake2b(data[a:b], digest_size=16).digest())
                         a = b
                 d = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32()),
-                     pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc", "start", "length", "d1", "d2"])
+                    [pa.array(doc, pa.int64()), pa.array(tags, pa.int64()), pa.array(start, pa.int32()),
+                     pa.array(size, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())],
+                    ["doc", "tag", "start", "length", "d1", "d2"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc long, start int, length int, d1 long, d2 long")
+    return rows.filter("doc IS NOT NULL").mapInArrow(run, "doc long, tag long, start int, length int, d1 long, d2 long")
 
 
 def repeats(pieces: DataFrame) -> DataFrame:
     """The chunks that occur earlier: same columns without the digest."""
-    place = F.struct("doc", "start")
+    place = F.struct("doc", "tag", "start")
     first = pieces.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")) \
         .filter("n > 1").select("d1", "d2", "first")
-    return pieces.join(first, ["d1", "d2"]).filter(place != F.col("first")).select("doc", "start", "length")
+    return pieces.join(first, ["d1", "d2"]).filter(place != F.col("first")).select("doc", "tag", "start", "length")
 
 
 def removed_spans(repeated: DataFrame, least: int = RUN) -> DataFrame:
     """Per document: array of [start, end) byte spans to remove, from
     runs of adjacent repeats. A document's repeats are bounded by its text."""
     ordered = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop"))))
-    runs = F.aggregate(
-        F.col("parts"), F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] == p["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(
-                F.element_at(acc, -1)["start"].alias("start"), p["stop"].alias("stop")))))
-        .otherwise(F.concat(acc, F.array(p))))
-    grouped = repeated.groupBy("doc").agg(ordered.alias("parts"), F.count("*").alias("n_repeats"))
-    return grouped.select("doc", "n_repeats", F.filter(
+    # a run begins where a part does not begin at the end of the one before
+    parts = F.col("parts")
+    begins = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: (k == 0) | (
+        F.get(parts, k)["start"] != F.get(parts, k - 1)["stop"]))
+    runs = F.transform(F.col("begins"), lambda k, i: F.struct(
+        F.get(parts, k)["start"].alias("start"),
+        F.get(parts, F.coalesce(F.get(F.col("begins"), i + 1), F.size(parts)) - 1)["stop"].alias("stop")))
+    grouped = repeated.groupBy("doc", "tag").agg(ordered.alias("parts"), F.count("*").alias("n_repeats")) \
+        .withColumn("begins", begins)
+    return grouped.select("doc", "tag", "n_repeats", F.filter(
         runs, lambda s: s["stop"] - s["start"] >= least).alias("spans"))
 
 
 def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_repeats (repeated chunks),
     n_removed (bytes), n_spans, spans (start:end in bytes, comma-joined)."""
-    spans = removed_spans(repeats(chunks(docs, id_col, text_col)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"),
-                       F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"))
-    out = rows.join(spans, "doc", "left")
+    rows = tagged(docs, id_col, text_col)
+    spans = removed_spans(repeats(chunks(rows)))
+    out = rows.select("doc", "tag", F.octet_length("text").cast("long").alias("n_bytes")).join(spans, ["doc", "tag"], "left")
     cut = F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>"))
     return out.select(
         F.col("doc").alias("doc_id"), "n_bytes", F.coalesce("n_repeats", F.lit(0)).cast("long").alias("n_repeats"),
@@ -152,6 +165,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     part.column("text").to_pylist(), part.column("spans").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(texts, pa.string())], [id_col, text_col])
 
-    spans = removed_spans(repeats(chunks(docs, id_col, text_col))).select("doc", "spans")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
-    return rows.join(spans, "doc", "left").mapInArrow(run, f"`{id_col}` long, `{text_col}` string")
+    rows = tagged(docs, id_col, text_col)
+    spans = removed_spans(repeats(chunks(rows))).select("doc", "tag", "spans")
+    return rows.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans") \
+        .mapInArrow(run, f"`{id_col}` long, `{text_col}` string")
