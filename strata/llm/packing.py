@@ -9,8 +9,9 @@
    goes to the driver. All shallow combinations (at most ``DEPTH`` lengths that
    sum to exactly ``size``) are enumerated, and repeat counts x >= 0 that
    minimise |A x - histogram| are found by non-negative least squares.
-3. Pieces are dealt over pools of about ``POOL_ROWS`` rows in the order of the
-   scan, so no key decides and no pool is large. Each pool applies its share of
+3. Pieces are dealt over pools of about ``POOL_ROWS`` rows by their place in the
+   written pieces, so no key decides and no pool is large. Each pool, sorted by
+   document and start so that a task that runs again deals the same, applies its share of
    the rounded-down counts, packs the blocks that are left best-fit, and fills
    the remaining gaps with crumbs. Padding is left only where crumbs run out.
 
@@ -44,9 +45,12 @@ DEPTH = 4
 POOL_ROWS = 1 << 17
 END_ID = 1
 
-#: Units whose ids one worker keeps; beyond it the store starts afresh.
+#: Units whose ids one worker keeps (of their pre-tokens there are fewer);
+#: beyond it the store starts afresh.
 KEEP_UNITS = 1_200_000
 UNIT = re.compile(f"[^{WHITE}]+")
+#: ASCII punctuation; a run of it after letters is one pre-token.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -75,6 +79,15 @@ class UnitEncoder(MergeTable):
         self.inner = np.array([model["vocab"][c] for c in byte_alphabet()], np.int64)  # by byte
         self.final = np.array([model["vocab"][c + end] for c in byte_alphabet()], np.int64)
         self.known: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def cut(self, unit: str) -> list[str]:
+        """The pre-tokens of a lower-case unit of plain Latin text; letters and
+        then punctuation, which most units are, need no pattern."""
+        letters = unit.rstrip(PUNCTUATION)
+        if letters.isalpha():
+            return [letters, unit[len(letters):]] if len(letters) < len(unit) else [unit]
+        return self.pattern.findall(unit)
 
     def words(self, pieces: list[str]) -> list[bytes]:
         """Ids of each pre-token."""
@@ -95,11 +108,11 @@ class UnitEncoder(MergeTable):
         plain, other = [], []
         for u in units:
             (plain if self.bulk and PLAIN.fullmatch(u) and not self.special.search(u) else other).append(u)
-        cuts = [self.pattern.findall(u.lower()) for u in plain]
-        index = dict.fromkeys(chain.from_iterable(cuts))
-        if index:
-            index = dict(zip(index, self.words(list(index))))
-        get = index.get
+        cuts = [self.cut(u.lower()) for u in plain]
+        fresh = list(set(chain.from_iterable(cuts)).difference(self.tokens))
+        if fresh:
+            self.tokens.update(zip(fresh, self.words(fresh)))
+        get = self.tokens.__getitem__
         self.known.update((u, get(c[0]) if len(c) == 1 else b"".join(map(get, c))) for u, c in zip(plain, cuts))
         if other:
             self.known.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(
@@ -110,22 +123,27 @@ class UnitEncoder(MergeTable):
         # str.split also cuts at the separators 1C to 1F, which are not white space here
         units = [UNIT.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
         if len(self.known) > KEEP_UNITS:
-            self.known = {}
-        known = self.known
-        fresh = {u for t in units for u in t if u not in known}
+            self.known, self.tokens = {}, {}
+        fresh = set().union(*units).difference(self.known)
         if fresh:
             self.learn(list(fresh))
-        get = known.__getitem__
+        get = self.known.__getitem__
         return [b"".join(map(get, u)) for u in units]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> UnitEncoder:
+    """One encoder per worker process: what a task learns, the next ones know."""
+    return UnitEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int = WINDOW, grain: int = GRAIN, end_id: int = END_ID,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut every document's ids into whole sequences, a block and a crumb."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = UnitEncoder(tokenizer_path(tokenizer))
+        encoder = encoder_of(tokenizer_path(tokenizer))
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
@@ -257,6 +275,17 @@ def pack_pool(length: np.ndarray, plan, share: float, size: int, grain: int) ->
     return seq, offset
 
 
+def pack_group(group: pa.Table, plan, blocks: float, size: int, grain: int) -> pa.Table:
+    """One pool's pieces with sequence and offset, whatever order they come in."""
+    group = group.sort_by([(c, "ascending") for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
+    length = group.column("length").to_numpy()
+    share = ((length % grain == 0) & (length < size)).sum() / max(blocks, 1)
+    seq, offset = pack_pool(length, plan, share, size, grain)
+    pool = group.column("pool").to_numpy()
+    return group.drop_columns(["pool"]).append_column("sequence_id", pa.array(pool * (1 << 32) + seq, pa.int64())) \
+        .append_column("offset", pa.array(offset, pa.int64()))
+
+
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = WINDOW, grain: int = GRAIN,
          depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece with its sequence and offset."""
@@ -273,13 +302,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = WIND
     pools = max(1, -(-total // POOL_ROWS))
 
     def run(group: pa.Table) -> pa.Table:
-        length = group.column("length").to_numpy()
-        own = (length % grain == 0) & (length < size)
-        share = own.sum() / max(histogram.sum(), 1)
-        seq, offset = pack_pool(length, plan, share, size, grain)
-        pool = group.column("pool").to_numpy()
-        return group.drop_columns(["pool"]).append_column("sequence_id", pa.array(pool * (1 << 32) + seq, pa.int64())) \
-            .append_column("offset", pa.array(offset, pa.int64()))
+        return pack_group(group, plan, float(histogram.sum()), size, grain)
 
     dealt = cut.withColumn("pool", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(pools)))
     return dealt.groupBy("pool").applyInArrow(run, PIECES + ", sequence_id long, offset long")

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from .conftest import ODD
 from tokenizers import Tokenizer
 
@@ -104,3 +105,21 @@ def test_pool_without_matching_blocks():
     length = np.array([64, 64, 1, 63, 2048, 1984])
     seq, offset = P.pack_pool(length, [((1, 31), 5.0)], 1.0, 2048, 64)
     assert len(set(zip(seq, offset))) == 6 and set(seq) == set(range(seq.max() + 1))
+
+
+def test_pool_does_not_depend_on_the_order_of_arrival(rnd):
+    rows = [(rnd.randrange(50), rnd.randrange(9), rnd.choice([64, 128, 640, 1984, 2048, 3, 17, 63]), rnd.randrange(5), 9, 3)
+            for _ in range(400)]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pool"]
+    table = lambda: pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows))})
+    first = P.pack_group(table(), [((1, 31), 5.0)], 300.0, 2048, 64)
+    rnd.shuffle(rows)
+    assert P.pack_group(table(), [((1, 31), 5.0)], 300.0, 2048, 64).equals(first)
+
+
+def test_cut_of_units_equals_the_pattern(rnd):
+    encoder = P.encoder_of(P.tokenizer_path("word_bpe_49k.json"))
+    units = ["word", "word.", "don't", "'s", "it's.", "a's!?", "x1", "1.5,", "...", "é,", "ñ's", "_a_", "a-b", "word\u2019s", "!a", "a''"]
+    units += ["".join(rnd.choice("ab'st1.,-é") for _ in range(rnd.randrange(1, 8))) for _ in range(3000)]
+    for u in units:
+        assert encoder.cut(u) == encoder.pattern.findall(u), u
