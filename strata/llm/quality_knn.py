@@ -37,6 +37,8 @@ WORDS, SHAPES, BINS = 1024, 512, 16
 TERMS = WORDS + SHAPES + 4 * BINS
 #: Tokens whose terms one worker keeps; beyond it the store starts afresh.
 KEEP_TOKENS = 600_000
+#: Characters of a token at most; what is longer is several.
+PIECE = 64
 BLOCK = 512
 
 UPPER, LOWER_, DIGIT = re.compile(r"[^\W\d_a-zà-öø-ÿ]+"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
@@ -47,7 +49,16 @@ def shape(token: str) -> str:
     characters as they are: "Ab3!!" gives "Aa0!!"."""
     token = DIGIT.sub("0", token)
     token = UPPER.sub("\x01", token)
-    return LOWER_.sub("a", token).replace("\x01", "A")[:24]
+    return LOWER_.sub("a", token).replace("\x01", "A")
+
+
+def tokens_of(text: str) -> list[str]:
+    """Tokens between white space; longer ones in pieces of PIECE characters,
+    each a token, so all of a text without blanks is measured."""
+    tokens = text.split()
+    if max(map(len, tokens), default=0) <= PIECE:
+        return tokens
+    return [t[i:i + PIECE] for t in tokens for i in range(0, len(t), PIECE)]
 
 
 class Terms:
@@ -68,7 +79,7 @@ class Terms:
         out = np.zeros((len(texts), TERMS), np.float32)
         get, learn = self.known.get, self.learn
         for row, t in zip(out, texts):
-            tokens = t.split()
+            tokens = tokens_of(t)
             codes = np.array([c if (c := get(x)) is not None else learn(x) for x in tokens], np.int64)
             n = len(codes)
             lines = t.split("\n")

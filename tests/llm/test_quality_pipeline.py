@@ -89,3 +89,30 @@ def test_stage_cases(spark, odd_docs, no_docs, stage):
     assert out.columns == odd_docs.columns and out.count() <= len(ODD)
     extra = no_docs.withColumns({c: odd_docs[c] for c in ()})
     assert stage[1](spark, extra, SF).count() == 0
+
+
+def test_votes_equal_a_plain_count():
+    """Neighbours, ties and weights on given vectors, one by one."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (80, Q.TERMS)).astype(np.float32) * (rng.random((80, Q.TERMS)) < .02)
+    x[40:60] = x[:20]  # equal vectors tie
+    y = rng.integers(0, 2, 80)
+    voters = Q.Voters(x[:70], y[:70])
+    latent = voters.latent(x)
+    got = voters.score(x)
+    for i in range(80):
+        cos = [float(latent[i] @ v) for v in voters.v]
+        last = sorted(cos, reverse=True)[Q.NEIGHBOURS - 1]
+        votes = [(max(c, 0.0) ** Q.POWER, label) for c, label in zip(cos, y[:70]) if c >= last - 1e-6]
+        total = sum(w for w, _ in votes)
+        want = sum(w * label for w, label in votes) / total if total else 0.5
+        assert abs(got[i] - want) < 1e-3, i
+
+
+def test_long_tokens_are_measured_whole():
+    """A text without blanks: what follows its beginning changes its terms."""
+    head = "ab.!" * 40
+    assert Q.tokens_of("one two") == ["one", "two"] and "".join(Q.tokens_of(head)) == head
+    a, b = Q.Terms().vectors([head + "tail" * 50, head + "#7%" * 60])
+    shapes = slice(Q.WORDS, Q.WORDS + Q.SHAPES)
+    assert not np.allclose(a[shapes], b[shapes])
