@@ -10,10 +10,12 @@ where the shift is zero, and a prefix test plus a direct comparison of the
 bytes confirm them. Many stretches of the buffer are searched in lock step, so
 each step is a handful of numpy calls.
 
-The benchmark is the stated query set. It is read in blocks of at most about
-``BLOCK_BYTES`` (by a hash of the row), each block's tables are broadcast, and
-the documents are passed once per block; spans and items add up, so nothing
-depends on the number of blocks. Documents are never shuffled.
+The benchmark is the stated query set. Its distinct rows are read in blocks of
+about ``BLOCK_BYTES`` (by a hash of the row; an item longer than that is a block
+by itself), each block's tables are broadcast, and the documents are passed once
+per block; spans and items add up, so nothing depends on the number of blocks.
+One block's tables stand at a time: what a pass has found is written before the
+next block is read. Documents are never shuffled.
 
 Null or wordless text: no words, not contaminated. An empty benchmark
 contaminates nothing. Repeated items are one pattern with several ids; an item
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.materialize import materialize
 from .common import byte_table, slices, text_or_empty
 
 #: Benchmark bytes whose tables are broadcast at a time.
@@ -171,7 +174,7 @@ class Patterns:
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str):
     """The items in blocks of about BLOCK_BYTES: lists of (id, text)."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"),
-                            text_or_empty(text_col).alias("text"))
+                            text_or_empty(text_col).alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     for k in range(n):
@@ -194,7 +197,11 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: s
     out = docs.withColumns({words: F.lit(0).cast("long"), spans: F.array().cast("array<int>"),
                             items: F.array().cast("array<string>")})
     spark = docs.sparkSession
+    patterns = None
     for block in item_blocks(benchmark, item_id, item_text):
+        if patterns is not None:
+            out = materialize(out, "scanned")
+            patterns.destroy()
         patterns = spark.sparkContext.broadcast(Patterns(block, window))
 
         def run(batches, patterns=patterns):
