@@ -111,11 +111,19 @@ def column_edges(target: DataFrame, target_name: str, sources: dict[str, DataFra
     that are not put out) are not among them. A column built from constants has
     no edges."""
     known: dict[int, list[tuple[str, str]]] = {}
-    for name, df in sources.items():
-        out = df._jdf.queryExecution().analyzed().output()
+    plans = {name: df._jdf.queryExecution().analyzed() for name, df in sources.items()}
+
+    def is_source(plan, name: str) -> None:
+        out, names = plan.output(), plans[name].output()
         for i in range(out.size()):
-            known.setdefault(out.apply(i).exprId().id(), []).append((name, out.apply(i).name()))
+            places = known.setdefault(out.apply(i).exprId().id(), [])
+            if (name, names.apply(i).name()) not in places:
+                places.append((name, names.apply(i).name()))
+
+    for name, plan in plans.items():
+        is_source(plan, name)
     made: dict[int, set[int]] = {}
+    united: set[int] = set()
 
     def ids(attributes) -> set[int]:
         it, found = attributes.iterator(), set()
@@ -125,9 +133,13 @@ def column_edges(target: DataFrame, target_name: str, sources: dict[str, DataFra
 
     def walk(plan) -> None:
         kind, children = plan.getClass().getSimpleName(), plan.children()
+        for name, source in plans.items():  # a frame used twice occurs with other ids
+            if plan.output().size() == source.output().size() and plan.sameResult(source):
+                is_source(plan, name)
         if kind == "Union":  # by position; the first child's ids may go on
             out = plan.output()
             for i in range(out.size()):
+                united.add(out.apply(i).exprId().id())
                 made.setdefault(out.apply(i).exprId().id(), set()).update(
                     children.apply(c).output().apply(i).exprId().id() for c in range(children.size()))
         elif kind == "Generate":
@@ -152,9 +164,8 @@ def column_edges(target: DataFrame, target_name: str, sources: dict[str, DataFra
             if a in seen:
                 continue
             seen.add(a)
-            if a in known:
-                rows += [(*place, target_name, out.apply(i).name()) for place in known[a]]
-            else:
+            rows += [(*place, target_name, out.apply(i).name()) for place in known.get(a, ())]
+            if a not in known or a in united:
                 open_ += made.get(a, ())
     return target.sparkSession.createDataFrame(
         sorted(set(rows)), "source_table string, source_column string, target_table string, target_column string")
@@ -176,7 +187,7 @@ def lineage_upstream(spark: SparkSession, edges_view: str, table: str) -> DataFr
         found = materialize(found.withColumn("depth", F.lit(depth)), "lineage")
         if found.isEmpty():
             return seen
-        seen = materialize(seen.unionByName(found), "lineage")
+        seen = seen.unionByName(found)  # of written tables, one per round
         frontier = found.select(F.col("ancestor").alias("node"))
 
 

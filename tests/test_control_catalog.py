@@ -251,3 +251,9 @@ def test_landing_that_changed_is_refused_or_reloaded(spark, tmp_path):
     assert checked_landing(store, now(), "b1", "reload") == "b1.r2"
     frames = spark.createDataFrame([(1,)], "k int")  # a landing without files has no ledger
     assert checked_landing(store, landing_files(frames, "sales", "b3"), "b3", "refuse") == "b3"
+
+
+def test_runs_of_the_newest_batch(spark):
+    c = _rec(spark, [("silver", "sales", "SUCCESS", 10, 100, 1), ("gold", "sales", "SUCCESS", 5, 90, 2)])
+    c.createOrReplaceTempView("control_runs")
+    assert [tuple(r)[1:] for r in R.latest_batch_runs(spark, "control_runs").collect()] == [(90, 90, 2)]
