@@ -23,6 +23,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -119,7 +120,17 @@ class UnitEncoder(MergeTable):
                 other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text. Millions of strings and
+        small lists come and go, none of them in a cycle: collection waits."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         # str.split also cuts at the separators 1C to 1F, which are not white space here
         units = [UNIT.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
         if len(self.known) > KEEP_UNITS:
