@@ -10,21 +10,21 @@ miss. Generators with a high recall propose candidates, which may overlap. A
 candidate is described by small integers: format (digits, groups, separators,
 letters) and context (neighbouring characters, words before it). What the base
 tests decide by (Luhn, the bound of 255, the plus sign, the dots of a domain) is
-withheld, so that the trees can't repeat them. Boosted trees learn, on a sample
+withheld, so that the trees can't repeat them. Boosted trees learn, on all texts
 of the corpus itself, which candidates hold a base span; a generator's threshold
 is the least score from which, on texts the trees have not seen, at least
 ``PRECISION`` of the candidates do. Candidates above it without a base span
 are the added spans. A number that looks like a card but fails Luhn's test is
 left alone where such numbers are as frequent as cards.
 
-Training is an aggregation per tree level over the sample's distinct feature
-rows: gradients are summed by (node, feature, value), and only these sums, a
+Training is an aggregation per tree level over the corpus' distinct feature
+rows, counted by texts in one pass: gradients are summed by (node, feature, value), and only these sums, a
 number fixed by the parameters, reach the driver. They are whole numbers, so the
 trees are the same whatever the partitioning. The trees are then an expression.
 
 Built-in functions only; whole texts stay in the JVM, nothing is shuffled but the
-sample's features. Positions are code points, end exclusive. Null text counts as
-empty (no spans); an empty table gives no rows; without base spans in the sample
+candidates' features. Positions are code points, end exclusive. Null text counts as
+empty (no spans); an empty table gives no rows; without base spans in the corpus
 nothing is added; repeated rows are scanned each by itself (and learned from
 once); rows without id are scanned like others; other columns are ignored, or
 pass through ``redact`` untouched.
@@ -79,8 +79,6 @@ DECOYS = r"(?i)\b(?:version|order|invoice|ref|isbn|sku|id|no|nr|number|token|has
 #: Values of a feature: 0 to LEVELS - 1.
 LEVELS = 16
 
-#: At most about so many documents are learned from.
-SAMPLE = 20_000
 TREES, DEPTH, RATE = 8, 3, 0.5
 #: Share of the candidates that must hold a base span above a threshold, and the
 #: least number of candidates that a threshold is set by.
@@ -215,14 +213,15 @@ class Model:
         return F.when(least > 1, F.lit(False)).otherwise(~c["y"] & (self.score(c["f"]) >= least))
 
 
-def examples(docs: DataFrame, text_col: str, sample: int) -> DataFrame:
-    """(f, y, held, w): distinct feature rows of the sample's candidates with
-    the number of texts that have them. The sample is chosen by a hash of the
-    text, so copies are in it together, and count once."""
+def examples(docs: DataFrame, text_col: str, sample: int | None = None) -> DataFrame:
+    """(f, y, held, w): distinct feature rows of all candidates with the number
+    of texts that have them. Copies, told by a hash of the text, count once.
+    With ``sample``, only of about so many documents, chosen by that hash."""
     rows = docs.select(text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    share = min(1.0, sample / max(docs.count(), 1))
-    chosen = rows.filter(F.pmod("h", F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    found = chosen.select("h", F.explode(candidates(F.col("text"))).alias("c")).select("h", "c.f", "c.y")
+    if sample is not None:
+        share = min(1.0, sample / max(docs.count(), 1))
+        rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    found = rows.select("h", F.explode(candidates(F.col("text"))).alias("c")).select("h", "c.f", "c.y")
     held = F.pmod(F.shiftrightunsigned("h", 20), F.lit(FOLDS)) == 0
     return found.distinct().groupBy("f", "y", held.alias("held")).agg(F.count("*").alias("w"))
 
@@ -288,9 +287,9 @@ def thresholds(rows: DataFrame, model: Model, precision: float, support: int) ->
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION,
+def fit(docs: DataFrame, text_col: str = "text", sample: int | None = None, precision: float = PRECISION,
         support: int = SUPPORT) -> Model:
-    """Trees and thresholds learned from a sample of about ``sample`` rows."""
+    """Trees and thresholds learned from all rows (of about ``sample``, if given)."""
     rows = materialize(examples(docs, text_col, sample), "candidates")
     learned, held = rows.filter(~F.col("held")), rows.filter("held")
     n, y = learned.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("y"), F.col("w"))), F.lit(0))).first()
