@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 1_000_000
 # Plan-statistics bound under which no counting job is needed.
 DEFAULT_BROADCAST_BYTES = 8 * 1024 * 1024
+# Input (compressed columns) behind one shuffle partition.
+PARTITION_BYTES = 8 * 1024 * 1024
+# Sizes from here on are Spark's stand-in for an unknown one.
+UNKNOWN_BYTES = 1 << 60
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -21,6 +25,25 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Size of all that a plan reads (its leaves, from file statistics); None
+    where a leaf has no known size."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    except AttributeError:  # not a classic JVM session: no estimate
+        return None
+    return sum(sizes) if all(s < UNKNOWN_BYTES for s in sizes) else None
+
+
+def partitions_for(df: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
+    """Shuffle partitions for work on all rows of ``df``: as many as the session
+    has, and more when the input is larger than ``bytes_each`` for each, so that
+    a task's share doesn't grow with the input."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-(input_bytes(df) or 0) // bytes_each))
+
+
 def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
              max_bytes: int = DEFAULT_BROADCAST_BYTES, count: bool = True) -> bool:
     """True when ``df`` is provably under both bounds: the plan estimate first,

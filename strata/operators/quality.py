@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .joins import bounded_broadcast
+from .joins import bounded_broadcast, partitions_for
 
 # The quarantine table layout.
 QUARANTINE_SCHEMA = (
@@ -181,7 +181,7 @@ def channel_checks(df: DataFrame) -> DataFrame:
 def quarantine_records(df: DataFrame, source_table: str, target_table: str, batch_id: str,
                        error_code: Column | str, error_description: Column | str,
                        dq_rule_name: Column | str | None = None, is_known_rule: bool = True,
-                       batch_ts: str | None = None) -> DataFrame:
+                       batch_ts: str | None = None, place: Column | None = None) -> DataFrame:
     """Rows in the 14-column quarantine layout.
 
     ``record_data`` is the whole row as JSON with nulls kept, so the row can be
@@ -189,19 +189,22 @@ def quarantine_records(df: DataFrame, source_table: str, target_table: str, batc
     it is an audit column). ``quarantine_id`` is a hash of batch, target, code,
     record, input partition and occurrence among equal records there: unique,
     and the same when a task is tried again. The partition also spreads a
-    record that a third of the rows repeat.
+    record that a third of the rows repeat. Rows of a stored table need no such
+    numbering, for which whole records are shuffled and sorted: ``place`` (see
+    ``materialize.stored_place``) then tells equal records apart.
     """
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    payload = [c for c in df.columns if c not in ("_dq_code", "_violations")]
+    payload = [c for c in df.columns if c not in ("_dq_code", "_violations", "_place")]
     rec = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})
     ts = F.to_timestamp(F.lit(batch_ts)) if batch_ts else F.current_timestamp()
     code = lit(error_code)
     equal = Window.partitionBy("_place", "error_code", "record_data").orderBy(F.lit(1))
+    nth = F.row_number().over(equal) if place is None else F.lit(1)
     return (df.select(rec.alias("record_data"), code.alias("error_code"),
                       lit(error_description).alias("error_description"),
                       lit(dq_rule_name if dq_rule_name is not None else error_code).alias("dq_rule_name"),
-                      F.spark_partition_id().alias("_place"))
-            .withColumn("_nth", F.row_number().over(equal))
+                      (F.spark_partition_id() if place is None else place).alias("_place"))
+            .withColumn("_nth", nth)
             .select(
                 F.sha2(F.concat_ws("|", F.lit(batch_id), F.lit(target_table), "error_code", "record_data",
                                    F.col("_place").cast("string"), F.col("_nth").cast("string")),
@@ -227,10 +230,20 @@ def mark_as_reprocessed(quarantine: DataFrame, ids: DataFrame, batch_id: str,
                         batch_ts: str | None = None) -> DataFrame:
     """New quarantine table with the given ids marked (write it with a staged
     replace). ``ids`` has a ``quarantine_id`` column; a left join on it
-    scales with both sides (no driver-side id list)."""
-    hit = ids.select("quarantine_id").distinct().withColumn("_hit", F.lit(True))
+    scales with both sides (no driver-side id list). Ids of 64 hex digits meet
+    as their 32 bytes, others as they are; the ids' partitions, and with them
+    the join's, are as many as their input asks for. A null id marks nothing:
+    it becomes a key that no record has, as a test for null would compute every
+    id once more."""
+    name = F.col("quarantine_id")
+    digest = name.rlike("^[0-9a-f]{64}$")
+    keys = {"_packed": F.when(digest, F.unhex(name)).otherwise(F.lit(b"")),
+            "_other": F.when(digest, "").otherwise(F.concat(F.lit("="), name))}
+    hit = ids.select(*(F.coalesce(e, F.lit(b"" if k == "_packed" else "")).alias(f"{k}_hit") for k, e in keys.items()))
+    hit = hit.repartition(partitions_for(ids), *hit.columns).distinct().withColumn("_hit", F.lit(True))
     ts = F.to_timestamp(F.lit(batch_ts)) if batch_ts else F.current_timestamp()
-    j = quarantine.join(hit, "quarantine_id", "left")
+    same = [F.col(k) == F.col(f"{k}_hit") for k in keys]
+    j = quarantine.withColumns(keys).join(hit, same, "left")
     h = F.coalesce(F.col("_hit"), F.lit(False))
     return j.select(
         *[c for c in quarantine.columns if c not in ("reprocessed", "reprocess_batch_id", "updated_at")],

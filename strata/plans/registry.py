@@ -18,7 +18,7 @@ from ..operators import quality as Q
 from ..operators import star as ST
 from ..operators.control import latest_batch_counts
 from ..operators.joins import bounded_broadcast
-from ..operators.materialize import materialize
+from ..operators.materialize import materialize, stored_place
 from ..sources import driver as D
 from ..sources.driver import REFERENCE_KEY
 from . import marts
@@ -336,9 +336,9 @@ def _defective(spark, sf_dir, channels: bool = True):
     return d, Q.apply_dq_sales(bronze, channels=d.layers.silver_channels if channels else None, years=_BAD_YEARS)
 
 
-def _quarantined(bad):
+def _quarantined(bad, place=None):
     return Q.quarantine_records(bad, "bronze_beverage_sales", "silver_beverage_sales", BATCH_ID,
-                                F.col("_dq_code"), Q.rule_description(F.col("_dq_code")), batch_ts=BATCH_TS)
+                                F.col("_dq_code"), Q.rule_description(F.col("_dq_code")), batch_ts=BATCH_TS, place=place)
 
 
 @register("d3_d4_sales_rules", _BAD_SQL + "\nSELECT dq_code, COUNT(*) AS rows FROM c GROUP BY dq_code")
@@ -824,8 +824,9 @@ def d7_d9_reprocess_status(spark, sf_dir):
     replay are marked reprocessed."""
     d = _dom(spark, sf_dir)
     dq = Q.apply_dq_sales(d.layers.bronze_sales, channels=d.layers.silver_channels)
-    # handed over: an id depends on where a record lies, and two passes may lay them out differently
-    q = materialize(_quarantined(dq.filter(F.col("_dq_code").isNotNull())), "quarantine")
+    # the failing rows are handed over: an id depends on where a record lies, which must be the same in both passes
+    bad = materialize(dq.filter(F.col("_dq_code").isNotNull()), "bad_sales", compression="zstd")
+    q = _quarantined(bad, stored_place())
     released = Q.pending_reprocess(q).filter(F.col("error_code") == "DQ_SALES_006").select("quarantine_id")
     marked = Q.mark_as_reprocessed(q, released, SECOND_BATCH_ID, SECOND_BATCH_TS)
     return marked.groupBy("error_code", "reprocessed", "reprocess_batch_id").agg(F.count(F.lit(1)).alias("rows"))

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.operators import cdc, metrics as M, quality as Q, star as S
+from strata.operators.joins import input_bytes, partitions_for
+from strata.operators.materialize import materialize, stored_place
 
 
 def test_not_null_split(spark):
@@ -245,3 +247,33 @@ def test_q22_history_replay_keeps_newest_version(spark):
     silver = cdc.merged_table(cdc.merge(v2, v1))
     again = cdc.merged_table(cdc.merge(v1.unionByName(v2), silver))
     assert [r["v"] for r in again.collect()] == ["v2"]
+
+
+def test_quarantine_ids_of_a_stored_table(spark):
+    """Equal records of a stored table are told apart by their places, without a shuffle of records."""
+    rows = spark.createDataFrame([("a", None, 3)] * 5 + [("b", "c", 4)], "x string, y string, z int").repartition(3)
+    stored = materialize(rows, "rows", compression="zstd")
+    q = Q.quarantine_records(stored, "src", "tgt", "b1", "E1", "desc", batch_ts="2024-01-01 00:00:00", place=stored_place())
+    assert "Exchange" not in q._jdf.queryExecution().executedPlan().toString()
+    assert len(q.columns) == 14 and q.select("quarantine_id").distinct().count() == 6
+    assert sorted(q.select("quarantine_id").collect()) == sorted(q.repartition(2).select("quarantine_id").collect())
+    assert Q.replay(q, rows.schema).drop("quarantine_id").groupBy("x").count().orderBy("x").collect() == [("a", 5), ("b", 1)]
+    marked = Q.mark_as_reprocessed(q, q.filter(F.col("record_data").contains('"a"')).select("quarantine_id"), "b2")
+    assert marked.filter("reprocessed").count() == 5 and marked.count() == 6
+
+
+def test_marked_ids_of_any_form(spark):
+    ids = ["ab" * 32, "AB" * 32, "ab" * 31, "", "é", None, "cd" * 32]
+    names = [c.split()[0] for c in Q.QUARANTINE_SCHEMA.split(", ")]
+    rows = [tuple(i if n == "quarantine_id" else False if n == "reprocessed" else None for n in names) for i in ids]
+    marks = spark.createDataFrame([(i,) for i in [*ids[:6], *ids[:6]]], "quarantine_id string")
+    got = Q.mark_as_reprocessed(spark.createDataFrame(rows, Q.QUARANTINE_SCHEMA), marks, "b2").collect()
+    assert {r["quarantine_id"] for r in got if r["reprocessed"]} == {*ids[:5]} and len(got) == len(ids)
+
+
+def test_partitions_follow_the_input(spark):
+    stored = materialize(spark.range(100_000), "ids")
+    size = input_bytes(stored)
+    assert size and partitions_for(stored.filter("id > 3"), size // 20) >= 20
+    assert partitions_for(stored) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitions_for(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) == partitions_for(stored)
