@@ -196,6 +196,18 @@ def dq_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("passed").agg(F.count(F.lit(1)).alias("tests"))
 
 
+def last_batches(history: DataFrame, column: str, batch_col: str = "_batch_id",
+                 ts_col: str = "_ingestion_timestamp") -> DataFrame:
+    """Newest batch (by load time) and number of batches per value of ``column``.
+
+    A text in an aggregate's result makes Spark sort all rows by group. So the
+    rows are first hashed down to one per value and batch with its last load
+    time; ``max_by`` runs over these."""
+    loads = history.groupBy(column, batch_col).agg(F.max(ts_col).alias("_loaded"))
+    return loads.groupBy(column).agg(F.max_by(batch_col, "_loaded").alias("last_batch_id"),
+                                     F.count_distinct(batch_col).alias("batches"))
+
+
 def retention_split(df: DataFrame, layer: str, date_col: str = "_ingestion_date",
                     today: str | None = None) -> DataFrame:
     """Label rows keep / archive / drop by age; a filter on the label prunes

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strata.operators import cdc, metrics as M, quality as Q, star as S
+from strata.operators import catalog as CAT, cdc, metrics as M, quality as Q, star as S
 from strata.operators.joins import input_bytes, partitions_for
 from strata.operators.materialize import materialize, stored_place
 
@@ -277,3 +277,17 @@ def test_partitions_follow_the_input(spark):
     assert size and partitions_for(stored.filter("id > 3"), size // 20) >= 20
     assert partitions_for(stored) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert partitions_for(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) == partitions_for(stored)
+
+
+def test_last_batches_without_a_sort_of_rows(spark):
+    rows = [("N", "b1", "2024-01-01"), ("N", "b2", "2024-01-03"), ("N", "b1", "2024-01-02"), ("N", None, "2024-01-02"),
+            ("N", "b3", None), (None, "b1", "2024-01-01"), ("S", None, "2024-01-01"), ("E", "b1", None)]
+    df = spark.createDataFrame(rows, "region string, _batch_id string, t string") \
+        .select("region", "_batch_id", F.col("t").cast("timestamp").alias("_ingestion_timestamp"))
+    got = CAT.last_batches(df, "region")
+    assert {tuple(r) for r in got.collect()} == {("N", "b2", 3), (None, "b1", 1), ("S", None, 0), ("E", None, 1)}
+    plain = df.groupBy("region").agg(F.max_by("_batch_id", "_ingestion_timestamp"), F.count_distinct("_batch_id"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in plain.collect()}
+    lines = CAT.last_batches(df, "region")._jdf.queryExecution().executedPlan().toString().splitlines()
+    rowwise = [line for line in lines if "partial_max(_ingestion_timestamp" in line]
+    assert len(rowwise) == 1 and "HashAggregate" in rowwise[0]
