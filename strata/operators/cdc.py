@@ -12,6 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import partitions_for
+
+# Slots of a key report per shuffle partition: many, so partitions are alike.
+# Input behind a partition: less than for a join, as every row is counted per key.
+SLOTS, KEY_BYTES = 16, 4 * 1024 * 1024
 # Merge actions.
 INSERT, UPDATE, UNCHANGED, STALE, KEEP = "insert", "update", "unchanged", "stale", "keep"
 
@@ -47,12 +52,27 @@ def key_report(df: DataFrame, key_columns: list[str] | str) -> DataFrame:
 
 
 def key_reports(df: DataFrame, keys: dict[str, list[str] | str]) -> DataFrame:
-    """The same for several candidate keys, still in one pass over ``df``."""
+    """The same for several candidate keys, still in one pass over ``df``.
+
+    Distinct values take memory for every one that a task sees, so the tasks
+    are as many as the input asks for, whatever the session's shuffle
+    partitions. First each map task's rows are dealt into slots (a hash of map
+    task and keys, so a hot key is in many) and counted per slot, then the
+    counts meet by key: a key comes once per slot at most, however hot it is.
+    """
     names = list(keys)
     cols = [[k] if isinstance(k, str) else list(k) for k in keys.values()]
-    distinct = [F.count_distinct(F.struct(*c) if len(c) > 1 else F.col(c[0])).alias(f"_d{i}")
-                for i, c in enumerate(cols)]
-    one = df.agg(F.count(F.lit(1)).alias("total_rows"), *distinct)
+    n = partitions_for(df, KEY_BYTES)
+    ks = [f"_k{i}" for i in range(len(cols))]
+    slot = F.pmod(F.xxhash64(F.spark_partition_id(), *dict.fromkeys(c for k in cols for c in k)), F.lit(SLOTS * n))
+    rows = df.select(slot.alias("_slot"), *((F.struct(*c) if len(c) > 1 else F.col(c[0])).alias(k) for k, c in zip(ks, cols))) \
+        .repartition(n, "_slot")
+    each = rows.select("_slot", F.explode(F.array(*map(F.lit, range(len(ks))))).alias("_key"), *ks) \
+        .select("_slot", "_key", *(F.when(F.col("_key") == i, F.col(k)).alias(k) for i, k in enumerate(ks)))
+    met = each.groupBy("_slot", "_key", *ks).agg(F.count(F.lit(1)).alias("_n")) \
+        .repartition(n, "_key", *ks).groupBy("_key", *ks).agg(F.sum("_n").alias("_n"))
+    distinct = [F.count(k).alias(f"_d{i}") for i, k in enumerate(ks)]
+    one = met.agg(F.coalesce(F.sum(F.when(F.col("_key") == 0, F.col("_n"))), F.lit(0)).alias("total_rows"), *distinct)
     rows = F.array(*[F.struct(F.lit(n).alias("key_name"), "total_rows", F.col(f"_d{i}").alias("distinct_keys"))
                      for i, n in enumerate(names)])
     return (one.select(F.explode(rows).alias("r")).select("r.*")

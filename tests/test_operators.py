@@ -291,3 +291,21 @@ def test_last_batches_without_a_sort_of_rows(spark):
     lines = CAT.last_batches(df, "region")._jdf.queryExecution().executedPlan().toString().splitlines()
     rowwise = [line for line in lines if "partial_max(_ingestion_timestamp" in line]
     assert len(rowwise) == 1 and "HashAggregate" in rowwise[0]
+
+
+def test_key_reports_deal_out_by_input(spark, monkeypatch):
+    """Tasks follow the input, a hot key is counted in many of them, and nulls count as before."""
+    asked = []
+    monkeypatch.setattr(cdc, "partitions_for", lambda df, each: asked.append(each) or 37)
+    hot = spark.range(0, 6000, 1, 4).select(
+        F.when(F.col("id") % 3 > 0, 7).when(F.col("id") > 30, F.col("id")).alias("k"),
+        F.when(F.col("id") % 2 == 0, (F.col("id") % 5).cast("string")).alias("a"), (F.col("id") % 3).alias("b"))
+    plain = hot.agg(F.count(F.lit(1)), F.count_distinct("k"), F.count_distinct(F.struct("a", "b")), F.count_distinct("a")).first()
+    report = cdc.key_reports(hot, {"one": "k", "two": ["a", "b"], "three": "a"})
+    got = {r["key_name"]: (r["total_rows"], r["distinct_keys"], r["duplicate_rows"]) for r in report.collect()}
+    assert got == {name: (6000, d, 6000 - d) for name, d in zip(("one", "two", "three"), plain[1:])}
+    assert asked == [cdc.KEY_BYTES] and report._jdf.queryExecution().executedPlan().toString().count(", 37), REPARTITION_BY_NUM") >= 2
+    empty = cdc.key_reports(hot.filter("b > 5"), {"one": "k", "two": ["a", "b"]})
+    assert [tuple(r) for r in empty.collect()] == [("one", 0, 0, 0), ("two", 0, 0, 0)]
+    assert report.columns == ["key_name", "total_rows", "distinct_keys", "duplicate_rows"]
+    assert dict(report.dtypes)["total_rows"] == dict(report.dtypes)["distinct_keys"] == "bigint"
