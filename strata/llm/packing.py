@@ -46,13 +46,16 @@ DEPTH = 4
 POOL_ROWS = 1 << 17
 END_ID = 1
 
-#: Units whose ids one worker keeps (of their pre-tokens there are fewer);
-#: beyond it the store starts afresh.
-KEEP_UNITS = 1_200_000
+#: Units whose ids one worker keeps (about 130 bytes each; it has them until it
+#: ends), and their characters and id bytes, which count where units are long;
+#: beyond either the store starts afresh, which costs time but changes no result.
+KEEP_UNITS, KEEP_BYTES = 900_000, 32 << 20
+#: Text bytes encoded at a time; their units are held besides the stores.
+SLICE = 2 << 20
 UNIT = re.compile(f"[^{WHITE}]+")
 #: ASCII punctuation; a run of it after letters is one pre-token.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SEPARATORS = re.compile(r"[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -80,7 +83,7 @@ class UnitEncoder(MergeTable):
         self.inner = np.array([model["vocab"][c] for c in byte_alphabet()], np.int64)  # by byte
         self.final = np.array([model["vocab"][c + end] for c in byte_alphabet()], np.int64)
         self.known: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.held = 0
 
     def cut(self, unit: str) -> list[str]:
         """The pre-tokens of a lower-case unit of plain Latin text; letters and
@@ -107,13 +110,20 @@ class UnitEncoder(MergeTable):
 
     def learn(self, units: list[str]) -> None:
         plain, other = [], []
+        special = self.special.search("\n".join(units))
         for u in units:
-            (plain if self.bulk and PLAIN.fullmatch(u) and not self.special.search(u) else other).append(u)
+            (plain if self.bulk and (u.isascii() and u.isprintable() or PLAIN.fullmatch(u))
+             and not (special and self.special.search(u)) else other).append(u)
         cuts = [self.cut(u.lower()) for u in plain]
-        fresh = list(set(chain.from_iterable(cuts)).difference(self.tokens))
+        known, made, fresh = self.known, {}, []
+        for p in set(chain.from_iterable(cuts)):
+            if p in known and p.isalpha():  # a word that was a unit: no other pre-token, no special token
+                made[p] = known[p]
+            else:
+                fresh.append(p)
         if fresh:
-            self.tokens.update(zip(fresh, self.words(fresh)))
-        get = self.tokens.__getitem__
+            made.update(zip(fresh, self.words(fresh)))
+        get = made.__getitem__
         self.known.update((u, get(c[0]) if len(c) == 1 else b"".join(map(get, c))) for u, c in zip(plain, cuts))
         if other:
             self.known.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(
@@ -132,13 +142,15 @@ class UnitEncoder(MergeTable):
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         # str.split also cuts at the separators 1C to 1F, which are not white space here
-        units = [UNIT.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self.known) > KEEP_UNITS:
-            self.known, self.tokens = {}, {}
-        fresh = set().union(*units).difference(self.known)
-        if fresh:
-            self.learn(list(fresh))
+        a, b, c, d = SEPARATORS
+        units = [UNIT.findall(t) if a in t or b in t or c in t or d in t else t.split() for t in texts]
+        if len(self.known) > KEEP_UNITS or self.held > KEEP_BYTES:
+            self.known, self.held = {}, 0
+        fresh = list(set().union(*units).difference(self.known))
         get = self.known.__getitem__
+        if fresh:
+            self.learn(fresh)
+            self.held += sum(map(len, fresh)) + sum(map(len, map(get, fresh)))
         return [b"".join(map(get, u)) for u in units]
 
 
@@ -156,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = WINDOW, grain: int = GRA
     def run(batches):
         encoder = encoder_of(tokenizer_path(tokenizer))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 rows = []
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                     ids += end

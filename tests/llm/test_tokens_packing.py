@@ -1,5 +1,6 @@
 """Token counts and packing against the library and exact round trips."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -123,3 +124,38 @@ def test_cut_of_units_equals_the_pattern(rnd):
     units += ["".join(rnd.choice("ab'st1.,-é") for _ in range(rnd.randrange(1, 8))) for _ in range(3000)]
     for u in units:
         assert encoder.cut(u) == encoder.pattern.findall(u), u
+
+
+def test_a_worker_keeps_a_bounded_store(rnd):
+    """Texts of ever new words, as much as an executor's two workers can hold beside its JVM."""
+    encoder = P.UnitEncoder(P.tokenizer_path("word_bpe_49k.json"))
+    tracemalloc.start()
+    try:
+        for _ in range(11):
+            encoder.encode([" ".join("".join(rnd.choices("abdeinorst", k=8)) for _ in range(800)) for _ in range(100)])
+        kept, most = (x / 1e6 for x in tracemalloc.get_traced_memory())
+    finally:
+        tracemalloc.stop()
+    assert kept < 140 and most < 215, (kept, most)
+
+
+def test_a_worker_keeps_few_long_units(rnd):
+    """Scripts without blanks: a unit is a whole line."""
+    encoder = P.UnitEncoder(P.tokenizer_path("word_bpe_49k.json"))
+    tracemalloc.start()
+    try:
+        for _ in range(16):
+            encoder.encode([" ".join("".join(map(chr, (rnd.randrange(0x4E00, 0x9000) for _ in range(300)))) for _ in range(1100))])
+        kept = tracemalloc.get_traced_memory()[0] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert kept < 60, kept
+
+
+def test_encoder_restarts_without_change(monkeypatch, rnd, rows_of):
+    texts = [t for _, t in rows_of[:40]] + _odd_texts(rnd)[:200]
+    encoder = P.UnitEncoder(P.tokenizer_path("word_bpe_49k.json"))
+    want = encoder.encode(texts)
+    monkeypatch.setattr(P, "KEEP_UNITS", 50)
+    again = P.UnitEncoder(P.tokenizer_path("word_bpe_49k.json"))
+    assert [again.encode([t])[0] for t in texts] == want and len(again.known) < len(encoder.known)
